@@ -105,6 +105,17 @@ def words(texts: pa.Array) -> Words:
     return Words(len(off) - 1, h, start, end, np.searchsorted(start, off).astype(np.int64))
 
 
+def word_starts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in the bytes of the texts as they are, and where each text's words begin among them."""
+    raw, off = bytes_of(texts)
+    is_word = np.r_[False, _IS_WORD[raw] | ((raw >= 65) & (raw <= 90))]
+    begins = is_word[1:] & ~is_word[:-1]
+    inner = off[:-1][off[:-1] < len(raw)]
+    begins[inner] = is_word[inner + 1]
+    start = np.flatnonzero(begins)
+    return start, np.searchsorted(start, off)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of about ``size`` bytes of text."""
     if not batch.num_rows:
