@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import ngram_join
+from factloom.llm import decontaminate, line_rules, ngram_join, relative_lz, repeats, suffix_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1,
+    "op7_line_rules": line_rules.op7,
+    "op8_suffix_array_dedup": suffix_array.op8,
+    "op9_pigeonhole_decontamination": decontaminate.op9,
+    "op10_relative_lz_dedup": relative_lz.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
+    "op7_line_rules": line_rules.OP7_SQL,
+    "op8_suffix_array_dedup": repeats.SPANS_SQL,
+    "op10_relative_lz_dedup": repeats.SPANS_SQL,
 }
