@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, huffman, language_id, line_rules, ngram_join, relative_lz, repeats, sharding, suffix_array, token_counts
+from factloom.llm import decontaminate, huffman, language_id, line_rules, ngram_join, packing, relative_lz, repeats, sharding, suffix_array, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id.op3,
     "op4_bfd_sharding": sharding.op4,
     "op5_section_tokens": token_counts.op5,
+    "op6_related_packing": packing.op6,
     "op7_line_rules": line_rules.op7,
     "op8_suffix_array_dedup": suffix_array.op8,
     "op9_pigeonhole_decontamination": decontaminate.op9,
