@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel as tk
-from factloom.plans.scratch import Scratch, small_side
+from factloom.plans.scratch import ROW_BYTES, Scratch, small_side
 
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
@@ -130,7 +130,7 @@ def sample(docs: DataFrame, bound: int) -> DataFrame:
     ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= bound).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     with Scratch(docs.sparkSession) as s:
         ranked = s.keep(ranked)
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(small_side(ranked, ranked.count()), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(small_side(ranked, 2 * ROW_BYTES * ranked.count()), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
 
 
 def _features(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import textkernel as tk
 from factloom.plans.iterate import connected_components, union_find
-from factloom.plans.scratch import Scratch, small_side
+from factloom.plans.scratch import ROW_BYTES, Scratch, small_side
 
 N, THRESHOLD, RECALL = 3, 0.6, 0.99
 T, LEVELS, LEAF, DEPTH, BLOCK = 64, 2, 256, 8, 4096
@@ -271,6 +271,7 @@ def jaccard_pairs(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
         edges = s.keep(members.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "doc_id", "sketch").mapInArrow(_bucket_edges(threshold), "src long, dst long").distinct())
         family = s.keep(connected_components(edges).withColumnRenamed("node", "doc_id"))
         count = family.count()
+        cells_bytes = 2 * ROW_BYTES * count
         large = family.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
         placed = family.join(large.where("blocks > 1").select("component", "blocks"), "component", "left").select("doc_id", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
         placed = placed.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -280,7 +281,7 @@ def jaccard_pairs(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
             F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
             (F.col("mine") == F.col("other")).alias("diagonal"),
         )
-        fetched = texts.join(small_side(cells, count), "doc_id")
+        fetched = texts.join(small_side(cells, cells_bytes), "doc_id")
         near = fetched.select("cell", "side", "diagonal", "doc_id", "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(_exact(n, threshold), SCHEMA)
         return near.where("doc_a <> doc_b").unionByName(copies)
 
@@ -295,7 +296,7 @@ def keep_one(docs: DataFrame, **parameters: float) -> DataFrame:
     gone = groups(jaccard_pairs(docs, **parameters)).where("node <> component").select(F.col("node").alias("_gone"))
     with Scratch(docs.sparkSession) as s:
         gone = s.keep(gone)
-        return docs.join(small_side(gone, gone.count()), docs["doc_id"] == F.col("_gone"), "left_anti")
+        return docs.join(small_side(gone, ROW_BYTES * gone.count()), docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

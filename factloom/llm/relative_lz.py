@@ -34,12 +34,16 @@ MATCHES = "doc_id long, pos int, n int, ref_doc long, ref_pos int"
 _U = np.uint64
 
 
-def _entries(window: int):
+def _entries(window: int, gram: int):
     def one(b: pa.RecordBatch) -> pa.RecordBatch | None:
         w = tk.words(b.column("text"))
-        text, lo, hi, h = repeats.hot_rows(b, w)
-        if not len(text):
+        _, first, last = repeats.hot_rows(b, w)
+        if not len(first):
             return None
+        a = tk.anchors(w, window, gram)
+        at = np.searchsorted(first, a.lo, "right") - 1
+        ok = (at >= 0) & (a.lo <= last[at])
+        text, lo, hi, h = a.text[ok], a.lo[ok], a.hi[ok], a.hash[ok]
         n = hi - lo + window
         tokens = (w.hash[tk.ranges(lo, n)] >> _U(32)).astype(np.uint32)
         off = np.r_[0, np.cumsum(n * 4)].astype(np.int32)
@@ -107,8 +111,8 @@ def _parse(window: int, factors: bool):
 
 
 def _matches(docs: DataFrame, s: Scratch, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    texts, copies, hot, rows = repeats.survey(docs, s, window=window, gram=gram)
-    entries = repeats.fetch(texts, hot, rows).mapInArrow(_entries(window), "block long, doc_id long, lo int, words binary")
+    texts, copies, hot, size = repeats.survey(docs, s, window=window, gram=gram)
+    entries = repeats.fetch(texts, hot, size).mapInArrow(_entries(window, gram), "block long, doc_id long, lo int, words binary")
     met = entries.repartition("block").sortWithinPartitions("block").mapInArrow(_match(window), MATCHES)
     return copies, met.repartition("doc_id").sortWithinPartitions("doc_id", "pos")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel as tk
-from factloom.plans.scratch import Scratch, small_side
+from factloom.plans.scratch import ROW_BYTES, Scratch, small_side
 
 WINDOW, GRAM = 50, 8
 SPANS = "doc_id long, word_start int, word_end int"
@@ -58,8 +58,19 @@ def _survey(window: int, gram: int):
     return tk.sliced(one)
 
 
+def _ranges(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Windows of repeated anchors that follow one another, as ranges, in lists by text."""
+    t = t.combine_chunks()
+    doc, d1, lo, hi = (t[c].to_numpy() for c in ("doc_id", "d1", "lo", "hi"))
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1] + 1)])
+    last = np.r_[new[1:], len(doc)] - 1
+    text = np.flatnonzero(np.r_[True, doc[new][1:] != doc[new][:-1]])
+    off = np.r_[text, len(new)]
+    yield pa.RecordBatch.from_arrays([pa.array(doc[new][text]), pa.array(d1[new][text]), tk.list_array(pa.array(lo[new]), off), tk.list_array(pa.array(hi[last]), off)], names=["doc_id", "d1", "lo", "hi"])
+
+
 def survey(docs: DataFrame, s: Scratch, *, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """texts(doc_id, text), copies(doc_id, word_start, word_end), hot(doc_id, d1, los, his) and the rows of hot."""
+    """texts(doc_id, text), copies(doc_id, word_start, word_end), hot(doc_id, d1, lo, hi arrays) and the size of hot in bytes."""
     if not 0 < gram <= window:
         raise ValueError("gram must be in 1..window")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -70,26 +81,27 @@ def survey(docs: DataFrame, s: Scratch, *, window: int = WINDOW, gram: int = GRA
     copies = ranked.where("doc_id <> rep").select("doc_id", F.lit(0).alias("word_start"), F.col("n_words").alias("word_end"))
     reps = ranked.where("doc_id = rep").select("doc_id", "d1", "d2")
     rows = made.join(reps, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id"]).select("doc_id", "d1", F.explode(F.arrays_zip("hash", "lo", "hi")).alias("a")).select("doc_id", "d1", "a.*")
-    often = rows.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1")
-    hot = s.keep(often.groupBy("doc_id", "d1").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "hash"))).alias("a")).select("doc_id", "d1", "a.lo", "a.hi", "a.hash"))
-    return texts, copies, hot, hot.count()
+    often = rows.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1").select("doc_id", "d1", "lo", "hi")
+    hot = s.keep(often.repartition("doc_id").sortWithinPartitions("doc_id", "lo").mapInArrow(tk.by_runs(_ranges, "doc_id"), "doc_id long, d1 long, lo array<int>, hi array<int>"))
+    held = hot.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("lo")), F.lit(0)).alias("k")).first()
+    return texts, copies, hot, 3 * ROW_BYTES * held["n"] + 8 * held["k"]
 
 
-def fetch(texts: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
+def fetch(texts: DataFrame, hot: DataFrame, size: int) -> DataFrame:
     """The texts that hot names, with its columns."""
-    return texts.join(small_side(hot, rows, 100_000), "doc_id")
+    return texts.join(small_side(hot, size), "doc_id")
 
 
-def hot_rows(b: pa.RecordBatch, w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each hot anchor of the batch: its text, first and last window (in the slice's words) and hash; texts under another digest are left out."""
+def hot_rows(b: pa.RecordBatch, w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each hot range of the batch: its text, first and last window (in the slice's words); texts under another digest are left out."""
     d1 = digests(w)[0].view(np.int64)
-    lists = [b.column(c) for c in ("lo", "hi", "hash")]
-    n = np.diff(lists[0].offsets.to_numpy())
-    lo, hi, h = (x.flatten().to_numpy() for x in lists)
+    lo, hi = b.column("lo"), b.column("hi")
+    n = np.diff(lo.offsets.to_numpy())
+    lo, hi = lo.flatten().to_numpy(), hi.flatten().to_numpy()
     text = np.repeat(np.arange(b.num_rows), n)
     ok = (d1 == b.column("d1").to_numpy())[text]
     text = text[ok]
-    return text, lo[ok].astype(np.int64) + w.first[text], hi[ok].astype(np.int64) + w.first[text], h[ok].view(np.uint64)
+    return text, lo[ok].astype(np.int64) + w.first[text], hi[ok].astype(np.int64) + w.first[text]
 
 
 def _merge(window: int):
@@ -133,9 +145,9 @@ def without(docs: DataFrame, found: DataFrame) -> DataFrame:
     names = docs.columns
     with Scratch(docs.sparkSession) as s:
         per = s.keep(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("word_start", "word_end")).alias("_spans")))
-        rows = per.count()
-        hit = docs.join(small_side(per, rows, 100_000), docs["doc_id"] == F.col("_id"))
-        rest = docs.join(small_side(per.select("_id"), rows), docs["doc_id"] == F.col("_id"), "left_anti")
+        held = per.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_spans")), F.lit(0)).alias("k")).first()
+        hit = docs.join(small_side(per, 2 * ROW_BYTES * held["n"] + ROW_BYTES * held["k"]), docs["doc_id"] == F.col("_id"))
+        rest = docs.join(small_side(per.select("_id"), ROW_BYTES * held["n"]), docs["doc_id"] == F.col("_id"), "left_anti")
         fields = [f for f in docs.schema.fields if f.name in names]
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         made = hit.select(*names, "_spans").mapInArrow(tk.sliced(_cut), kept + ", _spans array<struct<word_start:int,word_end:int>>").select(*names).where(F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.plans.scratch import Scratch, small_side
+from factloom.plans.scratch import ROW_BYTES, Scratch, small_side
 
 CAPACITY, SALTS = 4 << 20, 64
 PLAN = "size long, lo long, hi long, per_shard long, shard long"
@@ -126,8 +126,8 @@ def shards(rows: DataFrame, group: list[Column], size: Column, *, capacity: int
         histogram = [(r["size"], r["n"]) for r in parts.groupBy("size").agg(F.sum("n").alias("n")).toLocalIterator()]
         plan, _ = pack(histogram, -(-capacity // unit))
         placed = s.keep(spark.createDataFrame(plan or [(0, 0, 0, 1, 0)], PLAN))
-        ranked = sized.withColumn("k", F.row_number().over(Window.partitionBy("size", "salt").orderBy("g"))).join(small_side(parts.select("size", "salt", "before"), len(histogram) * SALTS, 100_000), ["size", "salt"]).select("g", "size", (F.col("before") + F.col("k") - 1).alias("rank"))
-        found = ranked.alias("r").join(small_side(placed, len(plan), 100_000).alias("p"), (F.col("r.size") == F.col("p.size")) & (F.col("r.rank") >= F.col("p.lo")) & (F.col("r.rank") < F.col("p.hi")))
+        ranked = sized.withColumn("k", F.row_number().over(Window.partitionBy("size", "salt").orderBy("g"))).join(small_side(parts.select("size", "salt", "before"), 2 * ROW_BYTES * SALTS * len(histogram)), ["size", "salt"]).select("g", "size", (F.col("before") + F.col("k") - 1).alias("rank"))
+        found = ranked.alias("r").join(small_side(placed, 2 * ROW_BYTES * len(plan)).alias("p"), (F.col("r.size") == F.col("p.size")) & (F.col("r.rank") >= F.col("p.lo")) & (F.col("r.rank") < F.col("p.hi")))
         shard = found.select("g", F.col("r.size").alias("group_size"), (F.col("p.shard") + F.floor((F.col("r.rank") - F.col("p.lo")) / F.col("p.per_shard"))).cast("long").alias("shard"))
         return each.join(shard, "g").select("doc_id", "shard", "group_size", (F.col("group_size") > -(-capacity // unit)).alias("oversize"))
 

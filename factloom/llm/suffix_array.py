@@ -56,7 +56,7 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
 def _suffixes(window: int):
     def one(b: pa.RecordBatch) -> pa.RecordBatch | None:
         w = tk.words(b.column("text"))
-        text, lo, hi, _ = repeats.hot_rows(b, w)
+        text, lo, hi = repeats.hot_rows(b, w)
         n = hi - lo + 1
         at = tk.ranges(lo, n)
         if not len(at):
@@ -104,8 +104,8 @@ def boundaries_differ(suffixes: DataFrame, buckets: int) -> bool:
 
 def suffix_rows(docs: DataFrame, s: Scratch, *, window: int = repeats.WINDOW, gram: int = repeats.GRAM) -> tuple[DataFrame, DataFrame]:
     """copies, and suffixes (lead, mark, doc_id, pos), written."""
-    texts, copies, hot, rows = repeats.survey(docs, s, window=window, gram=gram)
-    found = repeats.fetch(texts, hot, rows)
+    texts, copies, hot, size = repeats.survey(docs, s, window=window, gram=gram)
+    found = repeats.fetch(texts, hot, size)
     return copies, s.save(found.mapInArrow(_suffixes(window), "lead long, mark long, doc_id long, pos int"))
 
 

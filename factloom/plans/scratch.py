@@ -12,7 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_BROADCAST_ROWS = 500_000
+#: About what a row of an id takes in a broadcast table, and how large one may be.
+ROW_BYTES, BROADCAST_BYTES = 24, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,8 +71,8 @@ class Scratch:
         self.close()
 
 
-def small_side(df: DataFrame, rows: int, limit: int = _BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted ``rows`` are within ``limit``; beyond it the join shuffles."""
+def small_side(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its measured ``size`` in bytes is within ``limit``; beyond it the join shuffles."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if size <= limit else df
