@@ -61,3 +61,38 @@ def fragility(fiedler: Column, components: Column) -> Column:
 
 def loop_fitness(v: Column, a: Column, o: Column, f: Column, t: Column, p: Column, s: Column) -> Column:
     return 0.25 * v + 0.20 * a + 0.15 * o + 0.15 * f + 0.10 * t + 0.10 * p + 0.05 * s
+
+
+def missing_or_message(missing: Column, message: Column) -> Column:
+    """The fields an evidence names, or its message alone if it names none."""
+    return F.when(F.size(missing) > 0, missing).otherwise(F.array(message))
+
+
+def is_project_function(name: Column, *, stdlib: tuple[str, ...] = (), prefixes: tuple[str, ...] = ("_", "pytest")) -> Column:
+    out = ~name.isin(*stdlib) if stdlib else F.lit(True)
+    for p in prefixes:
+        out = out & ~name.startswith(p)
+    return out
+
+
+def has_label(labels: Column, names: tuple[str, ...]) -> Column:
+    """Whether any label, apart from case, blanks, hyphens and apostrophes, is one of the names; false for null or no labels."""
+    same = lambda c: F.regexp_replace(F.lower(c), r"[\s'’_-]+", "")
+    return F.coalesce(F.exists(labels, lambda x: same(x).isin(*names)), F.lit(False))
+
+
+def too_long(value: Column, most: int) -> Column:
+    return F.length(value) > most
+
+
+def out_of_range(value: Column, *, low: float | None = None, high: float | None = None) -> Column:
+    out = F.lit(False)
+    if low is not None:
+        out = out | (value < low)
+    if high is not None:
+        out = out | (value > high)
+    return out
+
+
+def not_a_choice(value: Column, choices: tuple) -> Column:
+    return ~value.isin(*choices)

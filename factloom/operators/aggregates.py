@@ -27,8 +27,8 @@ def module_documents(violations: DataFrame, invariants: DataFrame) -> DataFrame:
 
 
 def repo_totals(corpus: DataFrame) -> DataFrame:
-    """corpus(repo, stars, file, at): rows, last stars and different files by repo."""
-    return corpus.groupBy("repo").agg(F.count("*").alias("violations"), F.max_by("stars", "at").alias("stars"), F.countDistinct("file").alias("files"))
+    """corpus(repo, stars, file, seq): rows, last stars and different files by repo."""
+    return corpus.groupBy("repo").agg(F.count("*").alias("violations"), F.max_by("stars", "seq").alias("stars"), F.countDistinct("file").alias("files"))
 
 
 def downstream(imports: DataFrame) -> DataFrame:

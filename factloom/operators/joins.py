@@ -89,6 +89,11 @@ def suffix_match(refs: DataFrame, files: DataFrame, *, least: int = 2, most: int
     return hit.groupBy("ref").agg(F.min(F.struct((-F.col("k")).alias("k"), "path")).alias("m")).select("ref", F.col("m.path").alias("path"), (-F.col("m.k")).alias("parts"))
 
 
+def in_files(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """Rows whose file is among changed(file)."""
+    return rows.join(changed.select("file").distinct(), "file", "left_semi").select(*rows.columns)
+
+
 def confirm(violations: DataFrame, proofs: DataFrame) -> DataFrame:
     """violations(file, line, mode) with ``spec_id`` of proofs(file, line, mode, spec_id) on the same line; proofs of other lines are added."""
     at = proofs.groupBy("file", "line").agg(F.min("spec_id").alias("spec_id"))
