@@ -17,7 +17,7 @@ def tainted(calls: DataFrame, bases: DataFrame, guarded: DataFrame | None = None
 
 def public_violations(taint: DataFrame, functions: DataFrame) -> DataFrame:
     """(node, depth, direct01) of tainted public functions(node, is_public); direct01 is 0 for a base and 1 for any caller."""
-    ok = functions.where("is_public and node <> '<module>'").select("node").distinct()
+    ok = functions.where(F.col("is_public") & (F.col("node").cast("string") != "<module>")).select("node").distinct()
     return taint.join(ok, "node", "left_semi").select("node", "depth", F.least("depth", F.lit(1)).alias("direct01"))
 
 

@@ -31,14 +31,13 @@ def callers(edges: DataFrame, name) -> DataFrame:
 def blast_radius(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """targets(node) with ``radius``, how many others can reach it; pairs of target and ancestor grow by rounds."""
     with Scratch(edges.sparkSession) as s:
-        back = s.keep(edges.select(F.col("dst").alias("at"), F.col("src").alias("up")).where("dst <> src").distinct())
-        seen = s.keep(targets.select("node").distinct().withColumn("anc", F.col("node")))
-        delta = seen
+        back = s.save(edges.select(F.col("dst").alias("at"), F.col("src").alias("up")).where("dst <> src").distinct())
+        seen = delta = s.save(targets.select("node").distinct().withColumn("anc", F.col("node")))
         while not delta.isEmpty():
             found = delta.join(back, delta["anc"] == back["at"]).select("node", F.col("up").alias("anc")).distinct()
-            delta = s.keep(found.join(seen, ["node", "anc"], "left_anti"))
-            seen = s.keep(seen.unionByName(delta))
-        return seen.groupBy("node").agg((F.count("*") - 1).alias("radius"))
+            delta = s.save(found.join(seen, ["node", "anc"], "left_anti"))
+            seen = seen.unionByName(delta)
+        return s.keep(seen).groupBy("node").agg((F.count("*") - 1).alias("radius"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -53,8 +52,54 @@ def betti(edges: DataFrame, *, directed: bool = False) -> DataFrame:
     return e.agg(F.count("*").alias("e")).crossJoin(c).select("v", "e", "b0", (F.col("e") - F.col("v") + F.col("b0")).alias("b1"))
 
 
+def strong_of(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node of each one's strong component, by one depth-first search without recursion."""
+    nodes, idx = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    near: list[list[int]] = [[] for _ in nodes]
+    for a, b in zip(idx[: len(src)].tolist(), idx[len(src) :].tolist()):
+        near[a].append(b)
+    n = len(nodes)
+    order, low, scc, place, clock, held = [-1] * n, [0] * n, [-1] * n, [0] * n, 0, []
+    for root in range(n):
+        if order[root] >= 0:
+            continue
+        stack = [(root, -1)]
+        while stack:
+            u, k = stack.pop()
+            if k < 0:
+                order[u] = low[u] = clock
+                place[u] = len(held)
+                clock += 1
+                held.append(u)
+            for i in range(max(k, 0), len(near[u])):
+                v = near[u][i]
+                if order[v] < 0:
+                    stack += [(u, i), (v, -1)]
+                    break
+                if scc[v] < 0:
+                    low[u] = min(low[u], low[v])
+            else:
+                if low[u] == order[u]:
+                    least = min(held[place[u] :])
+                    for v in held[place[u] :]:
+                        scc[v] = least
+                    del held[place[u] :]
+    return nodes, nodes[np.array(scc, np.int64)]
+
+
+def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
+    nodes, scc = strong_of(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+    return pd.DataFrame({"node": nodes, "scc": scc})
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, scc): the least node that reaches and is reached, itself at least; from the closure, so for graphs whose closure fits."""
+    """(node, scc): the least node that reaches and is reached, itself at least.
+
+    Integer nodes: one search for each weakly connected component, which one task holds. Other nodes:
+    from the closure, so for graphs whose closure fits.
+    """
+    if edges.schema["src"].dataType.typeName() in ("long", "integer", "short", "byte"):
+        return per_component(edges, _strong, "node long, scc long")
     c = closure(edges)
     back = c.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     least = c.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
@@ -335,3 +380,39 @@ def topo_severity(edges: DataFrame, seeds: DataFrame, *, hops: int = 2) -> DataF
         e = s.keep(neighbourhood(edges, seeds, hops=hops))
         c = e.join(seeds.select(F.col("node").alias("dst")), "dst", "left_semi").agg(F.countDistinct("src").alias("callers"))
         return betti(e, directed=True).crossJoin(c).withColumn("severity", F.round(F.col("b1") * F.col("callers") / F.greatest(F.lit(1), "v"), 6))
+
+
+def cycle_rank(edges: DataFrame) -> DataFrame:
+    """One row: edges, directions and repeats counted, less vertices plus components; the rank over GF(2) of the cycles of the multigraph."""
+    e = edges.where("src is not null and dst is not null")
+    c = connected_components(e).agg(F.count("*").alias("v"), F.countDistinct("component").alias("c"))
+    return e.agg(F.count("*").alias("e")).crossJoin(c).select((F.col("e") - F.col("v") + F.col("c")).alias("rank"))
+
+
+def structural_risk(edges: DataFrame, duties: DataFrame, *, top: int | None = None) -> DataFrame:
+    """(node, betweenness, risk) of cut vertices, betweenness * (1 + duties(node, duties) that are not met), the highest first."""
+    b = betweenness(edges).join(articulation_points(edges), "node", "left_semi").join(duties, "node", "left")
+    out = b.select("node", "betweenness", F.round(F.col("betweenness") * (1 + F.coalesce("duties", F.lit(0))), 6).alias("risk")).orderBy(F.desc("risk"), "node")
+    return out.limit(top) if top else out
+
+
+def topology_report(edges: DataFrame, *, top: int = 10) -> DataFrame:
+    """(kind, node, value): every cut vertex and tangle, and the ``top`` most central of the other vertices."""
+    with Scratch(edges.sparkSession) as s:
+        b = s.keep(betweenness(edges))
+        cut = s.keep(articulation_points(edges))
+        rest = b.join(cut, "node", "left_anti").orderBy(F.desc("betweenness"), "node").limit(top)
+        return (
+            b.join(cut, "node", "left_semi").select(F.lit("cut").alias("kind"), "node", F.col("betweenness").alias("value"))
+            .unionByName(rest.select(F.lit("central").alias("kind"), "node", F.col("betweenness").alias("value")))
+            .unionByName(tangles(edges).select(F.lit("tangle").alias("kind"), F.col("primary").alias("node"), F.col("size").cast("double").alias("value")))
+        )
+
+
+def structural_coverage(edges: DataFrame, files: DataFrame, contracts: DataFrame) -> DataFrame:
+    """One row: files of cut vertices, those with a contract, and their share, 1 if there is none."""
+    from factloom.operators import joins
+
+    cut = articulation_points(edges).join(files, "node").select("file").distinct()
+    a = joins.contract_coverage(cut, contracts).agg(F.count("*").alias("files"), F.count_if("covered").alias("covered"))
+    return a.withColumn("coverage", F.when(F.col("files") == 0, 1.0).otherwise(F.round(F.col("covered") / F.col("files"), 6)))

@@ -124,9 +124,9 @@ def refactor_scores(attributed: DataFrame, calls: DataFrame, *, top: int | None
 
 
 def extraction_safe(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """functions(name, required, kwonly array) is safe if no call of calls(callee, positional, kwargs array) gives too few or misses a keyword."""
+    """functions(name, required, kwonly array) is safe if no call of calls(callee, n_positional, kwargs array) gives too few or misses a keyword."""
     j = functions.join(calls, F.col("name") == F.col("callee"), "left")
-    bad = F.col("callee").isNotNull() & ((F.col("positional") < F.col("required")) | (F.size(F.array_except("kwonly", "kwargs")) > 0))
+    bad = F.col("callee").isNotNull() & ((F.col("n_positional") < F.col("required")) | (F.size(F.array_except("kwonly", "kwargs")) > 0))
     return j.groupBy("name").agg((F.count_if(bad) == 0).alias("safe"))
 
 

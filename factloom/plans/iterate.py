@@ -18,11 +18,54 @@ from factloom.plans.scratch import Scratch
 _ONE_TASK_EDGES = 2_000_000
 
 
-def reach(edges: DataFrame, seeds: DataFrame, *, guard: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def _walk_in_one_task(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.RecordBatch]:
+    parts = [x for x in batches if x.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts).combine_chunks()
+    codes = pa.chunked_array([*t["src"].chunks, *t["dst"].chunks]).dictionary_encode().combine_chunks()
+    n, names = t.num_rows, codes.dictionary
+    src, dst = np.split(codes.indices.to_numpy(zero_copy_only=False), [n])
+    kind = t["kind"].to_numpy()
+    seed, is_edge, guarded = np.unique(src[kind == 1]), kind == 0, np.zeros(len(names), bool)
+    guarded[src[kind == 2]] = True
+    ok = is_edge & ~guarded[dst]
+    src, dst = src[ok], dst[ok]
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    first = np.searchsorted(src, np.arange(len(names) + 1))
+    depth = np.full(len(names), -1, np.int32)
+    depth[seed] = 0
+    at, k = seed, 0
+    while len(at) and k < rounds:
+        k += 1
+        size = first[at + 1] - first[at]
+        step = np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        at = np.unique(dst[step])
+        at = at[depth[at] < 0]
+        depth[at] = k
+    seen = np.flatnonzero(depth >= 0)
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(seen)), pa.array(depth[seen])], names=["node", "depth"])
+
+
+def reach(edges: DataFrame, seeds: DataFrame, *, guard: DataFrame | None = None, max_rounds: int = 10_000, one_task_edges: int = _ONE_TASK_EDGES) -> DataFrame:
     """Nodes reachable from ``seeds(node)`` along ``edges(src, dst)``, with the round they first appear in.
 
     ``guard(node)``: nodes that a path may not enter; a seed stays even if guarded. Seeds have depth 0.
+    Up to ``one_task_edges`` counted rows are walked in one task, whose memory that bounds; more are
+    joined round by round over the cluster. Both give the same rows.
     """
+    kind = edges.schema["src"].dataType
+    rows = edges.where("src is not null and dst is not null").select("src", F.col("dst").cast(kind).alias("dst"), F.lit(0).alias("kind"))
+    for k, nodes in ((1, seeds), (2, guard)):
+        if nodes is not None:
+            rows = rows.unionByName(nodes.where("node is not null").select(F.col("node").cast(kind).alias("src"), F.col("node").cast(kind).alias("dst"), F.lit(k).alias("kind")))
+    with Scratch(edges.sparkSession) as s:
+        rows = s.keep(rows)
+        if rows.count() <= one_task_edges:
+            return rows.coalesce(1).mapInArrow(lambda b: _walk_in_one_task(b, max_rounds), f"node {kind.simpleString()}, depth int")
+        edges, seeds = rows.where("kind = 0").select("src", "dst"), rows.where("kind = 1").select(F.col("src").alias("node"))
+        guard = rows.where("kind = 2").select(F.col("src").alias("node")) if guard is not None else None
     with Scratch(edges.sparkSession) as s:
         step = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
         if guard is not None:
@@ -43,16 +86,14 @@ def reach(edges: DataFrame, seeds: DataFrame, *, guard: DataFrame | None = None,
 def closure(edges: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
     """All (src, dst) with a path of one edge or more; for small graphs, as its size is quadratic."""
     with Scratch(edges.sparkSession) as s:
-        step = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+        step = s.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
         seen, delta, k = step, step, 0
         while k < max_rounds and not delta.isEmpty():
             k += 1
             found = delta.alias("d").join(step.alias("e"), F.col("d.dst") == F.col("e.src")).select("d.src", "e.dst").distinct()
-            delta = s.keep(found.join(seen, ["src", "dst"], "left_anti"))
+            delta = s.save(found.join(seen, ["src", "dst"], "left_anti"))
             seen = seen.unionByName(delta)
-            if k % 8 == 0:
-                seen = s.keep(seen)
-        return seen
+        return s.keep(seen)
 
 
 def union_find(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

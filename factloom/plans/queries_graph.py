@@ -1 +1,226 @@
-"""..."""
+"""Recursion, reachability, components, reductions and centrality over the facts' graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factloom.operators import datalog, graph
+from factloom.plans.catalog import query
+from factloom.plans.facts import Facts
+from factloom.plans.iterate import closure
+
+_TC = "tc AS (SELECT src, dst FROM {edges} UNION SELECT tc.src, e.dst FROM tc JOIN {edges} e ON tc.dst = e.src)"
+_BACK = "t AS (SELECT node FROM {urgent} UNION SELECT e.src FROM t JOIN {edges} e ON e.dst = t.node)"
+_NODES = "nd AS (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges})"
+_SCC = f"{_TC}, {_NODES}, sc AS (SELECT nd.node, least(nd.node, coalesce(min(b.src), nd.node)) AS scc FROM nd LEFT JOIN tc a ON a.src = nd.node LEFT JOIN tc b ON b.src = a.dst AND b.dst = a.src GROUP BY nd.node)"
+_CC = f"{_NODES}, un AS (SELECT src, dst FROM {{edges}} UNION SELECT dst, src FROM {{edges}}), rc AS (SELECT node, node AS seen FROM nd UNION SELECT rc.node, un.dst FROM rc JOIN un ON un.src = rc.seen), cc AS (SELECT node, min(seen) AS component FROM rc GROUP BY node)"
+
+
+@query("r01_guarded_taint", "WITH t AS (SELECT node FROM {urgent} UNION SELECT e.src FROM t JOIN {edges} e ON e.dst = t.node WHERE e.src NOT IN (SELECT node FROM {pending})) SELECT node FROM t")
+def guarded_taint(f: Facts) -> DataFrame:
+    return datalog.tainted(f.edges, f.urgent, f.pending).select("node")
+
+
+@query("r02_taint", f"WITH {_BACK} SELECT node FROM t")
+def taint(f: Facts) -> DataFrame:
+    return datalog.tainted(f.edges, f.urgent).select("node")
+
+
+@query("r04_public_violations", f"WITH {_BACK} SELECT node, CASE WHEN node IN (SELECT node FROM {{urgent}}) THEN 0 ELSE 1 END AS direct01 FROM t WHERE node IN (SELECT node FROM {{order_functions}} WHERE is_public)")
+def public_violations(f: Facts) -> DataFrame:
+    return datalog.public_violations(datalog.tainted(f.edges, f.urgent), f.order_functions.withColumn("node", F.col("node"))).select("node", "direct01")
+
+
+_FILE_EDGES = "fe AS (SELECT DISTINCT b.o_custkey AS src, a.o_custkey AS dst FROM {orders} a JOIN {orders} b ON a.o_orderkey = b.o_orderkey + 1 WHERE a.o_orderstatus = 'F')"
+
+
+@query("r05_dirty_files", f"WITH {_FILE_EDGES}, d AS (SELECT o_custkey AS file FROM {{orders}} WHERE o_totalprice > 499000 UNION SELECT fe.dst FROM d JOIN fe ON fe.src = d.file) SELECT file FROM d")
+def dirty_files(f: Facts) -> DataFrame:
+    functions = f.orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("name"))
+    calls = f.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("file"), (F.col("o_orderkey") - 1).alias("callee"))
+    return datalog.dirty_files(f.orders.where("o_totalprice > 499000").select(F.col("o_custkey").alias("file")).distinct(), functions, calls)
+
+
+@query("r06_flows", """WITH fl AS (SELECT node AS source, node AS place, 0 AS hops FROM {urgent} UNION SELECT fl.source, e.dst, fl.hops + 1 FROM fl JOIN {edges} e ON e.src = fl.place WHERE fl.hops < 5),
+m AS (SELECT source, place AS sink, min(hops) AS hops FROM fl GROUP BY 1, 2) SELECT source, sink, hops, round(pow(0.8, hops), 6) AS confidence FROM m WHERE hops > 0 AND sink IN (SELECT node FROM {pending})""")
+def flows(f: Facts) -> DataFrame:
+    return datalog.flows(f.edges, f.urgent, f.pending)
+
+
+_GUARDED = "g AS (SELECT o_orderkey AS id FROM {orders} WHERE o_orderstatus = 'P' UNION SELECT e.dst FROM g JOIN {edges} e ON e.src = g.id)"
+
+
+def _sites(f: Facts) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "P", "BranchGuard").when(F.col("o_orderstatus") == "F", "ErrorSite").otherwise("CallResult")
+    return f.orders.select(F.col("o_orderkey").alias("id"), kind.alias("kind"), F.col("o_custkey").alias("file"))
+
+
+@query("r07_guarded_sites", f"WITH {_GUARDED} SELECT o_orderkey AS id, o_custkey AS file, o_orderkey IN (SELECT id FROM g) AS guarded FROM {{orders}} WHERE o_orderstatus = 'F'")
+def guarded_sites(f: Facts) -> DataFrame:
+    return datalog.guarded_sites(_sites(f), f.edges)
+
+
+@query("r08_unguarded_rank", f"WITH {_GUARDED} SELECT o_custkey AS file, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS rank FROM {{orders}} WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT id FROM g) GROUP BY 1")
+def unguarded_rank(f: Facts) -> DataFrame:
+    return datalog.unguarded_rank(_sites(f), f.edges, f.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source")))
+
+
+@query("g02_closure", f"WITH {_TC} SELECT src, dst FROM tc")
+def all_pairs(f: Facts) -> DataFrame:
+    return closure(f.edges)
+
+
+@query("g02_descendants", "WITH t AS (SELECT node FROM {urgent} UNION SELECT e.dst FROM t JOIN {edges} e ON e.src = t.node) SELECT DISTINCT t.node FROM t WHERE t.node NOT IN (SELECT node FROM {urgent})")
+def descendants(f: Facts) -> DataFrame:
+    return graph.descendants(f.edges, f.urgent)
+
+
+@query("g03_blast_radius", f"WITH {_TC} SELECT u.node, CAST(count(tc.src) AS BIGINT) AS radius FROM {{urgent}} u LEFT JOIN tc ON tc.dst = u.node AND tc.src <> u.node GROUP BY u.node")
+def blast_radius(f: Facts) -> DataFrame:
+    return graph.blast_radius(f.edges, f.urgent)
+
+
+@query("g05_tangles", f"""WITH {_SCC} SELECT scc AS "primary", CAST(count(*) AS BIGINT) AS size, CAST(count(*) - 1 AS BIGINT) AS potential FROM sc GROUP BY scc HAVING count(*) > 1""")
+def tangles(f: Facts) -> DataFrame:
+    return graph.tangles(f.edges)
+
+
+@query("g08_components", f"WITH {_CC} SELECT node, component FROM cc")
+def components(f: Facts) -> DataFrame:
+    return graph.components(f.edges)
+
+
+@query("g08_betti", f"WITH {_CC}, ue AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {{edges}} WHERE src <> dst) SELECT v, e, b0, e - v + b0 AS b1 FROM (SELECT count(*) AS v, count(DISTINCT component) AS b0 FROM cc), (SELECT count(*) AS e FROM ue)")
+def betti(f: Facts) -> DataFrame:
+    return graph.betti(f.edges)
+
+
+@query("g09_passthroughs", "WITH i AS (SELECT dst AS node, count(*) AS n FROM {edges} GROUP BY 1), o AS (SELECT src AS node, count(*) AS n FROM {edges} GROUP BY 1) SELECT node, CAST(3 AS BIGINT) AS potential FROM i JOIN o USING (node) WHERE i.n = 1 AND o.n = 1 AND node IN (SELECT node FROM {order_functions})")
+def passthroughs(f: Facts) -> DataFrame:
+    return graph.passthroughs(f.edges, f.order_functions)
+
+
+@query("g10_hubs", "WITH o AS (SELECT src AS node, count(*) AS n FROM {edges} GROUP BY 1) SELECT node, CAST(n AS BIGINT) AS out, CAST(0 AS BIGINT) AS potential FROM o WHERE n >= 2")
+def hubs(f: Facts) -> DataFrame:
+    return graph.hubs(f.edges, threshold=2)
+
+
+@query("g11_candidates", f"""WITH {_SCC}, i AS (SELECT dst AS node, count(*) AS n FROM {{edges}} GROUP BY 1), o AS (SELECT src AS node, count(*) AS n FROM {{edges}} GROUP BY 1)
+SELECT 'tangle' AS kind, scc AS node, CAST(count(*) - 1 AS BIGINT) AS potential FROM sc GROUP BY scc HAVING count(*) > 1
+UNION ALL SELECT 'passthrough', node, 3 FROM i JOIN o USING (node) WHERE i.n = 1 AND o.n = 1 AND node IN (SELECT node FROM {{order_functions}}) UNION ALL SELECT 'hub', node, 0 FROM o WHERE n >= 2""")
+def candidates(f: Facts) -> DataFrame:
+    return graph.candidates(f.edges, f.order_functions, threshold=2)
+
+
+@query("g12_live_roots", f"WITH {_NODES} SELECT node FROM nd WHERE node NOT IN (SELECT dst FROM {{edges}})")
+def live_roots(f: Facts) -> DataFrame:
+    return graph.live_roots(f.edges)
+
+
+@query("g13_contract", f"WITH {_SCC} SELECT DISTINCT a.scc AS src, b.scc AS dst FROM {{edges}} e JOIN sc a ON a.node = e.src JOIN sc b ON b.node = e.dst WHERE a.scc <> b.scc")
+def contract(f: Facts) -> DataFrame:
+    return graph.contract(f.edges, graph.strong_components(f.edges))
+
+
+@query("g14_dead", f"WITH {_NODES}, t AS (SELECT node FROM {{urgent}} UNION SELECT e.dst FROM t JOIN {{edges}} e ON e.src = t.node) SELECT node FROM nd WHERE node NOT IN (SELECT node FROM t)")
+def dead(f: Facts) -> DataFrame:
+    return graph.dead(f.edges, f.urgent)
+
+
+@query("g15_transitive_reduction", "WITH tc AS (SELECT src, dst FROM {dag} UNION SELECT tc.src, e.dst FROM tc JOIN {dag} e ON tc.dst = e.src) SELECT e.src, e.dst FROM {dag} e WHERE NOT EXISTS (SELECT 1 FROM {dag} m JOIN tc ON tc.src = m.dst WHERE m.src = e.src AND tc.dst = e.dst)")
+def transitive_reduction(f: Facts) -> DataFrame:
+    return graph.transitive_reduction(f.dag)
+
+
+@query("g16_full_reduction")
+def full_reduction(f: Facts) -> DataFrame:
+    """No SQL: the closure of the contracted graph, of its live part, again is too slow there; tests compare with a search in memory."""
+    return graph.reduce_fully(f.edges)
+
+
+@query("g06_articulation_points")
+def articulation(f: Facts) -> DataFrame:
+    """No SQL: tests remove each vertex and count components."""
+    return graph.articulation_points(f.edges)
+
+
+@query("g07_betweenness")
+def betweenness(f: Facts) -> DataFrame:
+    """No SQL: tests enumerate shortest paths."""
+    return graph.betweenness(f.edges)
+
+
+@query("g04_bridge_nodes")
+def bridges(f: Facts) -> DataFrame:
+    return graph.bridge_nodes(f.edges)
+
+
+@query("g17_spectral_gaps")
+def spectral(f: Facts) -> DataFrame:
+    """No SQL: an eigenvalue; tests know those of paths, rings and complete graphs."""
+    return graph.spectral_gaps(f.edges)
+
+
+@query("g18_pagerank", f"""WITH {_NODES}, k AS (SELECT count(*) AS n FROM nd), o AS (SELECT src, count(*) AS c FROM {{edges}} GROUP BY src),
+pr0 AS (SELECT node, 1.0 / n AS r FROM nd, k), """ + ", ".join(
+    f"l{i} AS (SELECT coalesce(sum(r), 0) AS lost FROM pr{i} WHERE node NOT IN (SELECT src FROM o)), pr{i + 1} AS (SELECT nd.node, 0.15 / n + 0.85 * (coalesce(g, 0) + lost / n) AS r FROM nd CROSS JOIN k CROSS JOIN l{i} LEFT JOIN (SELECT e.dst, sum(p.r / o.c) AS g FROM {{edges}} e JOIN o ON o.src = e.src JOIN pr{i} p ON p.node = e.src GROUP BY e.dst) q ON q.dst = nd.node)"
+    for i in range(5)) + " SELECT node, round(r * 1000, 6) AS rank FROM pr5")
+def pagerank(f: Facts) -> DataFrame:
+    return graph.pagerank(f.edges, rounds=5).select("node", F.round(F.col("rank") * 1000, 6).alias("rank"))
+
+
+_NEAR = """sd AS (SELECT node FROM {urgent} WHERE node IN (SELECT o_orderkey FROM {orders} WHERE o_totalprice > 490000)), u AS (SELECT src, dst FROM {edges} UNION SELECT dst, src FROM {edges}),
+b1 AS (SELECT node FROM sd UNION SELECT u.dst FROM sd JOIN u ON u.src = sd.node), ne AS (SELECT src, dst FROM {edges} WHERE src IN (SELECT node FROM b1) OR dst IN (SELECT node FROM b1))"""
+
+
+def _seeds(f: Facts) -> DataFrame:
+    return f.orders.where("o_orderpriority = '1-URGENT' and o_totalprice > 490000").select(F.col("o_orderkey").alias("node"))
+
+
+@query("g19_neighbourhood", f"WITH {_NEAR} SELECT src, dst FROM ne")
+def neighbourhood(f: Facts) -> DataFrame:
+    return graph.neighbourhood(f.edges, _seeds(f))
+
+
+@query("g20_topo_severity")
+def topo_severity(f: Facts) -> DataFrame:
+    """No SQL: components of a neighbourhood; tests compute it by hand."""
+    return graph.topo_severity(f.edges, _seeds(f))
+
+
+@query("g21_persistent_homology")
+def homology(f: Facts) -> DataFrame:
+    """No SQL: a matrix reduction; tests hold it against the Betti numbers."""
+    weight = f.orders.select(F.col("o_orderkey").alias("src"), F.col("o_totalprice").alias("weight"))
+    return graph.persistent_homology(f.edges.join(weight, "src").select("src", "dst", "weight"))
+
+
+@query("r09_cycle_rank", f"WITH {_CC} SELECT count(*) - (SELECT count(*) FROM cc) + (SELECT count(DISTINCT component) FROM cc) AS rank FROM {{edges}}")
+def cycle_rank(f: Facts) -> DataFrame:
+    return graph.cycle_rank(f.edges)
+
+
+@query("r12_structural_risk")
+def structural_risk(f: Facts) -> DataFrame:
+    """No SQL: it needs betweenness; tests compute it by hand."""
+    duties = f.lineitem.groupBy(F.col("l_orderkey").alias("node")).agg(F.count("*").alias("duties"))
+    return graph.structural_risk(f.edges, duties)
+
+
+@query("g22_topology_report")
+def topology(f: Facts) -> DataFrame:
+    return graph.topology_report(f.edges)
+
+
+@query("g23_communities", f"WITH {_NODES} SELECT c.c_nationkey AS community, CAST(count(*) AS BIGINT) AS n FROM nd JOIN {{orders}} o ON o.o_orderkey = nd.node JOIN {{customer}} c ON c.c_custkey = o.o_custkey GROUP BY 1")
+def communities(f: Facts) -> DataFrame:
+    of = f.orders.join(f.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("node"), F.col("c_nationkey").alias("community"))
+    return graph.nodes_of(f.edges).join(of, "node").groupBy("community").agg(F.count("*").alias("n"))
+
+
+@query("m16_structural_coverage")
+def structural_coverage(f: Facts) -> DataFrame:
+    """No SQL: it needs cut vertices; tests compute it by hand."""
+    files = f.orders.select(F.col("o_orderkey").alias("node"), F.col("o_custkey").cast("string").alias("file"))
+    return graph.structural_coverage(f.edges, files, f.customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("file")))

@@ -83,7 +83,7 @@ def not_seen(f: Facts) -> DataFrame:
     return joins.not_seen_anywhere(f.violations_b, f.violations).select("file", "line", "mode", "call")
 
 
-_IMPORTS = "i AS (SELECT DISTINCT c.file, f.name, f.file AS target FROM {calls} c JOIN {functions} f ON c.callee = f.name WHERE c.positional = 1)"
+_IMPORTS = "i AS (SELECT DISTINCT c.file, f.name, f.file AS target FROM {calls} c JOIN {functions} f ON c.callee = f.name WHERE c.n_positional = 1)"
 
 
 @query("j12_resolve_imports", f"""WITH {_IMPORTS}, c AS (SELECT DISTINCT coalesce(caller, '__root__') AS src, file, callee AS name FROM {{calls}}),
@@ -92,7 +92,7 @@ b AS (SELECT c.*, f.func_id AS dst FROM c JOIN {{functions}} f ON f.file = c.fil
 d AS (SELECT c.*, f.func_id AS dst FROM c JOIN {{functions}} f ON f.name = c.name WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.src = c.src AND a.file = c.file AND a.name = c.name) AND NOT EXISTS (SELECT 1 FROM b WHERE b.src = c.src AND b.file = c.file AND b.name = c.name))
 SELECT src, dst FROM a UNION SELECT src, dst FROM b UNION SELECT src, dst FROM d""")
 def resolve_imports(f: Facts) -> DataFrame:
-    imports = f.calls.where("positional = 1").join(f.functions.select(F.col("name").alias("callee"), F.col("file").alias("target")), "callee").select("file", F.col("callee").alias("name"), "target").distinct()
+    imports = f.calls.where("n_positional = 1").join(f.functions.select(F.col("name").alias("callee"), F.col("file").alias("target")), "callee").select("file", F.col("callee").alias("name"), "target").distinct()
     return joins.resolve_imports(f.calls.select(F.coalesce("caller", F.lit("__root__")).alias("src"), "file", F.col("callee").alias("name")), imports, f.functions)
 
 
