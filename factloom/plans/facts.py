@@ -26,7 +26,7 @@ FACTS: dict[str, str] = {
     "calls": """SELECT l.l_orderkey * 10 + l.l_linenumber AS seq, c.file, c.line + l.l_linenumber AS line, CASE WHEN l.l_discount = 0 THEN NULL ELSE c.name END AS caller,
         CASE WHEN l.l_returnflag = 'R' THEN 'ext.s' || CAST(l.l_suppkey AS STRING) WHEN l.l_returnflag = 'A' THEN f.short ELSE f.name END AS callee,
         CAST(l.l_quantity AS INT) % 4 AS n_positional
-        FROM {lineitem} l CROSS JOIN (SELECT count(*) AS n FROM {part}) k JOIN {functions} c ON l.l_partkey = c.func_id JOIN {functions} f ON l.l_orderkey % k.n = f.func_id""",
+        FROM (SELECT *, l_orderkey % (SELECT count(*) FROM {part}) AS callee_id FROM {lineitem}) l JOIN {functions} c ON l.l_partkey = c.func_id JOIN {functions} f ON l.callee_id = f.func_id""",
     # a sparse graph: each order calls the customer's next one, and, if fulfilled, the one before
     "edges": """SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM {orders}) a WHERE dst IS NOT NULL
         UNION SELECT src, dst FROM (SELECT o_orderkey AS src, CASE WHEN o_orderstatus = 'F' THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) END AS dst FROM {orders}) b WHERE dst IS NOT NULL""",
