@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel as tk
-from factloom.plans.scratch import ROW_BYTES, Scratch, small_side
+from factloom.plans.scratch import ROW_BYTES, Scratch
 
 RATE, ITEM_BYTES = 0.05, 8 << 20
 SCHEMA = "doc_id long, item_id long, distance int"
@@ -151,7 +151,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **parameters: float) ->
     """docs without those that leak an item; all columns stay."""
     with Scratch(docs.sparkSession) as s:
         gone = s.keep(contaminated(docs, benchmark, **parameters).select(F.col("doc_id").alias("_gone")).distinct())
-        return docs.join(small_side(gone, ROW_BYTES * gone.count()), docs["doc_id"] == F.col("_gone"), "left_anti")
+        return tk.drop_ids(docs, gone, ROW_BYTES * gone.count())
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Language identification by hierarchical discrimination.
 
-Features of a text are the counts of its byte trigrams (lower case, white space runs as one space), hashed
-to DIMS, square-rooted and scaled to length 1; the whole text counts. A first model, linear support vector machines one against
+Features of a text are the counts of its byte trigrams of letters and spaces (lower case, white space runs as one
+space; digits and marks say nothing of a language), hashed to DIMS, square-rooted and scaled to length 1; the whole text counts. A first model, linear support vector machines one against
 the rest, decides among language families; within the family decided on, one-versus-one linear support
 vector machines vote, a tie going to the larger sum of margins, then to the first name.
 
@@ -9,8 +9,8 @@ Training takes at most SAMPLE texts of each language, those whose ids have the l
 documented and does not grow; its features (SAMPLE x DIMS floats a language) are all that comes to the driver.
 Counts per language over all rows set the share of rows that is looked at for them.
 
-``accepted`` is false if a text has fewer than LETTERS letters, if too few of its trigrams are any that
-the training texts have (KNOWN), or if the decision is closer than MARGIN on both levels: such a text is of no
+``accepted`` is false if a text has fewer than LETTERS letters, if too small a share of its trigrams (KNOWN) is in bins
+that the training texts fill to at least COMMON of the mean, or if the decision is closer than MARGIN on both levels: such a text is of no
 language known here. Languages that no family lists form one family each.
 
 Defined cases: rows without an id go; a null or empty text is not accepted and has language null; rows
@@ -37,7 +37,7 @@ FAMILIES = {
     "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
     "slavic": ("be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
-SAMPLE, DIMS, LETTERS, KNOWN, MARGIN = 400, 4096, 2, 0.5, 0.02
+SAMPLE, DIMS, LETTERS, COMMON, KNOWN, MARGIN = 400, 4096, 2, 0.2, 0.65, 0.02
 SCHEMA = "doc_id long, language string, family string, margin double, accepted boolean"
 
 
@@ -45,13 +45,15 @@ def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Trigram counts by text and bin, and letters (anything but ASCII non-letters) by text."""
     raw, off = tk.bytes_of(pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]", " "))
     n = len(off) - 1
-    letter = np.r_[0, np.cumsum(((raw >= 97) & (raw <= 122)) | (raw >= 128))]
+    is_letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
+    letter = np.r_[0, np.cumsum(is_letter)]
     out = np.zeros((n, DIMS), np.float32)
     if len(raw) >= 3:
         x = raw.astype(np.uint32)
         code = (x[:-2] * np.uint32(40503) ^ x[1:-1] * np.uint32(2654435761) ^ x[2:] * np.uint32(97787)) * np.uint32(2246822519) >> np.uint32(20)
         text = np.repeat(np.arange(n, dtype=np.int64), np.diff(off))
-        ok = text[:-2] == text[2:]
+        plain = is_letter | (raw == 32)
+        ok = (text[:-2] == text[2:]) & plain[:-2] & plain[1:-1] & plain[2:]
         out = np.bincount(text[:-2][ok] * DIMS + code[ok], minlength=n * DIMS).reshape(n, DIMS).astype(np.float32)
     return out, letter[off[1:]] - letter[off[:-1]]
 
@@ -87,7 +89,7 @@ class Model:
     languages: dict[str, list[str]]
     first: np.ndarray  # families x (DIMS + 1)
     pairs: dict[tuple[str, str], np.ndarray]
-    seen: np.ndarray  # bins of the training texts
+    seen: np.ndarray  # bins that are common in the training texts
 
     def predict(self, c: np.ndarray, letters: np.ndarray) -> tuple[list, list, np.ndarray, np.ndarray]:
         x = scaled(c)
@@ -162,7 +164,7 @@ def fit(c: np.ndarray, lang: np.ndarray, families: dict[str, tuple[str, ...]]) -
         for a, b in combinations(languages[f], 2):
             rows = np.isin(lang, [a, b])
             pairs[a, b] = train_svm(x[rows], np.where(lang[rows] == a, 1.0, -1.0))
-    return Model(names, languages, first, pairs, (c.sum(0) > 0).astype(np.float32))
+    return Model(names, languages, first, pairs, (c.sum(0) > COMMON * c.sum() / DIMS).astype(np.float32))
 
 
 def _predict(model: Model):

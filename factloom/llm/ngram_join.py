@@ -22,8 +22,7 @@ text, 1.0), and the pairs of their members follow from that of the representativ
 of copies give thousands of rows. All rows are exact; pairs may be missed with the target's probability.
 
 Defined cases: rows without an id or text, and texts without words, pair with none; rows of the same
-id and text are one; of the same id and different texts, the texts are compared like others and a
-pair of an id with itself is left out. Other columns are ignored, whatever their names.
+id and set are one; of several texts of one id the one with the least digest of its set counts. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel as tk
@@ -235,6 +234,15 @@ def _exact(n: int, threshold: float):
             h = np.concatenate([p[0] for p in parts])
             size = np.concatenate([np.diff(p[1]) for p in parts])
             first = np.cumsum(size) - size
+            whole = np.flatnonzero(size)
+            made = np.zeros(len(ids), np.uint64)
+            made[whole] = np.add.reduceat(tk.mix(h), first[whole]) if len(whole) else made[whole]
+            ok = np.flatnonzero((made.view(np.int64) == c["set_hi"].to_numpy()) & (size > 0))
+            ok = ok[np.unique(ids[ok], return_index=True)[1]]  # one text for each id
+            if len(ok) < 2:
+                continue
+            h, ids, side, size = h[tk.ranges(first[ok], size[ok])], ids[ok], side[ok], size[ok]
+            first = np.cumsum(size) - size
             token = np.unique(h, return_inverse=True)[1]
             mark = np.zeros(int(token.max()) + 1, bool)
             out = []
@@ -247,6 +255,8 @@ def _exact(n: int, threshold: float):
                 ok &= (ids > ids[x]) if diagonal else (side == 1)
                 y = np.flatnonzero(ok)
                 out.append((np.full(len(y), ids[x]), ids[y], shared[y], union[y]))
+            if not out:
+                continue
             a, b, s, u = (np.concatenate(z) for z in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s), pa.array(u), pa.array(s / u)], names=["doc_a", "doc_b", "n_shared", "n_union", "jaccard"])
 
@@ -261,29 +271,30 @@ def jaccard_pairs(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
     with Scratch(spark) as s:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
         made = s.save(texts.mapInArrow(_sketch_batches(n, runs_for(recall), threshold), "doc_id long, set_hi long, set_lo long, n_grams long, sketch binary, buckets array<long>"))
-        sets = made.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.max("n_grams").alias("n_grams"), F.count("*").alias("members"))
-        copies = s.keep(
-            made.join(sets.where("members > 1"), ["set_hi", "set_lo"]).where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), sets["n_grams"].alias("n_shared"), sets["n_grams"].alias("n_union"), F.lit(1.0).alias("jaccard")).distinct()
-        )
-        reps = made.join(copies.select(F.col("doc_b").alias("doc_id")).distinct(), "doc_id", "left_anti")
+        chosen = made.groupBy("doc_id").agg(F.min(F.struct("set_hi", "set_lo", "n_grams")).alias("x")).select("doc_id", "x.*")
+        ranked = s.keep(chosen.withColumn("rep", F.min("doc_id").over(Window.partitionBy("set_hi", "set_lo"))))
+        copies = ranked.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("n_grams").alias("n_shared"), F.col("n_grams").alias("n_union"), F.lit(1.0).alias("jaccard"))
+        keys = ranked.where("doc_id = rep").select("doc_id", "set_hi", "set_lo")
+        reps = made.join(keys, ["doc_id", "set_hi", "set_lo"])
         met = reps.select("doc_id", F.explode("buckets").alias("bucket")).distinct().groupBy("bucket").agg(F.collect_list("doc_id").alias("ids")).where(F.size("ids") > 1)
         members = met.select("bucket", F.explode("ids").alias("doc_id")).join(reps.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id")
         edges = s.keep(members.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "doc_id", "sketch").mapInArrow(_bucket_edges(threshold), "src long, dst long").distinct())
         family = s.keep(connected_components(edges).withColumnRenamed("node", "doc_id"))
         count = family.count()
-        cells_bytes = 2 * ROW_BYTES * count
+        cells_bytes = 3 * ROW_BYTES * count
         large = family.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-        placed = family.join(large.where("blocks > 1").select("component", "blocks"), "component", "left").select("doc_id", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+        placed = family.join(keys.select("doc_id", "set_hi"), "doc_id").join(large.where("blocks > 1").select("component", "blocks"), "component", "left").select("doc_id", "set_hi", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
         placed = placed.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        cells = placed.select("doc_id", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        cells = placed.select("doc_id", "set_hi", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
             "doc_id",
+            "set_hi",
             F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
             F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
             (F.col("mine") == F.col("other")).alias("diagonal"),
         )
         fetched = texts.join(small_side(cells, cells_bytes), "doc_id")
-        near = fetched.select("cell", "side", "diagonal", "doc_id", "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(_exact(n, threshold), SCHEMA)
-        return near.where("doc_a <> doc_b").unionByName(copies)
+        near = fetched.select("cell", "side", "diagonal", "doc_id", "set_hi", "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(_exact(n, threshold), SCHEMA)
+        return near.unionByName(copies)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -296,7 +307,7 @@ def keep_one(docs: DataFrame, **parameters: float) -> DataFrame:
     gone = groups(jaccard_pairs(docs, **parameters)).where("node <> component").select(F.col("node").alias("_gone"))
     with Scratch(docs.sparkSession) as s:
         gone = s.keep(gone)
-        return docs.join(small_side(gone, ROW_BYTES * gone.count()), docs["doc_id"] == F.col("_gone"), "left_anti")
+        return tk.drop_ids(docs, gone, ROW_BYTES * gone.count())
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,21 +120,24 @@ def spans(duplicates: DataFrame, window: int) -> DataFrame:
     return duplicates.select("doc_id", "pos").repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_merge(window), SPANS)
 
 
-def _cut(b: pa.RecordBatch) -> pa.RecordBatch:
-    out = []
-    raw, off = tk.bytes_of(b.column("text"))
-    start, first = tk.word_starts(b.column("text"))
-    for i, cut in enumerate(b.column("_spans").to_pylist()):
-        text = raw[off[i] : off[i + 1]].tobytes()
-        at, keep = 0, []
-        for x in sorted(cut or [], key=lambda x: x["word_start"]):
-            n = first[i + 1] - first[i]
-            keep.append(text[at : start[first[i] + x["word_start"]] - off[i]])
-            at = len(text) if x["word_end"] >= n else int(start[first[i] + x["word_end"]] - off[i])
-        keep.append(text[at:])
-        out.append(b"".join(keep).decode())
-    k = b.schema.get_field_index("text")
-    return b.set_column(k, "text", pa.array(out, pa.string()))
+def _cut(spans: str):
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        raw, off = tk.bytes_of(b.column("text"))
+        start, first = tk.word_starts(b.column("text"))
+        for i, cut in enumerate(b.column(spans).to_pylist()):
+            text = raw[off[i] : off[i + 1]].tobytes()
+            at, keep = 0, []
+            for x in sorted(cut or [], key=lambda x: x["word_start"]):
+                n = first[i + 1] - first[i]
+                keep.append(text[at : start[first[i] + x["word_start"]] - off[i]])
+                at = len(text) if x["word_end"] >= n else int(start[first[i] + x["word_end"]] - off[i])
+            keep.append(text[at:])
+            out.append(b"".join(keep).decode())
+        k = b.schema.get_field_index("text")
+        return b.set_column(k, "text", pa.array(out, pa.string()))
+
+    return one
 
 
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -143,14 +146,14 @@ def without(docs: DataFrame, found: DataFrame) -> DataFrame:
     All columns stay; n_chars, if there is one, is that of the new text. Rows that no span names are as they were.
     """
     names = docs.columns
+    key, cut = tk.fresh(docs, "_id"), tk.fresh(docs, "_spans")
     with Scratch(docs.sparkSession) as s:
-        per = s.keep(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("word_start", "word_end")).alias("_spans")))
-        held = per.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_spans")), F.lit(0)).alias("k")).first()
-        hit = docs.join(small_side(per, 2 * ROW_BYTES * held["n"] + ROW_BYTES * held["k"]), docs["doc_id"] == F.col("_id"))
-        rest = docs.join(small_side(per.select("_id"), ROW_BYTES * held["n"]), docs["doc_id"] == F.col("_id"), "left_anti")
-        fields = [f for f in docs.schema.fields if f.name in names]
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        made = hit.select(*names, "_spans").mapInArrow(tk.sliced(_cut), kept + ", _spans array<struct<word_start:int,word_end:int>>").select(*names).where(F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
+        per = s.keep(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("word_start", "word_end")).alias(cut)))
+        held = per.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(cut)), F.lit(0)).alias("k")).first()
+        hit = docs.join(small_side(per, 2 * ROW_BYTES * held["n"] + ROW_BYTES * held["k"]), docs["doc_id"] == F.col(key))
+        rest = tk.drop_ids(docs, per.select(key), ROW_BYTES * held["n"])
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        made = hit.select(*[docs[c] for c in names], cut).mapInArrow(tk.sliced(_cut(cut)), kept + f", {cut} array<struct<word_start:int,word_end:int>>").select(*[f"`{c}`" for c in names]).where(F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
         if "n_chars" in names:
             made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
         return rest.unionByName(made)

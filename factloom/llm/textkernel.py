@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE = 2 << 20
 WORD_SQL = r"[0-9a-z\x{80}-\x{10FFFF}]+"
@@ -224,3 +225,19 @@ def by_runs(f: Callable[[pa.Table], Iterator[pa.RecordBatch]], key: str, rows: i
 def with_ids(docs: DataFrame, *columns: str) -> DataFrame:
     """The columns by which texts are handled; rows without an id cannot be named in a result and go."""
     return docs.select(*columns).where("doc_id is not null")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of df, in whatever case, is called so."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, size: int) -> DataFrame:
+    """docs without the ids of gone's only column; rows without an id stay, as do all columns."""
+    from factloom.plans.scratch import small_side
+
+    key = fresh(docs, "_gone")
+    return docs.join(small_side(gone.toDF(key), size), docs["doc_id"] == F.col(key), "left_anti")
