@@ -1 +1,63 @@
-"""..."""
+"""Text and source scans. Rules on syntax trees run over SAMPLES, as no table holds code; their tests are tests/test_rules.py."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factloom.operators import joins, rules
+from factloom.plans.catalog import query
+from factloom.plans.facts import Facts
+from factloom.sources import python_facts, readers
+
+SAMPLES = {
+    "pkg/a.py": "import json\nimport requests\n\n\ndef load(text, seen=[]):\n    seen.append(text)\n    return json.loads(text)\n\n\ndef fetch(url):\n    return requests.get(url)\n",
+    "pkg/b.py": "import asyncio\nimport subprocess\n\n\nasync def work():\n    asyncio.run(other())\n    work()\n\n\nasync def other():\n    try:\n        subprocess.run(['ls'])\n    except:\n        return '{} {}'.format(1)\n",
+    "pkg/c.py": "def f(q, table, score):\n    row = q.objects.first()\n    key = table.get(row)\n    total = score or 0\n    return row.name, table[key], any([table[0], total])\n",
+    "pkg/broken.py": "def (",
+}
+
+
+def samples(f: Facts) -> DataFrame:
+    return f.spark.createDataFrame(sorted(SAMPLES.items()), "file string, text string")
+
+
+@query("c00_check_samples")
+def check_samples(f: Facts) -> DataFrame:
+    return rules.check(samples(f)).select("file", "line", "mode", "call")
+
+
+@query("src02_python_facts")
+def python_sample_facts(f: Facts) -> DataFrame:
+    return python_facts.facts(samples(f))
+
+
+@query("c01_model_constraint", """WITH r AS (SELECT c.site, r.field FROM {site_creates} c JOIN {model_req} r ON c.model = r.model) SELECT site, field FROM r WHERE NOT EXISTS (SELECT 1 FROM {site_provides} p WHERE p.site = r.site AND p.field = r.field)""")
+def model_constraint(f: Facts) -> DataFrame:
+    return joins.not_provided(joins.required_fields(f.site_creates, f.model_req), f.site_provides).select("site", "field")
+
+
+@query("c02_required_arg_missing", """WITH u AS (SELECT name FROM {functions} GROUP BY name HAVING count(*) = 1) SELECT c.seq, c.callee FROM {calls} c JOIN u ON c.callee = u.name WHERE c.n_positional < 2""")
+def required_arg_missing(f: Facts) -> DataFrame:
+    return joins.resolve_unique(f.calls.select("seq", "callee", "n_positional"), f.functions.select("name", "func_id")).where("n_positional < 2").select("seq", "callee")
+
+
+@query("src13_json_props", "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM {events} GROUP BY 1")
+def json_props(f: Facts) -> DataFrame:
+    return f.events.select("event_type", F.from_json("props", "k long")["k"].alias("k")).groupBy("event_type").agg(F.sum("k").alias("total"))
+
+
+@query("src16_links", "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM {pages}) SELECT page_id, CAST(count(DISTINCT href) AS BIGINT) AS links FROM l GROUP BY page_id")
+def links(f: Facts) -> DataFrame:
+    return f.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href")).groupBy("page_id").agg(F.countDistinct("href").alias("links"))
+
+
+@query("src19_notes", """WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM {documents})
+SELECT file, CAST(line AS INT) AS line, trim(text, ' ') AS text FROM l WHERE regexp_matches(text, '\\b(license|License|Copyright|token)\\b')""")
+def notes(f: Facts) -> DataFrame:
+    return readers.notes(f.documents.select(F.col("doc_id").alias("file"), "text"), tags=r"\b(license|License|Copyright|token)\b")
+
+
+@query("snk3_mermaid", "SELECT 'flowchart LR' || chr(10) || string_agg('  ' || CAST(n_nationkey AS STRING) || ' --> ' || CAST(n_regionkey AS STRING), chr(10) ORDER BY '  ' || CAST(n_nationkey AS STRING) || ' --> ' || CAST(n_regionkey AS STRING)) AS text FROM {nation}")
+def mermaid(f: Facts) -> DataFrame:
+    return readers.mermaid(f.nation.select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst")))
