@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -95,11 +95,11 @@ def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, scc): the least node that reaches and is reached, itself at least.
 
-    Integer nodes: one search for each weakly connected component, which one task holds. Other nodes:
+    Integer nodes: one search over weakly connected components, each in one task. Other nodes:
     from the closure, so for graphs whose closure fits.
     """
     if edges.schema["src"].dataType.typeName() in ("long", "integer", "short", "byte"):
-        return per_component(edges, _strong, "node long, scc long")
+        return per_partition(edges, _strong, "node long, scc long")
     c = closure(edges)
     back = c.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     least = c.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
@@ -327,13 +327,25 @@ def per_component(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFram
     return edges.join(parts.withColumnRenamed("node", "src"), "src").groupBy("component").applyInPandas(kernel, schema)
 
 
+def per_partition(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """The kernel's rows for whole components at a time, for kernels to which components make no difference; a task holds one partition's edges."""
+    parts = connected_components(edges.select("src", "dst"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield kernel(pd.concat(held, ignore_index=True))
+
+    return edges.join(parts.withColumnRenamed("node", "src"), "src").repartition("component").select("src", "dst").mapInPandas(run, schema)
+
+
 def _articulation(pdf: pd.DataFrame) -> pd.DataFrame:
     nodes, near = adjacency(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
     return pd.DataFrame({"node": nodes[sorted(cut_vertices(near))]})
 
 
 def articulation_points(edges: DataFrame) -> DataFrame:
-    return per_component(edges, _articulation, "node long")
+    return per_partition(edges, _articulation, "node long")
 
 
 def _central(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -343,7 +355,7 @@ def _central(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """(node, betweenness), undirected, over all pairs of other vertices of the whole graph."""
-    raw = per_component(edges, _central, "node long, raw double")
+    raw = per_partition(edges, _central, "node long, raw double")
     n = nodes_of(edges).agg(F.count("*").alias("n"))
     pairs = (F.col("n") - 1) * (F.col("n") - 2) / 2
     return raw.crossJoin(F.broadcast(n)).select("node", F.round(F.when(pairs > 0, F.col("raw") / pairs).otherwise(0.0), 6).alias("betweenness"))
