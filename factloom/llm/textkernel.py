@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE = 2 << 20
+SLICE, ROWS = 2 << 20, 1024
 WORD_SQL = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 _U = np.uint64
@@ -118,13 +118,14 @@ def word_starts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of about ``size`` bytes of text."""
+    """Consecutive rows of about ``size`` bytes of text, at most ROWS of them."""
     if not batch.num_rows:
         return
     n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(n) - n) // size
     for lo, hi in zip(cuts := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), [*cuts[1:], len(n)]):
-        yield batch.slice(lo, hi - lo)
+        for at in range(lo, hi, ROWS):
+            yield batch.slice(at, min(ROWS, hi - at))
 
 
 def sliced(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text") -> Callable:
