@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE, ROWS = 2 << 20, 1024
+SLICE, ROWS = 1 << 20, 1024
 WORD_SQL = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 _U = np.uint64
