@@ -3,9 +3,9 @@
 1. Nearest-neighbour graph. A text is the set of its word n-grams, sketched by T min-wise tokens; two
    texts are as similar as the share of tokens they agree in. Every text is a query for its K nearest
    of at least FLOOR. Candidates meet in T / 2 buckets of two tokens, so that a pair at the floor meets
-   with 1 - (1 - FLOOR**2)**(T / 2), 0.95, and a nearer one more surely. A bucket of more than LEAF
-   texts splits by further tokens as long as that tells them apart. Texts of equal sets are one vertex
-   and follow one another.
+   with 1 - (1 - FLOOR**2)**(T / 2), 0.95, and a nearer one more surely, however many share the bucket:
+   all pairs of it are compared. A bucket of more than BLOCK texts is cut in blocks and each pair of
+   blocks is a task of its own. Texts of equal sets are one vertex and follow one another.
 2. Paths. Each connected component of the graph is walked on its own: begin at the unvisited vertex of
    lowest degree, go on to the most similar unvisited neighbour (of equals the one of lower degree,
    then of lesser id) until there is none, begin again. Components beyond MAX_NODES, which one task
@@ -35,7 +35,7 @@ from factloom.llm.ngram_join import N, T, gram_sets, sketches
 from factloom.plans.iterate import connected_components
 from factloom.plans.scratch import Scratch
 
-K, FLOOR, LEAF, DEEP, MAX_NODES = 6, 0.3, 512, 12, 1_000_000
+K, FLOOR, BLOCK, MAX_NODES = 6, 0.3, 4096, 1_000_000
 WINDOW, PACK_TOKENS = 2048, 16 << 20
 SCHEMA = "window long, slot int, doc_id long, token_start long, token_end long, path long"
 _U = np.uint64
@@ -67,45 +67,58 @@ def _survey(n: int, vocabulary: str):
     return tk.sliced(one)
 
 
-def nearest(sketch: np.ndarray, k: int, floor: float, seed: int = 0, depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour, agreeing tokens): up to k nearest of each within one bucket; of equals the first."""
-    m = len(sketch)
-    if m > LEAF and depth < DEEP:
-        value = sketch[:, int(tk.mix(np.array([seed * 31 + depth], np.uint64))[0] % _U(T))]
-        order = np.argsort(value, kind="stable")
-        v = value[order]
-        cuts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        parts = [(order[lo:hi], nearest(sketch[order[lo:hi]], k, floor, seed, depth + 1)) for lo, hi in zip(cuts, [*cuts[1:], m]) if hi - lo > 1]
-        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*[(o[q], o[p], a) for o, (q, p, a) in parts])) if parts else (np.zeros(0, np.int64),) * 3
-    q, p, a = [], [], []
-    for lo in range(0, m, 64):
-        agree = np.zeros((min(64, m - lo), m), np.int16)
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Tokens that each sketch of a agrees in with each of b."""
+    out, columns = np.zeros((len(a), len(b)), np.uint8), np.ascontiguousarray(b.T)
+    for lo in range(0, len(a), 64):
         for j in range(T):
-            agree += sketch[lo : lo + 64, j, None] == sketch[None, :, j]
-        agree[np.arange(len(agree)), lo + np.arange(len(agree))] = -1
-        top = np.argsort(-agree, axis=1, kind="stable")[:, :k] if m > k else np.broadcast_to(np.arange(m), (len(agree), m))
-        value = np.take_along_axis(agree, top, 1)
-        i, j = np.nonzero(value >= floor * T)
-        q.append(lo + i)
-        p.append(top[i, j])
-        a.append(value[i, j].astype(np.int64))
-    return np.concatenate(q), np.concatenate(p), np.concatenate(a)
+            out[lo : lo + 64] += (a[lo : lo + 64, j, None] == columns[j]).view(np.uint8)
+    return out
+
+
+def best(agree: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, agreeing tokens): up to k best of each row; of equals the first. Overwrites agree."""
+    rows = np.arange(len(agree))
+    found = []
+    for _ in range(min(k, agree.shape[1])):
+        top = agree.argmax(1)
+        value = agree[rows, top]
+        ok = value >= floor * T
+        if not ok.any():
+            break
+        found.append((rows[ok], top[ok], value[ok].astype(np.int64)))
+        agree[rows, top] = 0
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def nearest(sketch: np.ndarray, k: int, floor: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, neighbour, agreeing tokens): up to k nearest of each; with side, of each in the other side only."""
+    if side is None:
+        agree = agreement(sketch, sketch)
+        np.fill_diagonal(agree, 0)
+        return best(agree, k, floor)
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    agree = agreement(sketch[one], sketch[two])
+    back = best(np.ascontiguousarray(agree.T), k, floor)
+    there = best(agree, k, floor)
+    return np.r_[one[there[0]], two[back[0]]], np.r_[two[there[1]], one[back[1]]], np.r_[there[2], back[2]]
 
 
 def _neighbours(k: int, floor: float):
     def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        bucket, ids = t["bucket"].to_numpy(), t["doc_id"].to_numpy()
+        cell, ids, side = (t[x].to_numpy() for x in ("cell", "doc_id", "side"))
         sk = np.frombuffer(t["sketch"].combine_chunks().cast(pa.large_binary()).buffers()[2], np.uint16).reshape(-1, T)[: len(ids)]
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         size = np.diff(np.r_[cuts, len(ids)])
-        two = cuts[size == 2]
+        two = cuts[(size == 2) & (side[cuts] < 0)]
         agree = (sk[two] == sk[two + 1]).sum(1)
         two, agree = two[agree >= floor * T], agree[agree >= floor * T]
         q, p, a = [ids[two], ids[two + 1]], [ids[two + 1], ids[two]], [agree, agree]
-        for lo, m in zip(cuts[size > 2], size[size > 2]):
+        more = (size > 2) | (side[cuts] >= 0)
+        for lo, m in zip(cuts[more], size[more]):
             order = lo + np.argsort(ids[lo : lo + m], kind="stable")
-            i, j, x = nearest(sk[order], k, floor, int(bucket[lo]) & 0xFFFFFFFF)
+            i, j, x = nearest(sk[order], k, floor, None if side[lo] < 0 else side[order])
             q.append(ids[order[i]])
             p.append(ids[order[j]])
             a.append(x)
@@ -120,16 +133,24 @@ def _neighbours(k: int, floor: float):
         ok = rank < k
         yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(p[ok]), pa.array(a[ok].astype(np.int32))], names=["src", "dst", "agree"])
 
-    return tk.by_runs(one, "bucket")
+    return tk.by_runs(one, "cell")
 
 
-def graph(vertices: DataFrame, s: Scratch, *, k: int = K, floor: float = FLOOR) -> DataFrame:
+def graph(vertices: DataFrame, s: Scratch, *, k: int = K, floor: float = FLOOR, block: int = BLOCK) -> DataFrame:
     """(src, dst, agree): each vertex's k nearest, from vertices (doc_id, sketch, buckets)."""
     met = vertices.select("doc_id", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.collect_list("doc_id").alias("ids")).where(F.size("ids") > 1)
-    members = met.select("bucket", F.explode("ids").alias("doc_id")).join(vertices.select("doc_id", "sketch"), "doc_id")
-    found = members.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "doc_id", "sketch").mapInArrow(_neighbours(k, floor), "src long, dst long, agree int")
-    best = Window.partitionBy("src").orderBy(F.desc("agree"), "dst")
-    return s.keep(found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"))
+    members = met.select("bucket", F.ceil(F.size("ids") / block).cast("int").alias("blocks"), F.explode("ids").alias("doc_id")).join(vertices.select("doc_id", "sketch"), "doc_id")
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    met_in = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = met_in.select(
+        F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))).alias("cell"),
+        F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+        "doc_id",
+        "sketch",
+    )
+    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_neighbours(k, floor), "src long, dst long, agree int")
+    nearest_first = Window.partitionBy("src").orderBy(F.desc("agree"), "dst")
+    return s.keep(found.distinct().withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= k).drop("r"))
 
 
 def walk(src: np.ndarray, dst: np.ndarray, agree: np.ndarray) -> list[int]:

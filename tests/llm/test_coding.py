@@ -162,3 +162,42 @@ def test_neighbours(spark):
             want += len(near)
             found += min(len(near), len(got.get(d, {})))
         assert found >= 0.9 * want > 0
+
+
+def family(seed, m, s):
+    """Sketches of m texts that come from one template; two of them agree in a share of s."""
+    from factloom.llm.ngram_join import T
+
+    r = np.random.default_rng(seed)
+    sketch = np.repeat(r.integers(0, 1 << 16, (1, T), dtype=np.uint16), m, axis=0)
+    own = r.random(sketch.shape) >= s**0.5
+    sketch[own] = r.integers(0, 1 << 16, int(own.sum()), dtype=np.uint16)
+    return sketch
+
+
+@pytest.mark.parametrize("s, block", [(0.4, packing.BLOCK), (0.6, packing.BLOCK), (0.6, 500)])
+def test_recall_in_a_hot_family(spark, s, block):
+    """Several thousand non-equal texts of one template: recall of the K nearest against brute force."""
+    from factloom.llm import textkernel as tk
+    from factloom.llm.ngram_join import T
+    from factloom.plans.scratch import Scratch
+
+    m, pairs = 3000, T // 2
+    sketch = family(5, m, s)
+    buckets = tk.mix(sketch.view(np.uint32).astype(np.uint64) ^ (np.arange(1, pairs + 1, dtype=np.uint64) << np.uint64(40))).view(np.int64)
+    rows = [(i, sketch[i].tobytes(), buckets[i].tolist()) for i in range(m)]
+    with Scratch(spark) as scratch:
+        got = {}
+        for r in packing.graph(spark.createDataFrame(rows, "doc_id long, sketch binary, buckets array<long>"), scratch, block=block).collect():
+            assert r.agree == (sketch[r.src] == sketch[r.dst]).sum()
+            got.setdefault(r.src, []).append(r.agree)
+    want = found = 0
+    for i in range(m):
+        agree = (sketch == sketch[i]).sum(1)
+        agree[i] = 0
+        top = np.sort(agree)[-packing.K :]
+        top = top[top >= packing.FLOOR * T]
+        want += len(top)
+        found += sum(a >= top[0] for a in got.get(i, [])) if len(top) else 0
+        assert not len(top) or got.get(i)
+    assert found >= 0.95 * want > 0
