@@ -8,8 +8,8 @@
    blocks is a task of its own. Texts of equal sets are one vertex and follow one another.
 2. Paths. Each connected component of the graph is walked on its own: begin at the unvisited vertex of
    lowest degree, go on to the most similar unvisited neighbour (of equals the one of lower degree,
-   then of lesser id) until there is none, begin again. Components beyond MAX_NODES, which one task
-   should not walk, are first cut at their weakest edges by raising the floor within them.
+   then of lesser id) until there is none, begin again. A component of any size keeps all its edges and
+   is walked in one task, in arrays of bounded bytes an edge.
 3. Windows. Along the paths, component after component, token after token, windows of ``window`` tokens
    are filled without padding; a text that crosses the end of one goes on in the next. Components are
    dealt to packs by their hash, a pack for every PACK_TOKENS tokens, and only the last window of a
@@ -22,6 +22,7 @@ the most tokens. Other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from factloom.llm.ngram_join import N, T, gram_sets, sketches
 from factloom.plans.iterate import connected_components
 from factloom.plans.scratch import Scratch
 
-K, FLOOR, BLOCK, MAX_NODES = 6, 0.3, 4096, 1_000_000
+K, FLOOR, BLOCK = 6, 0.3, 4096
 WINDOW, PACK_TOKENS = 2048, 16 << 20
 SCHEMA = "window long, slot int, doc_id long, token_start long, token_end long, path long"
 _U = np.uint64
@@ -155,47 +156,81 @@ def graph(vertices: DataFrame, s: Scratch, *, k: int = K, floor: float = FLOOR,
 
 def walk(src: np.ndarray, dst: np.ndarray, agree: np.ndarray) -> list[int]:
     """The vertices of one component in the order of its paths."""
-    near: dict[int, dict[int, int]] = {}
-    for u, v, a in zip(src.tolist(), dst.tolist(), agree.tolist()):
-        near.setdefault(u, {})[v] = a
-        near.setdefault(v, {})[u] = a
-    degree = {u: len(x) for u, x in near.items()}
-    path, seen = [], set()
-    for u in sorted(near, key=lambda x: (degree[x], x)):
-        while u is not None and u not in seen:
-            seen.add(u)
-            path.append(u)
-            u = min((v for v in near[u] if v not in seen), key=lambda v: (-near[u][v], degree[v], v), default=None)
-    return path
-
-
-def _walks(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    t = t.combine_chunks()
-    c, src, dst, agree = (t[x].to_numpy() for x in ("component", "src", "dst", "agree"))
-    cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-    nodes, steps, of = [], [], []
-    for lo, hi in zip(cuts, [*cuts[1:], len(c)]):
-        path = walk(src[lo:hi], dst[lo:hi], agree[lo:hi])
-        nodes += path
-        steps += range(len(path))
-        of += [int(c[lo])] * len(path)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(of, pa.int64()), pa.array(steps, pa.int32())], names=["node", "component", "step"])
-
-
-def paths(edges: DataFrame, s: Scratch, *, max_nodes: int = MAX_NODES) -> DataFrame:
+    nodes = np.unique(np.r_[np.unique(src), np.unique(dst)])
+    m = _U(len(nodes))
+    u, v = np.searchsorted(nodes, src).astype(np.int32), np.searchsorted(nodes, dst).astype(np.int32)
+    edge = (np.minimum(u, v).astype(np.uint64) * m + np.maximum(u, v).astype(np.uint64)) << _U(7) | agree.astype(np.uint64)
+    del u, v
+    edge.sort()
+    edge = edge[np.r_[True, edge[1:] != edge[:-1]]]  # either direction, once
+    near = _U(127) - (edge & _U(127))
+    edge >>= _U(7)
+    u, v = (edge // m).astype(np.int32), (edge % m).astype(np.int32)
+    del edge
+    degree = np.bincount(u, minlength=len(nodes)) + np.bincount(v, minlength=len(nodes))
+    starts = np.lexsort((nodes, degree)).astype(np.int32)
+    rank = np.empty(len(nodes), np.uint64)
+    rank[starts] = np.arange(len(nodes), dtype=np.uint64)
+    adjacent = np.empty(2 * len(u), np.uint64)  # of each vertex the best neighbour first
+    adjacent[: len(u)] = (u.astype(np.uint64) << _U(7) | near) * m + rank[v]
+    adjacent[len(u) :] = (v.astype(np.uint64) << _U(7) | near) * m + rank[u]
+    del u, v, near
+    adjacent.sort()
+    adjacent %= m
+    adjacent, starts, first = memoryview(starts[adjacent]), memoryview(starts), memoryview(np.r_[0, np.cumsum(degree)])
+    path, seen = array("i"), bytearray(len(nodes))
+    for x in starts:
+        while x >= 0 and not seen[x]:
+            seen[x] = 1
+            path.append(x)
+            x = next((y for y in adjacent[first[x] : first[x + 1]] if not seen[y]), -1)
+    return nodes[np.frombuffer(path, np.int32)].tolist()
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of the components of a partition that is sorted by them; holds one component, as bare arrays."""
+    held: list[tuple[np.ndarray, ...]] = []
+    nodes, of, steps = [], [], []
+    now = None
+
+    def walked() -> None:
+        src, dst, agree = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        path = walk(src, dst, agree)
+        nodes.extend(path)
+        of.append((now, len(path)))
+        steps.append(np.arange(len(path), dtype=np.int32))
+
+    def made() -> Iterator[pa.RecordBatch]:
+        component, step = np.repeat([c for c, _ in of], [n for _, n in of]), np.concatenate(steps)
+        for lo in range(0, len(nodes), 1 << 17):
+            x = slice(lo, lo + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[x], pa.int64()), pa.array(component[x]), pa.array(step[x])], names=["node", "component", "step"])
+        nodes.clear()
+        of.clear()
+        steps.clear()
+
+    for b in batches:
+        c, src, dst, agree = (b.column(x).to_numpy() for x in ("component", "src", "dst", "agree"))
+        cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(c)]):
+            if held and c[lo] != now:
+                walked()
+                if len(nodes) >= 1 << 17:
+                    yield from made()
+            now = int(c[lo])
+            held.append((src[lo:hi].copy(), dst[lo:hi].copy(), agree[lo:hi].astype(np.uint8)))
+    if held:
+        walked()
+    if nodes:
+        yield from made()
+
+
+def paths(edges: DataFrame, s: Scratch) -> DataFrame:
     """(node, component, step) of every vertex with a neighbour."""
-    least = 0
-    while True:
-        parts = s.keep(connected_components(edges.select("src", "dst")))
-        big = s.keep(parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > max_nodes))
-        if big.isEmpty() or least >= T:
-            break
-        least = max(least, edges.agg(F.min("agree")).first()[0]) + 4
-        inside = parts.join(big, "component", "left_semi").select(F.col("node").alias("src"))
-        weak = edges.where(F.col("agree") < least).join(inside, "src", "left_semi")
-        edges = s.keep(edges.join(weak, ["src", "dst"], "left_anti"))
+    parts = s.keep(connected_components(edges.select("src", "dst")))
     held = edges.join(parts.select(F.col("node").alias("src"), "component"), "src")
-    return held.select("component", "src", "dst", "agree").repartition("component").sortWithinPartitions("component", "src", "dst").mapInArrow(tk.by_runs(_walks, "component"), "node long, component long, step int")
+    return held.select("component", "src", "dst", "agree").repartition("component").sortWithinPartitions("component", "src", "dst").mapInArrow(_walks, "node long, component long, step int")
 
 
 def fill(n_tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -224,7 +259,7 @@ def _fill(window: int):
     return tk.by_runs(one, "pack", rows=0)
 
 
-def pack_related(docs: DataFrame, *, window: int = WINDOW, n: int = N, k: int = K, floor: float = FLOOR, vocabulary: str = tokens.VOCABULARY, max_nodes: int = MAX_NODES, pack_tokens: int = PACK_TOKENS) -> DataFrame:
+def pack_related(docs: DataFrame, *, window: int = WINDOW, n: int = N, k: int = K, floor: float = FLOOR, vocabulary: str = tokens.VOCABULARY, pack_tokens: int = PACK_TOKENS) -> DataFrame:
     """Rows of SCHEMA: which tokens of which text stand in which window, in the order of slot; path names the component."""
     if window < 1 or k < 1 or not 0 < floor <= 1:
         raise ValueError("window and k must be positive, floor in (0, 1]")
@@ -236,7 +271,7 @@ def pack_related(docs: DataFrame, *, window: int = WINDOW, n: int = N, k: int =
         wordless = (F.col("k1") == 0) & (F.col("k2") == 0)
         rep = s.keep(one.where(~wordless).withColumn("node", F.min("doc_id").over(alike)).unionByName(one.where(wordless).withColumn("node", F.col("doc_id"))))
         vertices = made.join(rep.where("doc_id = node").select("doc_id", "n_tokens", "k1", "k2"), ["doc_id", "n_tokens", "k1", "k2"]).dropDuplicates(["doc_id"]).select("doc_id", "sketch", "buckets")
-        order = paths(graph(vertices, s, k=k, floor=floor), s, max_nodes=max_nodes)
+        order = paths(graph(vertices, s, k=k, floor=floor), s)
         total = rep.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
         packs = max(1, -(-total // pack_tokens))
         placed = rep.join(order, "node", "left").select("doc_id", "n_tokens", "node", F.coalesce("component", "node").alias("path"), F.coalesce("step", F.lit(0)).alias("step"))

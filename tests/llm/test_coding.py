@@ -201,3 +201,14 @@ def test_recall_in_a_hot_family(spark, s, block):
         found += sum(a >= top[0] for a in got.get(i, [])) if len(top) else 0
         assert not len(top) or got.get(i)
     assert found >= 0.95 * want > 0
+
+
+def test_a_component_of_any_size_is_walked_whole(spark):
+    """A chain of over a million texts whose links are weak here and there is one path, end to end."""
+    from factloom.plans.scratch import Scratch
+
+    m = 1_000_200
+    with Scratch(spark) as s:
+        chain = spark.range(m - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.when(F.col("id") % 500_000 == 99, 20).otherwise(40).alias("agree"))
+        r = packing.paths(chain, s).agg(F.count("*").alias("n"), F.countDistinct("component").alias("components"), F.sum((F.col("node") == F.col("step")).cast("long")).alias("in_order")).first()
+    assert (r.n, r.components, r.in_order) == (m, 1, m)
