@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,21 +175,52 @@ def reduce_fully(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         return nodes_of(e).agg(F.count("*").alias("nodes_before")).crossJoin(e.agg(F.count("*").alias("edges_before"))).crossJoin(alive.agg(F.count("*").alias("nodes_after"))).crossJoin(final.agg(F.count("*").alias("edges_after")))
 
 
-def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(node, rank) after so many rounds; what dangling nodes hold is spread over all."""
+def _rank_in_one_task(damping: float, rounds: int | None, tolerance: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [x for x in batches if x.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        codes = pa.chunked_array([*t["src"].chunks, *t["dst"].chunks]).dictionary_encode().combine_chunks()
+        n, names = len(codes.dictionary), codes.dictionary
+        src, dst = np.split(codes.indices.to_numpy(zero_copy_only=False), [t.num_rows])
+        out = np.bincount(src, minlength=n)
+        rank, k, change = np.full(n, 1 / n), 0, np.inf
+        while k < rounds if rounds is not None else change >= tolerance:
+            given = np.bincount(dst, (rank / np.maximum(out, 1))[src], n)
+            after = (1 - damping) / n + damping * (given + rank[out == 0].sum() / n)
+            rank, k, change = after, k + 1, np.abs(after - rank).sum()
+        yield pa.RecordBatch.from_arrays([names, pa.array(rank)], names=["node", "rank"])
+
+    return run
+
+
+def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6, one_task_edges: int = 2_000_000) -> DataFrame:
+    """(node, rank) when a round changes the ranks by less than ``tolerance`` in all, or after so many rounds if given.
+
+    What dangling nodes hold is spread over all. Up to ``one_task_edges`` counted edges are ranked in one
+    task, more round by round over the cluster. Both give the same ranks.
+    """
     with Scratch(edges.sparkSession) as s:
-        e = edges.select("src", "dst").distinct()
+        e = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+        if e.count() <= one_task_edges:
+            return e.coalesce(1).mapInArrow(_rank_in_one_task(damping, rounds, tolerance), f"node {e.schema['src'].dataType.simpleString()}, rank double")
         e = s.keep(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src"))
         nodes = s.keep(nodes_of(e))
         n = nodes.count()
-        rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+        rank = nodes.withColumn("rank", F.lit(1.0 / n))
         ends = nodes.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-        for k in range(rounds):
+        k, change = 0, float("inf")
+        while k < rounds if rounds is not None else change >= tolerance:
             given = e.join(rank, e["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("g"))
             lost = ends.join(rank, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-            rank = nodes.join(given, "node", "left").crossJoin(F.broadcast(lost)).select("node", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))
-            if k % 5 == 4:
-                rank = s.keep(rank)
+            after = nodes.join(given, "node", "left").crossJoin(F.broadcast(lost)).select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+            k += 1
+            if rounds is None or k % 5 == 0:
+                after = s.keep(after)
+            if rounds is None:
+                change = after.join(rank.withColumnRenamed("rank", "was"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+            rank = after
         return rank
 
 
