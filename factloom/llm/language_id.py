@@ -10,7 +10,7 @@ documented and does not grow; its features (SAMPLE x DIMS floats a language) are
 Counts per language over all rows set the share of rows that is looked at for them.
 
 ``accepted`` is false if a text has fewer than LETTERS letters, if too small a share of its trigrams (KNOWN) is in bins
-that the training texts fill to at least COMMON of the mean, or if the decision is closer than MARGIN on both levels: such a text is of no
+that the training texts of any language, each text weighing the same, fill to more than COMMON of the mean, or if the decision is closer than MARGIN on both levels: such a text is of no
 language known here. Languages that no family lists form one family each.
 
 Defined cases: rows without an id go; a null or empty text is not accepted and has language null; rows
@@ -89,7 +89,7 @@ class Model:
     languages: dict[str, list[str]]
     first: np.ndarray  # families x (DIMS + 1)
     pairs: dict[tuple[str, str], np.ndarray]
-    seen: np.ndarray  # bins that are common in the training texts
+    seen: np.ndarray  # bins that are common in the training texts of some language
 
     def predict(self, c: np.ndarray, letters: np.ndarray) -> tuple[list, list, np.ndarray, np.ndarray]:
         x = scaled(c)
@@ -164,7 +164,9 @@ def fit(c: np.ndarray, lang: np.ndarray, families: dict[str, tuple[str, ...]]) -
         for a, b in combinations(languages[f], 2):
             rows = np.isin(lang, [a, b])
             pairs[a, b] = train_svm(x[rows], np.where(lang[rows] == a, 1.0, -1.0))
-    return Model(names, languages, first, pairs, (c.sum(0) > COMMON * c.sum() / DIMS).astype(np.float32))
+    rate = c / np.maximum(c.sum(1, keepdims=True), 1)
+    seen = np.any([rate[lang == v].mean(0) > COMMON / DIMS for v in sorted(set(lang))], 0)
+    return Model(names, languages, first, pairs, seen.astype(np.float32))
 
 
 def _predict(model: Model):

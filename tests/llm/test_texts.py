@@ -210,3 +210,16 @@ def test_stages_have_an_effect(spark):
         now = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
         assert 0 < now[0] <= n, name
         n = now[0]
+
+
+def test_known_bins_of_every_language():
+    """Neither one very long text nor many texts of other languages make a language unknown."""
+    r = np.random.default_rng(3)
+    share = r.dirichlet(np.full(200, 2.0), 2)
+    draw = lambda k, n: np.bincount(r.choice(200, n, p=share[k]) + 1000 * k, minlength=language_id.DIMS).astype(np.float32)
+    test = np.stack([draw(1, 300) for _ in range(50)])
+    letters = np.full(50, 300)
+    for c in ([draw(0, 300) for _ in range(400)] + [draw(1, 300) for _ in range(5)], [draw(0, 10_000_000)] + [draw(0, 300) for _ in range(20)] + [draw(1, 300) for _ in range(20)]):
+        few = 5 if len(c) == 405 else 20
+        model = language_id.fit(np.stack(c), np.array(["aa"] * (len(c) - few) + ["bb"] * few), {})
+        assert model.predict(test, letters)[3].all()
