@@ -85,26 +85,27 @@ def _match(window: int):
     return tk.by_runs(one, "block", rows=50_000, size=24 << 20)
 
 
+def covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that the factors of a parse cover, which stand in order: factors that touch are one."""
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])])
+    return doc[new], start[new], end[np.r_[new[1:], len(doc)] - 1]
+
+
 def _parse(window: int, factors: bool):
     def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         d, p, n, rd, rp = (t[c].to_numpy() for c in ("doc_id", "pos", "n", "ref_doc", "ref_pos"))
         last = p + n - 1
-        if factors:
-            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != last[:-1] + 1) | (rd[1:] != rd[:-1]) | (rp[1:] - p[1:] != rp[:-1] - p[:-1])])
-        else:
-            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] > last[:-1] + window)])
+        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != last[:-1] + 1) | (rd[1:] != rd[:-1]) | (rp[1:] - p[1:] != rp[:-1] - p[:-1])])
         end = last[np.r_[new[1:], len(d)] - 1] + window
-        if not factors:
-            yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(p[new].astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "word_start", "word_end"])
-            return
-        begin, shift = p[new].astype(np.int64), np.zeros(len(new), np.int64)
-        dd = d[new]
-        for i in range(1, len(new)):  # the greedy parse: a factor begins where the one before it ended
-            if dd[i] == dd[i - 1]:
-                shift[i] = max(0, end[i - 1] - begin[i])
+        begin, dd = p[new].astype(np.int64), d[new]
+        shift = np.r_[0, np.where(dd[1:] == dd[:-1], np.maximum(0, end[:-1] - begin[1:]), 0)]  # the greedy parse: a factor begins where the one before it ended
         start = begin + shift
         ok = start < end
+        if not factors:
+            dd, start, end = covered(dd[ok], start[ok], end[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(dd), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "word_start", "word_end"])
+            return
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dd[ok], start[ok].astype(np.int32), end[ok].astype(np.int32), rd[new][ok], (rp[new] + shift)[ok].astype(np.int32))], names=["doc_id", "word_start", "word_end", "ref_doc", "ref_start"])
 
     return tk.by_runs(one, "doc_id")

@@ -223,3 +223,12 @@ def test_known_bins_of_every_language():
         few = 5 if len(c) == 405 else 20
         model = language_id.fit(np.stack(c), np.array(["aa"] * (len(c) - few) + ["bb"] * few), {})
         assert model.predict(test, letters)[3].all()
+
+
+def test_spans_are_what_factors_cover(spark):
+    """op10's spans come from the greedy factors; factors that touch are one span."""
+    assert [x.tolist() for x in relative_lz.covered(np.array([1, 1, 1, 2]), np.array([0, 60, 200, 120]), np.array([60, 120, 260, 180]))] == [[1, 1, 2], [0, 200, 120], [120, 260, 180]]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    parts = sorted((r.doc_id, r.word_start, r.word_end) for r in relative_lz.factors(docs).collect())
+    want = set(zip(*[x.tolist() for x in relative_lz.covered(*map(np.array, zip(*parts)))]))
+    assert want and want <= {tuple(r) for r in relative_lz.duplicate_spans(docs).collect()}
