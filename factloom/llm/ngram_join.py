@@ -297,6 +297,18 @@ def jaccard_pairs(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
         return near.unionByName(copies)
 
 
+def expand(pairs: DataFrame) -> DataFrame:
+    """All pairs of texts, those of further members of equal sets too, from what jaccard_pairs gives; quadratic in the copies."""
+    held = pairs.where("jaccard = 1").select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("doc"))
+    reps = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("rep")).join(held.select(F.col("doc").alias("rep")), "rep", "left_anti").distinct()
+    member = reps.select("rep", F.col("rep").alias("doc")).unionByName(held)
+    one, two = member.toDF("doc_a", "one"), member.toDF("doc_b", "two")
+    near = pairs.where("jaccard < 1").join(one, "doc_a").join(two, "doc_b")
+    sizes = pairs.where("jaccard = 1").groupBy("doc_a").agg(F.max("n_shared").alias("n_shared"))
+    alike = sizes.join(one, "doc_a").join(member.toDF("doc_a", "two"), "doc_a").where("one < two").select("one", "two", "n_shared", F.col("n_shared").alias("n_union"), F.lit(1.0).alias("jaccard"))
+    return near.select("one", "two", "n_shared", "n_union", "jaccard").unionByName(alike).select(F.least("one", "two").alias("doc_a"), F.greatest("one", "two").alias("doc_b"), "n_shared", "n_union", "jaccard")
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(node, component): families of pairs, named by their least id."""
     return connected_components(pairs.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst")))

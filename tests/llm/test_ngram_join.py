@@ -85,3 +85,11 @@ def test_runs():
     assert nj.runs_for(0.9) < nj.runs_for(0.99)
     with pytest.raises(ValueError):
         nj.jaccard_pairs(None, threshold=0)
+
+
+def test_expand(spark):
+    """Every pair that the reported ones stand for, of copies with near texts and of copies among themselves."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(58)) + " x y"
+    rows = [(1, a), (2, b), (3, a), (4, b), (5, a), (6, "something else altogether here")]
+    got = nj.expand(nj.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(got) == 10 and {(r.doc_a, r.doc_b): (r.n_shared, r.n_union) for r in got} == brute(rows)
