@@ -1,28 +1,34 @@
 """N-gram Jaccard join by chosen paths.
 
 A text is the set of its word n-grams (one gram of all its words if it has fewer than n; no gram if
-it has no words). Wanted are all pairs of texts with Jaccard similarity of at least ``threshold``.
+it has no words). Wanted are all links: pairs of texts with Jaccard similarity of at least ``threshold``.
 
 1. Each set is sketched by T min-wise tokens (position, value); two sets share a token with a
    probability that is their similarity.
 2. Chosen paths: a node of the search tree picks a token of a set with probability
    1 / (threshold * T), by a hash of node and token, so that sets sharing a picked token go on
    together into one child. The first LEVELS splits are written as bucket keys and meet in one
-   shuffle; within a bucket, one that holds more than LEAF sets splits on until it is small.
-   A pair at the threshold survives L levels of a run with a probability known in advance; the
-   number of runs follows from it and the target recall.
+   shuffle; a bucket of more than LEAF sets splits on until its parts are small. A pair at the threshold
+   survives L levels with a probability known in advance (``survival``). The number of runs follows from
+   LEVELS and the target recall; a bucket that splits on is split again from new tokens until what its
+   own depth loses is within INNER, so deep buckets, hence large tables, keep the target.
 3. Small buckets compare all sketches with all. What is kept of a bucket is a spanning forest of
-   the pairs whose sketches agree, so edges grow with the texts, not with their pairs.
+   the pairs whose sketches agree, so edges grow with the texts, not with their pairs. A bucket of
+   more than HOT sets is cut in blocks and each pair of blocks is a bucket of its own, in any task.
 4. Connected components of the forest gather each family of similar sets in one place, where every
    pair's exact similarity is computed from the texts. Large families are cut in blocks and each pair
-   of blocks is a task of its own.
-
-Sets that are equal are one vertex; each further text with the same set is a row (representative,
-text, 1.0), and the pairs of their members follow from that of the representatives. Thus thousands
-of copies give thousands of rows. All rows are exact; pairs may be missed with the target's probability.
-
-Defined cases: rows without an id or text, and texts without words, pair with none; rows of the same
-id and set are one; of several texts of one id the one with the least digest of its set counts. Other columns are ignored, whatever their names.
+   of blocks is a task of its own, which gives the links of each text, counted, and a spanning forest
+   of them; no pair leaves the task.
+
+The result is one row for each document and set: its class (the least id that links lead to) and the
+number of documents it is linked to. Texts of equal sets are compared once, as one set with a count, and
+count as links of one another. All counts are of exact similarities; links may be missed with the
+target's probability.
+
+Defined cases: rows without an id go; null and empty texts, and texts without words, are a class of their
+own with no link; rows of the same id and set are one; several texts of one id are texts of their own, each
+with a row; an empty table gives no row; a very long text is one set like any other. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -40,13 +46,16 @@ from factloom.plans.iterate import connected_components, union_find
 from factloom.plans.scratch import ROW_BYTES, Scratch, small_side
 
 N, THRESHOLD, RECALL = 3, 0.6, 0.99
-T, LEVELS, LEAF, DEPTH, BLOCK = 64, 2, 256, 8, 4096
+T, LEVELS, LEAF, DEPTH, BLOCK, HOT = 64, 2, 256, 8, 4096, 50_000
+#: Share of the pairs of a bucket that its own further splits must keep; with 8 runs, 1 - (1 - 0.4685 * 0.95)**8 = 0.991.
+INNER = 0.95
 #: Sketches of T tokens agree on a share that errs by sqrt(s * (1 - s) / T); this many errors are allowed for.
 ERRORS = 3.0
 _U = np.uint64
 _A = np.random.default_rng(71).integers(1, 2**63, T, dtype=np.uint64) * _U(2) + _U(1)
 _J = tk.mix(np.arange(1, T + 1, dtype=np.uint64))
-SCHEMA = "doc_a long, doc_b long, n_shared long, n_union long, jaccard double"
+SCHEMA = "doc_id long, class_id long, n_links long"
+FOUND = "node long, other long, links long"
 
 
 def survival(levels: int) -> float:
@@ -57,6 +66,14 @@ def survival(levels: int) -> float:
     return s
 
 
+def repeats_for(levels: int, depth: int) -> int:
+    """How often a bucket at ``levels`` is split down to ``depth`` so that INNER of its pairs at the threshold stay together."""
+    s = 1.0
+    for _ in range(depth - levels):
+        s = 1 - math.exp(-s)
+    return 1 if depth <= levels else math.ceil(math.log(1 - INNER) / math.log(1 - s))
+
+
 def runs_for(recall: float, levels: int = LEVELS) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(levels))))
 
@@ -118,16 +135,20 @@ def _sketch_batches(n: int, runs: int, threshold: float):
         h, first = gram_sets(w, n)
         size = np.diff(first)
         has = np.flatnonzero(size)
-        if not len(has):
-            return None
-        first = np.r_[first[has], len(h)]
-        s = sketches(h, first)
-        row, node = paths(s, runs, LEVELS, threshold)
-        hi = np.add.reduceat(tk.mix(h), first[:-1])
-        lo = np.bitwise_xor.reduceat(tk.mix(h ^ _U(0x5851F42D4C957F2D)), first[:-1])
+        hi, lo = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
+        off, marks, at, node = np.zeros(b.num_rows + 1, np.int64), np.zeros(0, np.uint8), np.zeros(b.num_rows + 1, np.int64), np.zeros(0, np.uint64)
+        if len(has):
+            first = np.r_[first[has], len(h)]
+            s = sketches(h, first)
+            row, node = paths(s, runs, LEVELS, threshold)
+            hi[has] = np.add.reduceat(tk.mix(h), first[:-1])
+            lo[has] = np.bitwise_xor.reduceat(tk.mix(h ^ _U(0x5851F42D4C957F2D)), first[:-1])
+            off[has + 1], marks = 2 * T, s.view(np.uint8).reshape(-1)
+            at[has + 1] = np.bincount(row, minlength=len(has))
+        sketch = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(np.cumsum(off).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(marks))])
         return pa.RecordBatch.from_arrays(
-            [b.column("doc_id").take(pa.array(has)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(size[has].astype(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * T), len(has), [None, pa.py_buffer(s.tobytes())]).cast(pa.binary()), tk.list_array(pa.array(node.view(np.int64)), np.searchsorted(row, np.arange(len(has) + 1)))],
-            names=["doc_id", "set_hi", "set_lo", "n_grams", "sketch", "buckets"],
+            [b.column("doc_id"), b.column("key"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(size > 0), sketch, tk.list_array(pa.array(node.view(np.int64)), np.cumsum(at))],
+            names=["doc_id", "key", "set_hi", "set_lo", "worded", "sketch", "buckets"],
         )
 
     return tk.sliced(one)
@@ -175,24 +196,39 @@ def _all_pairs(sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray
     return root[member], member
 
 
-def split(bucket: int, sketch: np.ndarray, threshold: float, least: float, depth: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of one bucket: compared at once if small or deep, else split by further tokens."""
+def _split(bucket: int, sketch: np.ndarray, threshold: float, least: float, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Edges of one bucket and the depth that was reached: compared at once if small or deep, else split by further tokens."""
     if len(sketch) <= LEAF or depth >= DEPTH:
-        return _all_pairs(sketch, least)
+        return *_all_pairs(sketch, least), depth
     alike = (sketch == sketch[0]).sum(1) >= least * T
     src = [np.zeros(int(alike.sum()) - 1, np.int64)]
     dst = [np.flatnonzero(alike)[1:]]
-    rest = np.flatnonzero(~alike)
-    if len(rest):
+    reached = depth
+    if not alike.all():
         row, child = _chosen(np.full(len(sketch), bucket, np.uint64), sketch, 1 / (threshold * T))
         order = np.argsort(child, kind="stable")
         row, child = row[order], child[order]
         cuts = np.flatnonzero(np.r_[True, child[1:] != child[:-1]]) if len(child) else []
+        reached = depth + 1
         for lo, hi in zip(cuts, [*cuts[1:], len(child)]):
             if hi - lo > 1:
-                i, j = split(int(child[lo]), sketch[row[lo:hi]], threshold, least, depth + 1)
+                i, j, d = _split(int(child[lo]), sketch[row[lo:hi]], threshold, least, depth + 1)
                 src.append(row[lo:hi][i])
                 dst.append(row[lo:hi][j])
+                reached = max(reached, d)
+    return np.concatenate(src), np.concatenate(dst), reached
+
+
+def split(bucket: int, sketch: np.ndarray, threshold: float, least: float, depth: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of one bucket, split as often as the depth that it reaches asks for."""
+    src, dst, done, wanted = [], [], 0, 1
+    while done < wanted:
+        seed = bucket if not done else int(tk.mix(np.array([bucket ^ done], np.uint64))[0])
+        i, j, reached = _split(seed, sketch, threshold, least, depth)
+        src.append(i)
+        dst.append(j)
+        done += 1
+        wanted = max(wanted, repeats_for(depth, reached))
     return np.concatenate(src), np.concatenate(dst)
 
 
@@ -201,7 +237,7 @@ def _bucket_edges(threshold: float):
 
     def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        bucket, ids = t["bucket"].to_numpy(), t["doc_id"].to_numpy()
+        bucket, ids = t["bucket"].to_numpy(), t["node"].to_numpy()
         sk = np.frombuffer(t["sketch"].combine_chunks().cast(pa.large_binary()).buffers()[2], np.uint16).reshape(-1, T)[: len(ids)]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         size = np.diff(np.r_[cuts, len(ids)])
@@ -229,112 +265,128 @@ def _exact(n: int, threshold: float):
         cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
         for lo, hi in zip(cuts, [*cuts[1:], len(cell)]):
             c = t.slice(lo, hi - lo)
-            ids, side, diagonal = c["doc_id"].to_numpy(), c["side"].to_numpy(), bool(c["diagonal"][0].as_py())
+            nodes, side, copies, diagonal = c["node"].to_numpy(), c["side"].to_numpy(), c["copies"].to_numpy(), bool(c["diagonal"][0].as_py())
             parts = [gram_sets(tk.words(x.column("text")), n) for b in c.select(["text"]).combine_chunks().to_batches() for x in tk.slices(b)]
             h = np.concatenate([p[0] for p in parts])
             size = np.concatenate([np.diff(p[1]) for p in parts])
             first = np.cumsum(size) - size
             whole = np.flatnonzero(size)
-            made = np.zeros(len(ids), np.uint64)
+            made = np.zeros(len(nodes), np.uint64)
             made[whole] = np.add.reduceat(tk.mix(h), first[whole]) if len(whole) else made[whole]
-            ok = np.flatnonzero((made.view(np.int64) == c["set_hi"].to_numpy()) & (size > 0))
-            ok = ok[np.unique(ids[ok], return_index=True)[1]]  # one text for each id
+            ok = np.flatnonzero((made.view(np.int64) == nodes) & (size > 0))
+            ok = ok[np.unique(nodes[ok], return_index=True)[1]]  # one text for each set
             if len(ok) < 2:
                 continue
-            h, ids, side, size = h[tk.ranges(first[ok], size[ok])], ids[ok], side[ok], size[ok]
+            h, nodes, side, copies, size = h[tk.ranges(first[ok], size[ok])], nodes[ok], side[ok], copies[ok], size[ok]
             first = np.cumsum(size) - size
             token = np.unique(h, return_inverse=True)[1]
             mark = np.zeros(int(token.max()) + 1, bool)
-            out = []
-            for x in range(len(ids)) if diagonal else np.flatnonzero(side == 0):
+            links, comp = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+            src, dst = [], []
+            for x in range(len(nodes)) if diagonal else np.flatnonzero(side == 0):
                 mark[token[first[x] : first[x] + size[x]]] = True
                 shared = np.add.reduceat(mark[token], first, dtype=np.int64)
                 mark[token[first[x] : first[x] + size[x]]] = False
-                union = size + size[x] - shared
-                ok = shared >= threshold * union - 1e-9
-                ok &= (ids > ids[x]) if diagonal else (side == 1)
-                y = np.flatnonzero(ok)
-                out.append((np.full(len(y), ids[x]), ids[y], shared[y], union[y]))
-            if not out:
-                continue
-            a, b, s, u = (np.concatenate(z) for z in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s), pa.array(u), pa.array(s / u)], names=["doc_a", "doc_b", "n_shared", "n_union", "jaccard"])
+                near = shared >= threshold * (size + size[x] - shared) - 1e-9
+                near[x] = False
+                if not diagonal:
+                    near &= side == 1
+                y = np.flatnonzero(near)
+                if not len(y):
+                    continue
+                links[x] += copies[y].sum()
+                if not diagonal:
+                    links[y] += copies[x]
+                fresh = y[comp[y] != comp[x]]
+                if len(fresh):
+                    fresh = fresh[np.unique(comp[fresh], return_index=True)[1]]
+                    src += [x] * len(fresh)
+                    dst += fresh.tolist()
+                    comp[np.isin(comp, comp[fresh])] = comp[x]
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[nodes[some], nodes[src]]), pa.array(np.r_[nodes[some], nodes[dst]]), pa.array(np.r_[links[some], np.zeros(len(src), np.int64)])], names=["node", "other", "links"])
 
     return tk.by_runs(one, "cell", rows=2000, size=16 << 20)
 
 
-def jaccard_pairs(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(doc_a, doc_b, n_shared, n_union, jaccard): pairs of representatives, and each further member of an equal set."""
-    if not 0 < threshold <= 1 or not 0 < recall < 1:
-        raise ValueError("threshold must be in (0, 1], recall in (0, 1)")
-    spark = docs.sparkSession
-    with Scratch(spark) as s:
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-        made = s.save(texts.mapInArrow(_sketch_batches(n, runs_for(recall), threshold), "doc_id long, set_hi long, set_lo long, n_grams long, sketch binary, buckets array<long>"))
-        chosen = made.groupBy("doc_id").agg(F.min(F.struct("set_hi", "set_lo", "n_grams")).alias("x")).select("doc_id", "x.*")
-        ranked = s.keep(chosen.withColumn("rep", F.min("doc_id").over(Window.partitionBy("set_hi", "set_lo"))))
-        copies = ranked.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("n_grams").alias("n_shared"), F.col("n_grams").alias("n_union"), F.lit(1.0).alias("jaccard"))
-        keys = ranked.where("doc_id = rep").select("doc_id", "set_hi", "set_lo")
-        reps = made.join(keys, ["doc_id", "set_hi", "set_lo"])
-        met = reps.select("doc_id", F.explode("buckets").alias("bucket")).distinct().groupBy("bucket").agg(F.collect_list("doc_id").alias("ids")).where(F.size("ids") > 1)
-        members = met.select("bucket", F.explode("ids").alias("doc_id")).join(reps.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id")
-        edges = s.keep(members.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "doc_id", "sketch").mapInArrow(_bucket_edges(threshold), "src long, dst long").distinct())
-        family = s.keep(connected_components(edges).withColumnRenamed("node", "doc_id"))
-        count = family.count()
-        cells_bytes = 3 * ROW_BYTES * count
-        large = family.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-        placed = family.join(keys.select("doc_id", "set_hi"), "doc_id").join(large.where("blocks > 1").select("component", "blocks"), "component", "left").select("doc_id", "set_hi", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-        placed = placed.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        cells = placed.select("doc_id", "set_hi", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-            "doc_id",
-            "set_hi",
-            F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
-            F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
-            (F.col("mine") == F.col("other")).alias("diagonal"),
-        )
-        fetched = texts.join(small_side(cells, cells_bytes), "doc_id")
-        near = fetched.select("cell", "side", "diagonal", "doc_id", "set_hi", "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(_exact(n, threshold), SCHEMA)
-        return near.unionByName(copies)
-
-
-def expand(pairs: DataFrame) -> DataFrame:
-    """All pairs of texts, those of further members of equal sets too, from what jaccard_pairs gives; quadratic in the copies."""
-    held = pairs.where("jaccard = 1").select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("doc"))
-    reps = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("rep")).join(held.select(F.col("doc").alias("rep")), "rep", "left_anti").distinct()
-    member = reps.select("rep", F.col("rep").alias("doc")).unionByName(held)
-    one, two = member.toDF("doc_a", "one"), member.toDF("doc_b", "two")
-    near = pairs.where("jaccard < 1").join(one, "doc_a").join(two, "doc_b")
-    sizes = pairs.where("jaccard = 1").groupBy("doc_a").agg(F.max("n_shared").alias("n_shared"))
-    alike = sizes.join(one, "doc_a").join(member.toDF("doc_a", "two"), "doc_a").where("one < two").select("one", "two", "n_shared", F.col("n_shared").alias("n_union"), F.lit(1.0).alias("jaccard"))
-    return near.select("one", "two", "n_shared", "n_union", "jaccard").unionByName(alike).select(F.least("one", "two").alias("doc_a"), F.greatest("one", "two").alias("doc_b"), "n_shared", "n_union", "jaccard")
+def _cells(members: DataFrame, group: str, block: int, *kept: str) -> DataFrame:
+    """Rows of members (node, group, blocks) once for each pair of blocks that its own is in: cell, side (0 or 1), diagonal."""
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select(
+        "node",
+        *kept,
+        F.when(F.col("blocks") == 1, F.col(group)).otherwise(F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other"))).alias("cell"),
+        F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
+        (F.col("mine") == F.col("other")).alias("diagonal"),
+    )
 
 
-def groups(pairs: DataFrame) -> DataFrame:
-    """(node, component): families of pairs, named by their least id."""
-    return connected_components(pairs.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst")))
+def classes(docs: DataFrame, s: Scratch, *, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """(doc_id, key, set_hi, set_lo, class_id, n_links) of every text; key is the text's xxhash64."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("threshold must be in (0, 1], recall in (0, 1)")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("key", F.xxhash64("text"))
+    made = s.save(texts.mapInArrow(_sketch_batches(n, runs_for(recall), threshold), "doc_id long, key long, set_hi long, set_lo long, worded boolean, sketch binary, buckets array<long>"))
+    members = made.select("doc_id", "key", "set_hi", "set_lo", "worded").distinct()
+    sets = s.keep(members.where("worded").select("doc_id", "set_hi", "set_lo").distinct().groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    reps = made.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_hi", "set_lo"]).select(F.col("set_hi").alias("node"), "sketch", "buckets")
+    each = s.save(reps.select("node", F.explode("buckets").alias("bucket")).distinct())
+    met = each.join(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select("bucket", "node", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
+    met = met.join(reps.select("node", "sketch").dropDuplicates(["node"]), "node")
+    cells = _cells(met, "bucket", hot, "sketch").select(F.col("cell").alias("bucket"), "node", "sketch")
+    edges = s.keep(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_edges(threshold), "src long, dst long").distinct())
+    family = s.keep(connected_components(edges))
+    sizes = family.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = family.join(sizes, "component").join(sets.select(F.col("set_hi").alias("node"), F.col("rep").alias("doc_id"), "copies"), "node")
+    cells = s.keep(_cells(placed, "component", block, "doc_id", "copies"))
+    fetched = texts.select("doc_id", "text").join(small_side(cells, 3 * ROW_BYTES * cells.count()), "doc_id")
+    found = s.keep(fetched.select("cell", "side", "diagonal", "node", "copies", "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(_exact(n, threshold), FOUND))
+    links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
+    parts = s.keep(connected_components(found.where("links = 0").select(F.col("node").alias("src"), F.col("other").alias("dst"))))
+    known = sets.join(parts, F.col("set_hi") == F.col("node"), "left").withColumn("component", F.coalesce("component", "set_hi")).drop("node")
+    least = known.groupBy("component").agg(F.min("rep").alias("class_id"))
+    linked = known.join(least, "component").join(links, F.col("set_hi") == F.col("node"), "left").select("set_hi", "set_lo", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    worded = members.where("worded").drop("worded").join(linked, ["set_hi", "set_lo"]).select("doc_id", "key", "set_hi", "set_lo", "class_id", "n_links")
+    return worded.unionByName(members.where("not worded").select("doc_id", "key", "set_hi", "set_lo", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def jaccard_classes(docs: DataFrame, **parameters: float) -> DataFrame:
+    """Rows of SCHEMA: class and number of links of every document."""
+    with Scratch(docs.sparkSession) as s:
+        return s.keep(classes(docs, s, **parameters).select("doc_id", "set_hi", "set_lo", "class_id", "n_links").distinct().select("doc_id", "class_id", "n_links"))
 
 
 def keep_one(docs: DataFrame, **parameters: float) -> DataFrame:
-    """The rows of docs without those that have a similar one with a lesser id in their family; all columns stay."""
-    gone = groups(jaccard_pairs(docs, **parameters)).where("node <> component").select(F.col("node").alias("_gone"))
+    """The rows of docs without those of a class that has a row of lesser (id, hash of the text); all columns stay.
+
+    Repeated rows of the one that stays, and rows without an id, stay as well.
+    """
     with Scratch(docs.sparkSession) as s:
-        gone = s.keep(gone)
-        return tk.drop_ids(docs, gone, ROW_BYTES * gone.count())
+        held = s.save(classes(docs, s, **parameters).where("n_links > 0 or doc_id <> class_id").select("doc_id", "key", "class_id"))
+        kept = held.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("class_id", "x.*")
+        gone = s.keep(held.join(kept, ["class_id", "doc_id", "key"], "left_anti").select("doc_id", "key").distinct())
+        size = 2 * ROW_BYTES * gone.count()
+        a, b = tk.fresh(docs, "_gone"), tk.fresh(docs, "_key")
+        return docs.join(small_side(gone.toDF(a, b), size), (docs["doc_id"].cast("long") == F.col(a)) & (F.xxhash64(docs["text"].cast("string")) == F.col(b)), "left_anti")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP1_SQL = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{tk.WORD_SQL}') AS ws FROM documents WHERE text IS NOT NULL),
-g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= {N} THEN list_transform(range(1, len(ws) - {N} + 2), lambda i: array_to_string(ws[i:i + {N} - 1], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS gs
-      FROM w WHERE len(ws) > 0),
-c AS (SELECT doc_id, gs, min(doc_id) OVER (PARTITION BY md5(array_to_string(gs, chr(10)))) AS rep FROM g),
-r AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS gram FROM c WHERE doc_id = rep),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n_shared, any_value(a.n) + any_value(b.n) - count(*) AS n_union
-      FROM r a JOIN r b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_union AS BIGINT) AS n_union, CAST(n_shared AS DOUBLE) / n_union AS jaccard
-FROM p WHERE n_shared >= {THRESHOLD} * n_union - 1e-9
-UNION ALL SELECT rep, doc_id, len(gs), len(gs), 1.0 FROM c WHERE doc_id <> rep
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{tk.WORD_SQL}') AS ws FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= {N} THEN list_transform(range(1, len(ws) - {N} + 2), lambda i: array_to_string(ws[i:i + {N} - 1], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS gs
+      FROM w),
+c AS (SELECT doc_id, gs, md5(array_to_string(gs, chr(10))) AS k FROM g WHERE len(gs) > 0),
+s AS (SELECT k, min(doc_id) AS rep, count(*) AS copies, any_value(gs) AS gs FROM c GROUP BY k),
+r AS (SELECT k, copies, len(gs) AS n, unnest(gs) AS gram FROM s),
+p AS (SELECT a.k AS a, b.k AS b, any_value(b.copies) AS copies FROM r a JOIN r b ON a.gram = b.gram AND a.k <> b.k
+      GROUP BY 1, 2 HAVING count(*) >= {THRESHOLD} * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+t AS (SELECT k AS a, k AS b FROM s UNION SELECT t.a, p.b FROM t JOIN p ON t.b = p.a),
+m AS (SELECT t.a AS k, min(s.rep) AS class_id FROM t JOIN s ON t.b = s.k GROUP BY 1),
+l AS (SELECT a AS k, sum(copies) AS links FROM p GROUP BY 1)
+SELECT c.doc_id, m.class_id, CAST(coalesce(l.links, 0) + s.copies - 1 AS BIGINT) AS n_links FROM c JOIN s ON c.k = s.k JOIN m ON c.k = m.k LEFT JOIN l ON c.k = l.k
+UNION ALL SELECT doc_id, doc_id, 0 FROM g WHERE len(gs) = 0
 """
