@@ -1,20 +1,21 @@
 """Repeated passages by relative Lempel-Ziv parsing.
 
-Each text is parsed against all that stands before it in order of (doc_id, word). The reference is
-indexed in blocks: a block is an anchor gram (see ``textkernel.anchors``) with the words around each
-of its occurrences, as far as the windows reach that have it as their anchor. Every window of
-``window`` words lies in exactly one block, so sending each anchor to its block by one shuffle meets
-every indexed block of the whole reference that could hold a match, and no other.
-
-Within a block, occurrences stand in order; a window that an earlier one already has matches there,
-and its source is the earliest. Back in its text, a factor is begun at the first word that a match
-covers and is continued greedily as long as the source goes on alike; where that ends the next factor
-begins. Cutting at factor ends would lose passages that two factors share, so at each boundary the
-windows across it are checked as well: they match on their own, and the words of a span are all that a
-matching window covers. A factor thus has at least ``window`` words together with what it overlaps.
-
-Anchors that occur once in the corpus are no reference for anything and are left out of the index;
-see ``repeats`` for this, for texts of the same words, and for the defined cases.
+Each text is parsed against all that stands before it in order of (doc_id, digest, word). The reference is
+indexed in blocks: a block is the words around the occurrences of some anchors (see ``repeats``), indexed by the
+sorted order of its suffixes. Every window of ``window`` words lies around exactly one anchor, so sending each
+text's stretches to the blocks of their anchors meets every indexed block that could hold a match, and no other.
+
+In a block the longest match of a suffix with an earlier place is with one of its two neighbours in the sorted
+order among those that stand earlier: the nearest such one on either side (of equal lengths the earlier place).
+A stretch is matched greedily: from its first word that has a match of ``window`` words on, take the longest;
+the next match is sought from the first window that the last one doesn't hold, that is, across its end.
+
+Back in its text, matches whose sources go on alike are one factor; a factor begins where the one before it
+ended. The windows across factor boundaries were matched on their own, so a passage is found though two
+factors share it. The spans are what the factors cover.
+
+Words are compared as in ``suffix_array``; blocks that a hot anchor makes too large are cut, and what one part
+has first is looked up in the others. Defined cases are those of ``repeats``.
 """
 
 from __future__ import annotations
@@ -29,106 +30,120 @@ from factloom.llm import repeats
 from factloom.llm import textkernel as tk
 from factloom.plans.scratch import Scratch
 
-FACTORS = "doc_id long, word_start int, word_end int, ref_doc long, ref_start int"
-MATCHES = "doc_id long, pos int, n int, ref_doc long, ref_pos int"
-_U = np.uint64
-
-
-def _entries(window: int, gram: int):
-    def one(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        w = tk.words(b.column("text"))
-        _, first, last = repeats.hot_rows(b, w)
-        if not len(first):
-            return None
-        a = tk.anchors(w, window, gram)
-        at = np.searchsorted(first, a.lo, "right") - 1
-        ok = (at >= 0) & (a.lo <= last[at])
-        text, lo, hi, h = a.text[ok], a.lo[ok], a.hi[ok], a.hash[ok]
-        n = hi - lo + window
-        tokens = (w.hash[tk.ranges(lo, n)] >> _U(32)).astype(np.uint32)
-        off = np.r_[0, np.cumsum(n * 4)].astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), b.column("doc_id").take(pa.array(text)), pa.array((lo - w.first[text]).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(off), pa.py_buffer(tokens)])],
-            names=["block", "doc_id", "lo", "words"],
-        )
-
-    return tk.sliced(one)
-
-
-def _match(window: int):
-    def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        block, doc, lo = t["block"].to_numpy(), t["doc_id"].to_numpy(), t["lo"].to_numpy()
-        held = t["words"].combine_chunks().cast(pa.large_binary())
-        off = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1, held.offset * 8) // 4
-        tokens = np.frombuffer(held.buffers()[2], np.uint32)[off[0] : off[-1]]
-        off = off - off[0]
-        n = np.diff(off) - window + 1  # windows of each entry
-        entry = np.repeat(np.arange(len(n)), n)
-        at = tk.ranges(off[:-1], n)
-        mark = tk.Words(1, tk.mix(tokens.astype(np.uint64) + _U(1)), at, at, at).grams(window)[at] ^ tk.mix(block.view(np.uint64))[entry]
-        pos = lo[entry] + at - off[entry]
-        order = np.lexsort((pos, doc[entry], mark))
-        m = mark[order]
-        begins = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-        source = np.repeat(order[begins], np.diff(np.r_[begins, len(m)]))
-        here, there = order, source
-        ok = (doc[entry[here]] != doc[entry[there]]) | (pos[here] != pos[there])
-        d, p, rd, rp = doc[entry[here[ok]]], pos[here[ok]], doc[entry[there[ok]]], pos[there[ok]]
-        order = np.lexsort((p, d))
-        d, p, rd, rp = d[order], p[order], rd[order], rp[order]
-        if len(d):  # windows in a row with sources in a row are one match
-            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (rd[1:] != rd[:-1]) | (rp[1:] != rp[:-1] + 1)])
-            size = np.diff(np.r_[new, len(d)])
-            yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(p[new].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(rd[new]), pa.array(rp[new].astype(np.int32))], names=["doc_id", "pos", "n", "ref_doc", "ref_pos"])
-
-    return tk.by_runs(one, "block", rows=50_000, size=24 << 20)
-
-
-def covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+FACTORS = "doc_id long, d1 long, word_start int, word_end int, ref_doc long, ref_d1 long, ref_start int"
+
+
+def earlier_neighbour(place: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a sorted order the nearest row before it of lesser place (or -1), and the least of shared between them.
+
+    shared[i] belongs to rows i - 1 and i. All rows look on at once, from the row that their candidate found so far.
+    """
+    at, least = np.arange(len(place)) - 1, shared.astype(np.int64).copy()
+    live = np.flatnonzero(at >= 0)
+    live = live[place[at[live]] > place[live]]
+    while len(live):
+        by = at[live]
+        least[live] = np.minimum(least[live], np.where(at[by] >= 0, least[by], 0))
+        at[live] = at[by]
+        live = live[at[live] >= 0]
+        live = live[place[at[live]] > place[live]]
+    least[at < 0] = 0
+    return at, least
+
+
+def longest_matches(order: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, by place, the length of its longest match at an earlier place and that place (-1: none)."""
+    n = len(order)
+    before, x = earlier_neighbour(order, shared)
+    back, y = earlier_neighbour(order[::-1], np.r_[0, shared[:0:-1]] if n else shared)
+    after, y = np.where(back[::-1] >= 0, n - 1 - back[::-1], -1), y[::-1]
+    one, two = np.where(before >= 0, order[before], n), np.where(after >= 0, order[after], n)
+    left = (x > y) | ((x == y) & (one <= two))
+    length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    length[order] = np.where(left, x, y)
+    source[order] = np.where(left, one, two)
+    source[length == 0] = -1
+    return length, source
+
+
+def greedy(first: np.ndarray, n: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matches of the greedy parse: for entries of n windows from ``first`` on, the window and number of windows of each.
+
+    windows: how many windows the longest match from each window on holds, 0 for none.
+    """
+    total = len(windows)
+    upcoming = np.where(windows > 0, np.arange(total), total)
+    upcoming = np.minimum.accumulate(upcoming[::-1])[::-1]
+    upcoming = np.r_[upcoming, total]
+    now, end, at = first.astype(np.int64).copy(), first + n, []
+    live = np.arange(len(first))
+    while len(live):
+        now[live] = upcoming[now[live]]
+        live = live[now[live] < end[live]]
+        at.append(now[live].copy())
+        now[live] += windows[now[live]]
+        live = live[now[live] < end[live]]
+    at = np.sort(np.concatenate([np.zeros(0, np.int64), *at]))
+    return at, windows[at]
+
+
+def _search(window: int):
+    def one(b: repeats.Bucket) -> Iterator[pa.RecordBatch]:
+        length, source = longest_matches(*repeats.multikey_quicksort(b, b.end - b.begin))
+        windows = np.maximum(length - window + 1, 0)
+        at, n = greedy(b.first, np.bincount(b.entry, minlength=len(b.first)), windows)
+        yield from repeats.made(b, window, at, n, source[at], windows > 0)
+
+    return one
+
+
+def _parse(t: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
+    t = t.combine_chunks()
+    d, d1, p, n, rd, r1, rp = (t[c].to_numpy() for c in ("doc_id", "d1", "pos", "n", "ref_doc", "ref_d1", "ref_pos"))
+    last = p + n - 1
+    other = np.r_[True, (d[1:] != d[:-1]) | (d1[1:] != d1[:-1])]
+    new = np.flatnonzero(other | np.r_[True, (p[1:] != last[:-1] + 1) | (rd[1:] != rd[:-1]) | (r1[1:] != r1[:-1]) | (rp[1:] - p[1:] != rp[:-1] - p[:-1])])
+    end = (last[np.r_[new[1:], len(d)] - 1] + window).astype(np.int64)
+    begin = p[new].astype(np.int64)
+    text = np.cumsum(other)[new] - 1
+    reach = np.maximum.accumulate(end + text * (1 << 34)) - text * (1 << 34)  # how far the factors so far reach in their text
+    shift = np.r_[0, np.where(text[1:] == text[:-1], np.maximum(0, reach[:-1] - begin[1:]), 0)]
+    start = begin + shift
+    ok = start < end
+    at = new[ok]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[at], d1[at], start[ok].astype(np.int32), end[ok].astype(np.int32), rd[at], r1[at], (rp[new] + shift)[ok].astype(np.int32))], names=[c.split()[0] for c in FACTORS.split(", ")])
+
+
+def _cover(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    t = t.combine_chunks()
+    d, d1, start, end = covered(*(t[c].to_numpy() for c in ("doc_id", "d1", "word_start", "word_end")))
+    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(d1), pa.array(start), pa.array(end)], names=["doc_id", "d1", "word_start", "word_end"])
+
+
+def covered(doc: np.ndarray, d1: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Spans that the factors of a parse cover, which stand in order: factors that touch are one."""
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])])
-    return doc[new], start[new], end[np.r_[new[1:], len(doc)] - 1]
-
-
-def _parse(window: int, factors: bool):
-    def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        d, p, n, rd, rp = (t[c].to_numpy() for c in ("doc_id", "pos", "n", "ref_doc", "ref_pos"))
-        last = p + n - 1
-        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != last[:-1] + 1) | (rd[1:] != rd[:-1]) | (rp[1:] - p[1:] != rp[:-1] - p[:-1])])
-        end = last[np.r_[new[1:], len(d)] - 1] + window
-        begin, dd = p[new].astype(np.int64), d[new]
-        shift = np.r_[0, np.where(dd[1:] == dd[:-1], np.maximum(0, end[:-1] - begin[1:]), 0)]  # the greedy parse: a factor begins where the one before it ended
-        start = begin + shift
-        ok = start < end
-        if not factors:
-            dd, start, end = covered(dd[ok], start[ok], end[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(dd), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "word_start", "word_end"])
-            return
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dd[ok], start[ok].astype(np.int32), end[ok].astype(np.int32), rd[new][ok], (rp[new] + shift)[ok].astype(np.int32))], names=["doc_id", "word_start", "word_end", "ref_doc", "ref_start"])
-
-    return tk.by_runs(one, "doc_id")
-
-
-def _matches(docs: DataFrame, s: Scratch, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    texts, copies, hot, size = repeats.survey(docs, s, window=window, gram=gram)
-    entries = repeats.fetch(texts, hot, size).mapInArrow(_entries(window, gram), "block long, doc_id long, lo int, words binary")
-    met = entries.repartition("block").sortWithinPartitions("block").mapInArrow(_match(window), MATCHES)
-    return copies, met.repartition("doc_id").sortWithinPartitions("doc_id", "pos")
-
-
-def factors(docs: DataFrame, *, window: int = repeats.WINDOW, gram: int = repeats.GRAM) -> DataFrame:
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (d1[1:] != d1[:-1]) | (start[1:] > end[:-1])])
+    return doc[new], d1[new], start[new], end[np.r_[new[1:], len(doc)] - 1]
+
+
+def text_factors(docs: DataFrame, s: Scratch, *, window: int = repeats.WINDOW, gram: int = repeats.GRAM, bucket: int = repeats.BUCKET_ENTRIES) -> tuple[DataFrame, DataFrame]:
+    """copies, and the factors of every text that isn't one, in order of the text within their partition."""
+    copies, found = repeats.in_buckets(docs, s, _search(window), window=window, gram=gram, bucket=bucket)
+    placed = repeats.across(found).repartition("doc_id").sortWithinPartitions("doc_id", "d1", "pos")
+    return copies, placed.mapInArrow(tk.by_runs(lambda t: _parse(t, window), "doc_id"), FACTORS)
+
+
+def factors(docs: DataFrame, **parameters: int) -> DataFrame:
     """(doc_id, word_start, word_end, ref_doc, ref_start): the parse of every text that isn't a copy, without its literals."""
     with Scratch(docs.sparkSession) as s:
-        return s.keep(_matches(docs, s, window, gram)[1].mapInArrow(_parse(window, True), FACTORS))
+        return s.keep(text_factors(docs, s, **parameters)[1].select("doc_id", "word_start", "word_end", "ref_doc", "ref_start"))
 
 
-def duplicate_spans(docs: DataFrame, *, window: int = repeats.WINDOW, gram: int = repeats.GRAM) -> DataFrame:
-    """(doc_id, word_start, word_end): what the factors and the windows across their boundaries cover."""
+def duplicate_spans(docs: DataFrame, **parameters: int) -> DataFrame:
+    """(doc_id, word_start, word_end): what the factors cover."""
     with Scratch(docs.sparkSession) as s:
-        copies, met = _matches(docs, s, window, gram)
-        return s.keep(met.mapInArrow(_parse(window, False), repeats.SPANS)).unionByName(copies)
+        copies, parsed = text_factors(docs, s, **parameters)
+        return s.keep(parsed.mapInArrow(tk.by_runs(_cover, "doc_id"), repeats.SPANS)).unionByName(copies).select("doc_id", "word_start", "word_end")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

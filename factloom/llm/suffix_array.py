@@ -1,20 +1,19 @@
 """Repeated passages by a distributed suffix array.
 
-Every suffix that can share ``window`` words with another (see ``repeats``) is a row: its leading
-tokens (16 bits of each of its first four words), a fingerprint of its first ``window`` words, and
-where it begins. A sample of the rows gives splitters, by which Spark range-partitions them, so the
-buckets, one after another, are the suffix array. Each bucket is sorted by multikey quicksort: on the
-leading tokens, and only among equals on the next key. Suffixes that share ``window`` words are then
-neighbours, and all but the first of a run are duplicates.
+The suffixes are those that begin at a word from which ``window`` words may stand elsewhere too; they come as
+entries of words (see ``repeats``), so that the words of a suffix are at hand wherever it goes. Sampled splitters
+range-partition them by leading tokens: the first words of the suffix's anchor, then what tells anchors and
+occurrences apart. The buckets, one after another, are the suffix array, in order of the anchors.
 
-Across a boundary the last suffix of a bucket and the first of the next must be compared too. The
-splitters are whole keys, so a run of equal keys never straddles one; the comparison that remains is
-of different keys and finds nothing, which ``boundaries_differ`` lets a test confirm.
+Each bucket sorts its suffixes by multikey quicksort: by as many words as a key holds, and only among suffixes
+that equal each other so far by the next words, down to ``window`` words. Neighbours are compared by their words;
+one that shares ``window`` words with the suffix before it, which stands earlier in the corpus, is a duplicate.
 
-The suffixes of words beyond ``window`` need no order of their own: they decide nothing. Fingerprint
-and leading tokens together have 128 bits.
+Across a boundary a suffix may equal one of the bucket before. That needs the same anchor, so each bucket
+hands on, of its first and last anchor, one suffix for every different run, and these are compared once more.
 
-Defined cases are those of ``repeats``.
+Words are compared by 32 bits of their hashes, between suffixes whose anchors agree in 64 bits; across buckets
+runs are compared by 128 bits. Defined cases are those of ``repeats``.
 """
 
 from __future__ import annotations
@@ -24,104 +23,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import repeats
-from factloom.llm import textkernel as tk
 from factloom.plans.scratch import Scratch
 
-BUCKET_ROWS = 1_000_000
-_U = np.uint64
-
-
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """Order of rows by several keys; a key is looked at only among rows that equal each other in all before it."""
-    order = np.argsort(keys[0], kind="stable")
-    v = keys[0][order]
-    run = np.cumsum(np.r_[0, v[1:] != v[:-1]]) if len(v) else v
-    for key in keys[1:]:
-        size = np.bincount(run) if len(run) else np.zeros(0, np.int64)
-        tied = np.flatnonzero(size[run] > 1) if len(run) else run
-        if not len(tied):
-            break
-        rows = order[tied]
-        inner = np.lexsort((key[rows], run[tied]))
-        rows = rows[inner]
-        order[tied] = rows
-        v = key[order]
-        run = np.cumsum(np.r_[0, (run[1:] != run[:-1]) | (v[1:] != v[:-1])])
-    return order
-
-
-def _suffixes(window: int):
-    def one(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        w = tk.words(b.column("text"))
-        text, lo, hi = repeats.hot_rows(b, w)
-        n = hi - lo + 1
-        at = tk.ranges(lo, n)
-        if not len(at):
-            return None
-        text = np.repeat(text, n)
-        h = np.r_[w.hash, np.zeros(4, np.uint64)]
-        lead = np.zeros(len(at), np.uint64)
-        for k in range(min(4, window)):
-            lead |= (h[at + k] >> _U(48)) << _U(48 - 16 * k)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lead.view(np.int64)), pa.array(w.grams(window)[at].view(np.int64)), b.column("doc_id").take(pa.array(text)), pa.array((at - w.first[text]).astype(np.int32))],
-            names=["lead", "mark", "doc_id", "pos"],
-        )
-
-    return tk.sliced(one)
-
-
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    held.clear()
-    lead, mark, doc, pos = (t[c].to_numpy() for c in ("lead", "mark", "doc_id", "pos"))
-    order = multikey_order([lead, mark])
-    lead, mark, doc, pos = lead[order], mark[order], doc[order], pos[order]
-    begins = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (mark[1:] != mark[:-1])])
-    size = np.diff(np.r_[begins, len(lead)])
-    least = np.minimum.reduceat(doc, begins)
-    of = np.repeat(np.arange(len(begins)), size)
-    least_pos = np.minimum.reduceat(np.where(doc == least[of], pos, np.iinfo(np.int32).max), begins)
-    dup = (doc != least[of]) | (pos != least_pos[of])
-    doc, pos = doc[dup], pos[dup]
-    order = np.lexsort((pos, doc))
-    for x in range(0, len(order), 1 << 18):
-        i = order[x : x + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(pos[i])], names=["doc_id", "pos"])
-
-
-def boundaries_differ(suffixes: DataFrame, buckets: int) -> bool:
-    """Whether no key stands in two buckets of the range partitioning."""
-    placed = suffixes.repartitionByRange(buckets, "lead", "mark").select("lead", "mark", F.spark_partition_id().alias("b"))
-    return placed.groupBy("lead", "mark").agg(F.countDistinct("b").alias("n")).where("n > 1").isEmpty()
-
-
-def suffix_rows(docs: DataFrame, s: Scratch, *, window: int = repeats.WINDOW, gram: int = repeats.GRAM) -> tuple[DataFrame, DataFrame]:
-    """copies, and suffixes (lead, mark, doc_id, pos), written."""
-    texts, copies, hot, size = repeats.survey(docs, s, window=window, gram=gram)
-    found = repeats.fetch(texts, hot, size)
-    return copies, s.save(found.mapInArrow(_suffixes(window), "lead long, mark long, doc_id long, pos int"))
-
-
-def duplicate_spans(docs: DataFrame, *, window: int = repeats.WINDOW, gram: int = repeats.GRAM) -> DataFrame:
-    """(doc_id, word_start, word_end): every text's words that repeat an earlier passage of ``window`` words."""
+
+def _search(window: int):
+    def one(b: repeats.Bucket) -> Iterator[pa.RecordBatch]:
+        order, shared = repeats.multikey_quicksort(b, window)
+        duplicate = np.zeros(len(order), bool)
+        duplicate[order] = shared >= window
+        at = np.flatnonzero(duplicate)
+        first, n = repeats.runs(b, at)
+        yield from repeats.made(b, window, at[first], n, None, duplicate)
+
+    return one
+
+
+def text_spans(docs: DataFrame, s: Scratch, *, window: int = repeats.WINDOW, gram: int = repeats.GRAM, bucket: int = repeats.BUCKET_ENTRIES) -> DataFrame:
+    """(doc_id, d1, word_start, word_end): every text's words that repeat an earlier passage of ``window`` words."""
+    copies, found = repeats.in_buckets(docs, s, _search(window), window=window, gram=gram, bucket=bucket)
+    return s.keep(repeats.spans(repeats.across(found), window)).unionByName(copies)
+
+
+def duplicate_spans(docs: DataFrame, **parameters: int) -> DataFrame:
+    """(doc_id, word_start, word_end) of all duplicate spans."""
     with Scratch(docs.sparkSession) as s:
-        copies, suffixes = suffix_rows(docs, s, window=window, gram=gram)
-        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(least, -(-suffixes.count() // BUCKET_ROWS))
-        found = s.keep(repeats.spans(suffixes.repartitionByRange(buckets, "lead", "mark").mapInArrow(_bucket, "doc_id long, pos int"), window))
-        return found.unionByName(copies)
+        return text_spans(docs, s, **parameters).select("doc_id", "word_start", "word_end")
 
 
 def remove_repeats(docs: DataFrame, **parameters: int) -> DataFrame:
-    """docs with every repeated passage cut but for its first occurrence."""
-    return repeats.without(docs, duplicate_spans(docs, **parameters))
+    """docs with every repeated passage cut but for its first occurrence; see ``repeats.without``."""
+    with Scratch(docs.sparkSession) as s:
+        return repeats.without(docs, text_spans(docs, s, **parameters))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

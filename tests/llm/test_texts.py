@@ -4,13 +4,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import decontaminate, language_id, line_rules, ngram_join, packing, relative_lz, repeats, suffix_array
-from factloom.plans.scratch import Scratch
 
 WORD = r"[0-9A-Za-z\x80-\U0010ffff]+"
 
@@ -52,36 +52,93 @@ def repeating(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("bucket", [repeats.BUCKET_ENTRIES, 3])
 @pytest.mark.parametrize("find", [suffix_array.duplicate_spans, relative_lz.duplicate_spans])
-def test_spans(spark, seed, find):
+def test_spans(spark, seed, find, bucket):
+    """Buckets of a few entries cut hot anchors at their boundaries; the rows stay."""
     rows = repeating(seed)
-    got = find(spark.createDataFrame(rows, "doc_id long, text string"), window=12, gram=4).collect()
+    got = find(spark.createDataFrame(rows, "doc_id long, text string"), window=12, gram=4, bucket=bucket).collect()
     assert {tuple(r) for r in got} == brute_spans(rows, 12) and got
 
 
-def test_no_key_straddles_a_boundary(spark):
-    with Scratch(spark) as s:
-        _, suffixes = suffix_array.suffix_rows(spark.createDataFrame(repeating(1), "doc_id long, text string"), s, window=12, gram=4)
-        assert suffix_array.boundaries_differ(suffixes, 5)
-
-
-def test_multikey_order():
-    r = np.random.default_rng(0)
-    a, b = r.integers(0, 9, 500), r.integers(0, 9, 500)
-    assert (suffix_array.multikey_order([a, b]) == np.lexsort((b, a))).all()
+@pytest.mark.parametrize("find", [suffix_array.duplicate_spans, relative_lz.duplicate_spans])
+def test_hot_passage(spark, find):
+    """A passage in half of all texts goes through many buckets."""
+    r = random.Random(8)
+    passage = " ".join(f"hot{i}" for i in range(30))
+    rows = [(d, " ".join(r.choice("abcdefghij") + str(r.randrange(99)) for _ in range(r.randint(1, 30))) + " " + (passage if d % 2 else "")) for d in range(600)]
+    got = find(spark.createDataFrame(rows, "doc_id long, text string"), window=12, gram=4, bucket=40).collect()
+    assert {tuple(x) for x in got} == brute_spans(rows, 12) and len(got) >= 299
 
 
-def test_factors_point_at_equal_words(spark):
+def bucket_of(seed, window):
+    r = random.Random(seed)
+    rows = [(d, 1, 0, np.array([r.randint(1, 3) for _ in range(r.randint(window, 3 * window))], np.uint32)) for d in range(40)]
+    t = pa.table({"lead": [0] * 40, "block": [d % 3 for d in range(40)], "doc_id": [x[0] for x in rows], "d1": [1] * 40, "lo": pa.array([0] * 40, pa.int32()), "words": [x[3].tobytes() for x in rows]})
+    return repeats.read_bucket(t, window), [x[3].tolist() for x in rows]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_multikey_quicksort(seed):
+    """The suffix order and common prefixes of a plain sort, of fixed and of whole lengths."""
+    b, texts = bucket_of(seed, 7)
+    places = [(e, k) for e, w in enumerate(texts) for k in range(len(w) - 6)]
+    assert b.entry.tolist() == [e for e, _ in places]
+    for length in (7, b.end - b.begin):
+        order, shared = repeats.multikey_quicksort(b, length)
+        suffix = [texts[e][k : k + 7] if isinstance(length, int) else texts[e][k:] for e, k in places]
+        assert order.tolist() == sorted(range(len(places)), key=lambda i: (suffix[i], i))
+        for i in range(1, len(order)):
+            x, y = suffix[order[i - 1]], suffix[order[i]]
+            assert shared[i] == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_earlier_match(seed):
+    """Length and place of the longest earlier match of every suffix, and the greedy parse, against a plain search."""
+    b, texts = bucket_of(seed, 7)
+    places = [(e, k) for e, w in enumerate(texts) for k in range(len(w) - 6)]
+    length, source = relative_lz.longest_matches(*repeats.multikey_quicksort(b, b.end - b.begin))
+    common = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+    for i, (e, k) in enumerate(places):
+        best = max((common(texts[e][k:], texts[f][j:]) for f, j in places[:i]), default=0)
+        assert length[i] == best
+        if best:
+            f, j = places[source[i]]
+            assert source[i] < i and common(texts[e][k:], texts[f][j:]) == best
+    windows = np.maximum(length - 6, 0)
+    at, n = relative_lz.greedy(b.first, np.bincount(b.entry, minlength=len(b.first)), windows)
+    want, i = [], 0
+    for e, w in enumerate(texts):
+        end, i = b.first[e] + len(w) - 6, b.first[e]
+        while i < end:
+            if windows[i]:
+                want.append((i, windows[i]))
+            i += max(1, windows[i])
+    assert list(zip(at, n)) == want
+
+
+@pytest.mark.parametrize("bucket", [repeats.BUCKET_ENTRIES, 3])
+def test_factors_point_at_equal_words(spark, bucket):
     rows = repeating(2)
     texts = {d: words(t) for d, t in rows}
     n = 0
-    for r in relative_lz.factors(spark.createDataFrame(rows, "doc_id long, text string"), window=12, gram=4).collect():
+    for r in relative_lz.factors(spark.createDataFrame(rows, "doc_id long, text string"), window=12, gram=4, bucket=bucket).collect():
         m = r.word_end - r.word_start
         assert texts[r.doc_id][r.word_start : r.word_end] == texts[r.ref_doc][r.ref_start : r.ref_start + m] and (r.ref_doc, r.ref_start) < (r.doc_id, r.word_start)
         n += 1
     assert n
 
 
+def test_several_texts_of_one_id(spark):
+    """Spans of one text leave the other texts of its id as they are."""
+    p = " ".join(f"p{i}" for i in range(60))
+    other, short = " ".join(f"q{i}" for i in range(120)), "a short one"
+    rows = [(1, p), (2, p + " and a tail"), (2, other), (2, short), (3, p)]
+    got = sorted(map(tuple, suffix_array.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(1, p), (2, "and a tail"), (2, other), (2, short)])
+
+
 def cut(text, spans):
     starts = [m.start() for m in re.finditer(WORD, text)]
     out, at = [], 0
@@ -227,8 +284,9 @@ def test_known_bins_of_every_language():
 
 def test_spans_are_what_factors_cover(spark):
     """op10's spans come from the greedy factors; factors that touch are one span."""
-    assert [x.tolist() for x in relative_lz.covered(np.array([1, 1, 1, 2]), np.array([0, 60, 200, 120]), np.array([60, 120, 260, 180]))] == [[1, 1, 2], [0, 200, 120], [120, 260, 180]]
+    one = np.ones(4, np.int64)
+    assert [x.tolist() for x in relative_lz.covered(np.array([1, 1, 1, 2]), one, np.array([0, 60, 200, 120]), np.array([60, 120, 260, 180]))] == [[1, 1, 2], [1, 1, 1], [0, 200, 120], [120, 260, 180]]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    parts = sorted((r.doc_id, r.word_start, r.word_end) for r in relative_lz.factors(docs).collect())
-    want = set(zip(*[x.tolist() for x in relative_lz.covered(*map(np.array, zip(*parts)))]))
+    parts = sorted((r.doc_id, 1, r.word_start, r.word_end) for r in relative_lz.factors(docs).collect())
+    want = {(d, a, b) for d, _, a, b in zip(*[x.tolist() for x in relative_lz.covered(*map(np.array, zip(*parts)))])}
     assert want and want <= {tuple(r) for r in relative_lz.duplicate_spans(docs).collect()}
