@@ -3,7 +3,7 @@
 Texts are tokenised once and written; the counts of all ids over all texts give code lengths of at most
 BITS bits (package-merge, optimal under the limit), and lengths alone give the canonical codes. A text's
 ids become one bit stream, most significant bit first, with the bit offset of every BLOCK-th id, so
-any block is decoded without those before it. Decoding looks up BITS bits at once in a table and
+any block is decoded without those before it. Decoding looks up as many bits as the longest code has at once in a table and
 steps all blocks together. What the driver holds is one count and one length for each id.
 
 The result is self-contained: one row without an id holds the code book (a byte of code length for each
@@ -126,7 +126,8 @@ def decode(payload: bytes, n_tokens: int, checkpoints: list[int], lengths: np.nd
     """Ids of one row, or of its block number ``only``."""
     count = np.minimum(block, n_tokens - block * np.arange(len(checkpoints)))
     pick = slice(None) if only is None else slice(only, only + 1)
-    return read_bits(np.frombuffer(payload, np.uint8), np.array(checkpoints, np.int64)[pick], count[pick], table(lengths))
+    bits = max(1, int(lengths.max(initial=0)))  # the longest code that the book has
+    return read_bits(np.frombuffer(payload, np.uint8), np.array(checkpoints, np.int64)[pick], count[pick], table(lengths, bits), bits)
 
 
 def _ids(path: str):

@@ -10,11 +10,12 @@ an explicit rule:
 * ``share``: to each section the part of its bytes there; sums are those of the text.
 
 Sections are the text's lines, each with its line break, or the spans of an array column ``sections`` of
-struct<name, char_start, char_end>, which must be in order and apart; tokens outside of all of them
-are counted under a null name, section -1.
+struct<name, char_start, char_end>; one that begins before the end of those listed before it is cut to begin
+there, so that no token counts twice. Tokens outside of all of them are counted under a null name, section -1.
 
 Defined cases: rows without an id go; a null or empty text has no tokens and no line, and sections of it
-count 0; spans beyond the text are cut to it, null spans are empty; repeated rows give repeated rows.
+count 0; spans beyond the text are cut to it, null and reversed spans are empty; repeated rows give repeated rows;
+a very long text is encoded whole; no rows, no counts.
 A character that several tokens share belongs to the one with its first byte. Other columns are ignored.
 """
 
@@ -77,9 +78,8 @@ def _count(path: str, rule: str, given: bool):
                 for k, s in enumerate(spans or []):
                     x, y = ((s["char_start"], s["char_end"]) if s and s["char_start"] is not None and s["char_end"] is not None else (last, last))
                     x, y = min(max(x, 0), size), min(max(y, 0), size)
+                    x = max(x, last)
                     y = max(x, y)
-                    if x < last:
-                        raise ValueError("sections must be in order and apart")
                     held.append((k, s["name"] if s else None, x, y))
                     if y > x:
                         if x > last:
