@@ -15,9 +15,12 @@
    dealt to packs by their hash, a pack for every PACK_TOKENS tokens, and only the last window of a
    pack may be short.
 
+A component or a set of equal texts that is larger than SEGMENT is dealt in segments, so no pack has more than its part.
+
 Defined cases: rows without an id, and null, empty or blank texts (no tokens), are in no window; texts
-without words are vertices without neighbours; repeated rows of one id are packed once, as the text of
-the most tokens. Other columns are ignored.
+without words are vertices without neighbours; repeated rows of one id and text are packed once; several texts
+of one id are texts of their own, the one of the most tokens is named by the id in ``path``; a text longer than
+a window fills several; no rows, no windows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +40,9 @@ from factloom.plans.iterate import connected_components
 from factloom.plans.scratch import Scratch
 
 K, FLOOR, BLOCK = 6, 0.3, 4096
-WINDOW, PACK_TOKENS = 2048, 16 << 20
+WINDOW, PACK_TOKENS, SEGMENT = 2048, 16 << 20, 200_000
 SCHEMA = "window long, slot int, doc_id long, token_start long, token_end long, path long"
+SURVEY = "doc_id long, key long, n_tokens long, k1 long, k2 long, sketch binary, buckets array<long>"
 _U = np.uint64
 
 
@@ -61,8 +65,8 @@ def _survey(n: int, vocabulary: str):
         off = np.zeros(b.num_rows + 1, np.int64)
         off[has + 1] = T // 2
         return pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(np.diff(at)), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * T), b.num_rows, [None, pa.py_buffer(sk.tobytes())]).cast(pa.binary()), tk.list_array(pa.array(bucket.reshape(-1).view(np.int64)), np.cumsum(off))],
-            names=["doc_id", "n_tokens", "k1", "k2", "sketch", "buckets"],
+            [b.column("doc_id"), b.column("key"), pa.array(np.diff(at)), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * T), b.num_rows, [None, pa.py_buffer(sk.tobytes())]).cast(pa.binary()), tk.list_array(pa.array(bucket.reshape(-1).view(np.int64)), np.cumsum(off))],
+            names=["doc_id", "key", "n_tokens", "k1", "k2", "sketch", "buckets"],
         )
 
     return tk.sliced(one)
@@ -139,8 +143,9 @@ def _neighbours(k: int, floor: float):
 
 def graph(vertices: DataFrame, s: Scratch, *, k: int = K, floor: float = FLOOR, block: int = BLOCK) -> DataFrame:
     """(src, dst, agree): each vertex's k nearest, from vertices (doc_id, sketch, buckets)."""
-    met = vertices.select("doc_id", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.collect_list("doc_id").alias("ids")).where(F.size("ids") > 1)
-    members = met.select("bucket", F.ceil(F.size("ids") / block).cast("int").alias("blocks"), F.explode("ids").alias("doc_id")).join(vertices.select("doc_id", "sketch"), "doc_id")
+    each = s.save(vertices.select("doc_id", F.explode("buckets").alias("bucket")))
+    met = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = each.join(met, "bucket").join(vertices.select("doc_id", "sketch"), "doc_id")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     met_in = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = met_in.select(
@@ -259,24 +264,26 @@ def _fill(window: int):
     return tk.by_runs(one, "pack", rows=0)
 
 
-def pack_related(docs: DataFrame, *, window: int = WINDOW, n: int = N, k: int = K, floor: float = FLOOR, vocabulary: str = tokens.VOCABULARY, pack_tokens: int = PACK_TOKENS) -> DataFrame:
+def pack_related(docs: DataFrame, *, window: int = WINDOW, n: int = N, k: int = K, floor: float = FLOOR, vocabulary: str = tokens.VOCABULARY, pack_tokens: int = PACK_TOKENS, segment: int = SEGMENT) -> DataFrame:
     """Rows of SCHEMA: which tokens of which text stand in which window, in the order of slot; path names the component."""
     if window < 1 or k < 1 or not 0 < floor <= 1:
         raise ValueError("window and k must be positive, floor in (0, 1]")
     with Scratch(docs.sparkSession) as s:
-        texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        made = s.save(texts.mapInArrow(_survey(n, vocabulary), "doc_id long, n_tokens long, k1 long, k2 long, sketch binary, buckets array<long>").where("n_tokens > 0"))
-        one = made.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "k1", "k2")).alias("x")).select("doc_id", "x.*")
-        alike = Window.partitionBy("k1", "k2")
-        wordless = (F.col("k1") == 0) & (F.col("k2") == 0)
-        rep = s.keep(one.where(~wordless).withColumn("node", F.min("doc_id").over(alike)).unionByName(one.where(wordless).withColumn("node", F.col("doc_id"))))
-        vertices = made.join(rep.where("doc_id = node").select("doc_id", "n_tokens", "k1", "k2"), ["doc_id", "n_tokens", "k1", "k2"]).dropDuplicates(["doc_id"]).select("doc_id", "sketch", "buckets")
+        texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+        made = s.save(texts.mapInArrow(_survey(n, vocabulary), SURVEY).where("n_tokens > 0"))
+        ranked = made.select("doc_id", "key", "n_tokens", "k1", "k2").distinct().withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n_tokens"), "k1", "k2", "key")))
+        one = s.keep(ranked.withColumn("vertex", F.when(F.col("r") == 1, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "key"))).drop("r"))
+        worded = (F.col("k1") != 0) | (F.col("k2") != 0)
+        alike = one.where(worded).groupBy("k1", "k2").agg(F.min("vertex").alias("node"), F.count("*").alias("copies"))
+        rep = s.keep(one.where(worded).join(alike, ["k1", "k2"]).select("doc_id", "key", "n_tokens", "vertex", "node", "copies").unionByName(one.where(~worded).select("doc_id", "key", "n_tokens", "vertex", F.col("vertex").alias("node"), F.lit(1).cast("long").alias("copies"))))
+        vertices = made.join(rep.where("vertex = node").select("doc_id", "key", "vertex"), ["doc_id", "key"]).dropDuplicates(["vertex"]).select(F.col("vertex").alias("doc_id"), "sketch", "buckets")
         order = paths(graph(vertices, s, k=k, floor=floor), s)
         total = rep.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
         packs = max(1, -(-total // pack_tokens))
-        placed = rep.join(order, "node", "left").select("doc_id", "n_tokens", "node", F.coalesce("component", "node").alias("path"), F.coalesce("step", F.lit(0)).alias("step"))
-        dealt = placed.withColumn("pack", F.pmod(F.xxhash64("path"), F.lit(packs)).cast("long"))
-        ready = dealt.repartition("pack").sortWithinPartitions("pack", "path", "step", "node", "doc_id").select("pack", "doc_id", "n_tokens", "path")
+        placed = rep.join(order, "node", "left").select("doc_id", "vertex", "n_tokens", "node", "copies", F.coalesce("component", "node").alias("path"), F.coalesce("step", F.lit(0)).alias("step"))
+        part = F.pmod(F.xxhash64("vertex"), F.ceil(F.col("copies") / segment))
+        dealt = placed.withColumn("pack", F.pmod(F.xxhash64("path", F.floor(F.col("step") / segment), part), F.lit(packs)).cast("long"))
+        ready = dealt.repartition("pack").sortWithinPartitions("pack", "path", "step", "node", "vertex").select("pack", "doc_id", "n_tokens", "path")
         return s.keep(ready.mapInArrow(_fill(window), SCHEMA))
 
 
