@@ -1,17 +1,21 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared as lower case with white space runs as one space. A test item of n characters is
-leaked by a document of which some stretch is within k = floor(RATE * n) edits of it. Cut in k + 1
-pieces, at least one piece stands unchanged in such a stretch; one Aho-Corasick pass over a document
-finds all pieces, and around each hit Myers' bit-parallel algorithm computes the least distance of
-any stretch. No leak within the budget can be missed, and every row's distance is exact.
+Texts and items are compared in one normal form: lower case by one function, white space runs as one
+space. A test item of n characters is leaked by a document of which some stretch is within
+k = floor(RATE * n) edits of it. Cut in k + 1 pieces, at least one piece stands unchanged in such a stretch;
+one Aho-Corasick pass over a document finds all pieces, and around each hit Myers' bit-parallel algorithm
+computes the least distance of any stretch. No leak within the budget can be missed, and every row's distance is exact.
+
+An item too short for an edit (k = 0) must stand verbatim as whole words, not inside of others. All leaks are
+reported; ``without_leaks`` drops a text for items of LEAST characters or more only, as a word or two is no leak.
 
 The items go to every worker, up to ITEM_BYTES of text at a time; larger benchmarks are searched in
 as many passes over the documents, and no item is left out.
 
 Defined cases: rows without id or text match nothing; items without id, text or a visible character
-are skipped; items too short for an edit (k = 0) must stand verbatim; repeated rows give one row per
-(doc_id, item_id) with the least distance; items of one id are alternatives, the least distance counts.
+are skipped; repeated rows, and several texts of one id, give one row per (doc_id, item_id) with the least
+distance; items of one id are alternatives, the least distance counts; ``without_leaks`` tells texts of one id
+apart; very long texts are searched whole; without documents or items there is no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +31,16 @@ from pyspark.sql import functions as F
 from factloom.llm import textkernel as tk
 from factloom.plans.scratch import ROW_BYTES, Scratch
 
-RATE, ITEM_BYTES = 0.05, 8 << 20
-SCHEMA = "doc_id long, item_id long, distance int"
+RATE, ITEM_BYTES, LEAST = 0.05, 8 << 20, 20
+FOUND = "doc_id long, key long, item_id long, distance int, n int"
+
+
+def normal_form(texts: pa.Array) -> pa.Array:
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]", " "), " ")
 
 
 def normal(text: str) -> str:
-    return re.sub(r"[ \t\n\r\f\v]+", " ", text.lower()).strip(" ")
+    return normal_form(pa.array([text], pa.string()))[0].as_py()
 
 
 def pieces(item: str, rate: float) -> list[tuple[int, str]]:
@@ -100,6 +108,10 @@ def leaks(text: str, items: tuple[tuple[int, str], ...], rate: float) -> dict[in
     for i, starts in near.items():
         item = items[i][1]
         k = int(rate * len(item))
+        if not k:
+            if re.search(rf"(?<!\w){re.escape(item)}(?!\w)", text):
+                out[i] = 0
+            continue
         if item in text:
             out[i] = 0
             continue
@@ -119,22 +131,22 @@ def leaks(text: str, items: tuple[tuple[int, str], ...], rate: float) -> dict[in
 
 def _search(items: tuple[tuple[int, str], ...], rate: float):
     def one(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        texts = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(b.column("text")), r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]", " "), " ")
-        rows = [(d, items[i][0], k) for d, t in zip(b.column("doc_id").to_pylist(), texts.to_pylist()) if t for i, k in leaks(t, items, rate).items()]
+        texts = normal_form(b.column("text"))
+        rows = [(d, h, items[i][0], k, len(items[i][1])) for d, h, t in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), texts.to_pylist()) if t for i, k in leaks(t, items, rate).items()]
         if not rows:
             return None
-        d, i, k = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(k, pa.int32())], names=["doc_id", "item_id", "distance"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "key", "item_id", "distance", "n"])
 
     return tk.sliced(one)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """(doc_id, item_id, distance): every leak within the edit budget."""
+def found_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """(doc_id, key, item_id, distance, n): leaks of each text, with its xxhash64 and the characters of the item."""
     if not 0 <= rate < 0.5:
         raise ValueError("rate must be in [0, 0.5)")
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("key", F.xxhash64("text"))
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     total = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-total // item_bytes))
@@ -142,16 +154,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, i
     for p in range(passes):
         part = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
         items = tuple(sorted((r["item_id"], t) for r in part.toLocalIterator() if (t := normal(r["text"]))))
-        one = texts.mapInArrow(_search(items, rate), SCHEMA) if items else spark.createDataFrame([], SCHEMA)
+        one = texts.mapInArrow(_search(items, rate), FOUND) if items else spark.createDataFrame([], FOUND)
         found = one if found is None else found.unionByName(one)
-    return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+    return found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **parameters: float) -> DataFrame:
+    """(doc_id, item_id, distance): every leak within the edit budget."""
+    return found_leaks(docs, benchmark, **parameters).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **parameters: float) -> DataFrame:
-    """docs without those that leak an item; all columns stay."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, **parameters: float) -> DataFrame:
+    """docs without the texts that leak an item of ``least`` characters or more; all columns stay."""
     with Scratch(docs.sparkSession) as s:
-        gone = s.keep(contaminated(docs, benchmark, **parameters).select(F.col("doc_id").alias("_gone")).distinct())
-        return tk.drop_ids(docs, gone, ROW_BYTES * gone.count())
+        gone = s.keep(found_leaks(docs, benchmark, **parameters).where(F.col("n") >= least).select("doc_id", "key").distinct())
+        return tk.drop_texts(docs, gone, 2 * ROW_BYTES * gone.count())
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,9 +366,7 @@ def keep_one(docs: DataFrame, **parameters: float) -> DataFrame:
         held = s.save(classes(docs, s, **parameters).where("n_links > 0 or doc_id <> class_id").select("doc_id", "key", "class_id"))
         kept = held.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("class_id", "x.*")
         gone = s.keep(held.join(kept, ["class_id", "doc_id", "key"], "left_anti").select("doc_id", "key").distinct())
-        size = 2 * ROW_BYTES * gone.count()
-        a, b = tk.fresh(docs, "_gone"), tk.fresh(docs, "_key")
-        return docs.join(small_side(gone.toDF(a, b), size), (docs["doc_id"].cast("long") == F.col(a)) & (F.xxhash64(docs["text"].cast("string")) == F.col(b)), "left_anti")
+        return tk.drop_texts(docs, gone, 2 * ROW_BYTES * gone.count())
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,3 +242,11 @@ def drop_ids(docs: DataFrame, gone: DataFrame, size: int) -> DataFrame:
 
     key = fresh(docs, "_gone")
     return docs.join(small_side(gone.toDF(key), size), docs["doc_id"] == F.col(key), "left_anti")
+
+
+def drop_texts(docs: DataFrame, gone: DataFrame, size: int) -> DataFrame:
+    """docs without the texts that gone (doc_id, xxhash64 of the text) names; rows without an id or text stay, as do all columns."""
+    from factloom.plans.scratch import small_side
+
+    a, b = fresh(docs, "_gone"), fresh(docs, "_key")
+    return docs.join(small_side(gone.toDF(a, b), size), (docs["doc_id"].cast("long") == F.col(a)) & (F.xxhash64(docs["text"].cast("string")) == F.col(b)), "left_anti")

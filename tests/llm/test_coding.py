@@ -148,7 +148,7 @@ def test_neighbours(spark):
     from factloom.plans.scratch import Scratch
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    made = docs.mapInArrow(packing._survey(3, tokens.VOCABULARY), "doc_id long, n_tokens long, k1 long, k2 long, sketch binary, buckets array<long>").dropDuplicates(["k1", "k2"])
+    made = docs.withColumn("key", F.lit(1).cast("long")).mapInArrow(packing._survey(3, tokens.VOCABULARY), packing.SURVEY).dropDuplicates(["k1", "k2"])
     with Scratch(spark) as s:
         made = s.keep(made)
         rows = [(r.doc_id, np.frombuffer(r.sketch, np.uint16)) for r in made.collect() if len(r.buckets)]
@@ -157,10 +157,12 @@ def test_neighbours(spark):
             got.setdefault(r.src, {})[r.dst] = r.agree
         want = found = 0
         for d, x in rows:
-            near = sorted((int((x == y).sum()) for e, y in rows if e != d), reverse=True)[: packing.K]
-            near = [a for a in near if a >= packing.FLOOR * T]
+            near = sorted((-int((x == y).sum()), e) for e, y in rows if e != d)[: packing.K]
+            near = {e: -a for a, e in near if -a >= packing.FLOOR * T}
+            assert all(dict(rows)[e] is not None and int((x == dict(rows)[e]).sum()) == a for e, a in got.get(d, {}).items()) if d % 20 == 0 else True
             want += len(near)
-            found += min(len(near), len(got.get(d, {})))
+            least = min(near.values(), default=0)
+            found += sum(a >= least for a in got.get(d, {}).values()) if near else 0
         assert found >= 0.9 * want > 0
 
 
@@ -212,3 +214,59 @@ def test_a_component_of_any_size_is_walked_whole(spark):
         chain = spark.range(m - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.when(F.col("id") % 500_000 == 99, 20).otherwise(40).alias("agree"))
         r = packing.paths(chain, s).agg(F.count("*").alias("n"), F.countDistinct("component").alias("components"), F.sum((F.col("node") == F.col("step")).cast("long")).alias("in_order")).first()
     assert (r.n, r.components, r.in_order) == (m, 1, m)
+
+
+def test_long_white_space():
+    """Runs of white space are cut where the tokenizer's pieces end; runs that break the tokenizer pass."""
+    e = tokens.encoding()[0]
+    for run in (" " * 12_000, "\n" * 10_001, " \n\t" * 5000, "\u3000" * 10_500):
+        for text in (run, "a" + run, run + "a", f"one{run}two {run}!", f"x{run}7{run}"):
+            assert tokens.encode([text])[0].tolist() == e.encode_ordinary(text)
+    ids, at = tokens.encode([" " * 1_500_000 + "end", None, "x"])
+    assert b"".join(e.decode_single_token_bytes(int(i)) for i in ids[: at[1]]).decode() == " " * 1_500_000 + "end" and at[1] == at[2]
+
+
+def test_codes_beyond_twenty_bits():
+    """Decoding takes the longest code of the book, whatever the limit was."""
+    counts = np.array([1, 1] + [2**k for k in range(1, 26)], np.int64)
+    lengths = huffman.code_lengths(counts, 24)
+    assert lengths.max() > huffman.BITS
+    ids = np.random.default_rng(0).integers(0, len(counts), 5000)
+    payload, _, _, inside = huffman.write_bits(ids, np.array([0, 5000]), lengths, huffman.codes(lengths))
+    assert huffman.decode(payload.tobytes(), 5000, inside[::512].tolist(), lengths, 512).tolist() == ids.tolist()
+
+
+def test_overlapping_sections(spark):
+    """A section that begins inside an earlier one is cut; all tokens count once."""
+    text = "alpha beta gamma delta epsilon"
+    d = spark.createDataFrame([(1, text, [("a", 0, 12), ("b", 6, 20), ("c", 2, 5), None, ("d", 25, 22)]), (2, None, [("a", 0, 5)])], "doc_id long, text string, sections array<struct<name:string,char_start:int,char_end:int>>")
+    rows = token_counts.section_tokens(d, rule="share", sections="sections").collect()
+    assert {(r.name, r.char_start, r.char_end) for r in rows if r.doc_id == 1 and r.section >= 0} == {("a", 0, 12), ("b", 12, 20), ("c", 20, 20), (None, 20, 20), ("d", 25, 25)}
+    assert sum(r.n_tokens for r in rows) == pytest.approx(len(tokens.encoding()[0].encode_ordinary(text)))
+    assert [r.n_tokens for r in rows if r.doc_id == 2] == [0]
+
+
+def test_several_texts_of_one_id_are_packed(spark):
+    rows = [(1, "one text of some words here"), (1, "another one of quite other things and more"), (1, "one text of some words here"), (2, "one text of some words here")]
+    got = packing.pack_related(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    encoder = tokens.encoding()[0]
+    n = [len(encoder.encode_ordinary(t)) for _, t in rows]
+    assert sum(r.token_end - r.token_start for r in got) == n[0] + n[1] + n[3]
+
+
+def test_segments_of_a_hot_component(spark):
+    """Copies beyond a segment are dealt to several packs, none lost."""
+    rows = [(i, "the same words again and again for all") for i in range(300)] + [(1000 + i, f"the same words again and again for all of {i}") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_related(d, window=64, pack_tokens=400, segment=20).collect()
+    assert {r.doc_id for r in got} == {d for d, _ in rows} and len({r.window >> 32 for r in got}) > 3
+
+
+def test_equal_sizes_and_one_hot_group(spark):
+    """Groups of equal size, and one group with a third of all rows, never part."""
+    rows = [(i, "x" * 100 + str(i % 7 if i % 3 else 9)) for i in range(300)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), capacity=4096)
+    of = {}
+    for r in out.collect():
+        of.setdefault(rows[r.doc_id][1], set()).add(r.shard)
+    assert all(len(x) == 1 for x in of.values()) and len(of) == 8

@@ -168,7 +168,16 @@ def edits(pattern, text):
 
 
 def brute_leaks(rows, items, rate=decontaminate.RATE):
-    return {(d, i, e) for d, t in rows for i, x in items for e in [edits(decontaminate.normal(x), decontaminate.normal(t))] if e <= int(rate * len(decontaminate.normal(x)))}
+    """Items without an edit must stand as whole words."""
+    out = set()
+    for d, t in rows:
+        for i, x in items:
+            x, t = decontaminate.normal(x), decontaminate.normal(t)
+            k = int(rate * len(x))
+            e = edits(x, t) if k or re.search(rf"(?<!\w){re.escape(x)}(?!\w)", t) else k + 1
+            if e <= k:
+                out.add((d, i, e))
+    return out
 
 
 def leaking(seed):
@@ -183,7 +192,7 @@ def leaking(seed):
             for _ in range(r.randint(0, 4)):
                 k = r.randrange(len(x))
                 x[k] = r.choice(["", "y", x[k] + "v", x[k].upper()])
-            t = t[:50] + "".join(x) + t[50:]
+            t = t[:50] + r.choice(["", " "]) + "".join(x) + r.choice(["", " "]) + t[50:]
         rows.append((d, t))
     return rows, items
 
@@ -196,7 +205,24 @@ def test_leaks(spark, seed):
     want = brute_leaks(rows, items)
     assert {tuple(r) for r in decontaminate.contaminated(d, b).collect()} == want and want
     assert {tuple(r) for r in decontaminate.contaminated(d, b, item_bytes=100).collect()} == want
-    assert {r.doc_id for r in decontaminate.without_leaks(d, b).collect()} == {d for d, _ in rows} - {d for d, _, _ in want}
+    long = {i for i, x in items if len(decontaminate.normal(x)) >= decontaminate.LEAST}
+    assert {r.doc_id for r in decontaminate.without_leaks(d, b).collect()} == {d for d, _ in rows} - {d for d, i, _ in want if i in long}
+
+
+def test_leaks_of_any_script_and_of_whole_words(spark):
+    """Items and texts have one lower case; a short item is found as words only and drops no text."""
+    items = [(1, "Ο ΔΡΟΜΟΣ ΠΡΟΣ ΤΗΝ ΠΟΛΗ ΕΙΝΑΙ ΜΑΚΡΥΣ ΟΔΟΣ"), (2, "İSTANBUL'DA GÜZEL BİR GÜN DAHA GEÇTİ"), (3, "o"), (4, "ΟΔΟΣ")]
+    rows = [(1, "x " + items[0][1] + " y"), (2, items[1][1]), (3, "go on for long"), (4, "sol o luna"), (5, "μια οδοσ εδώ"), (6, None), (7, ""), (8, "z " * 100_000 + items[0][1])]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated(d, b).collect()}
+    assert {(1, 1, 0), (2, 2, 0), (4, 3, 0), (8, 1, 0)} <= got and not {x for x in got if x[0] in (3, 6, 7)}
+    assert {r.doc_id for r in decontaminate.without_leaks(d, b).collect()} == {3, 4, 5, 6, 7}
+
+
+def test_leak_of_one_text_of_an_id(spark):
+    b = spark.createDataFrame([(1, "what is the capital of the country of nowhere")], "item_id long, text string")
+    rows = [(1, "so what is the capital of the country of nowhere then"), (1, "quite another text")]
+    assert [r.text for r in decontaminate.without_leaks(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()] == ["quite another text"]
 
 
 def test_myers():
@@ -223,6 +249,24 @@ def test_line_rules(spark):
     assert got == {1: good, 2: f"{good}\n{good}"}
 
 
+def test_line_rules_in_linear_time(spark):
+    """Lines of megabytes that nearly match a rule again and again."""
+    import time
+
+    rows = [(1, "released under the " * 150_000), (2, "a > " * 500_000), (3, "| x" + " " * 1_000_000 + "y"), (4, "!!" * 500_000), (5, "word" * 500_000 + " and " * 3 + "x" * 1_000_000)]
+    t = time.time()
+    line_rules.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert time.time() - t < 60
+
+
+def test_every_line_rule(spark):
+    bad = ["  ", "Released under the MIT License today, and more words here.", "Copyright 2024 by some people of the world.", "Home > News > Sports", "www.example.org", "again again again again again again again again again again", "a = b + c @ d # e, such a line.", "What a day!! How nice!! So it is.", "Two words", "Alle Rechte vorbehalten, und mehr."]
+    kept = ["This line is fine, as it ends well.", "Short one.", "A longer line of words without any end"]
+    for line, good in [(x, False) for x in bad] + [(x, True) for x in kept]:
+        got = spark.createDataFrame([(line,)], "line string").select(line_rules.fails(F.col("line")).alias("f")).first().f
+        assert (got is None) == good, line
+
+
 def test_pipeline(spark):
     """run() against every stage by brute force; the language model is the operator's own."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -253,7 +297,7 @@ def test_pipeline(spark):
     rows = [(d, cut(t, by[d]) if d in by else t) for d, t in rows]
     rows = [(d, t) for d, t in rows if d not in by or words(t)]
     items = [(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    leaked = {d for d, t in rows if any(decontaminate.least_distance(decontaminate.masks(x), len(x), decontaminate.normal(t)) <= int(decontaminate.RATE * len(x)) for _, x in items)}
+    leaked = {d for d, t in rows if any(len(x) >= decontaminate.LEAST and decontaminate.least_distance(decontaminate.masks(x), len(x), decontaminate.normal(t)) <= int(decontaminate.RATE * len(x)) for _, x in items)}
     rows = [(d, t) for d, t in rows if d not in leaked]
     want = packing.pack_related(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(tuple, want)) and want and leaked and by
