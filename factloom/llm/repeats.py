@@ -12,9 +12,9 @@ the least id are one span from end to end. And a window can only repeat if its a
 sent about as often as three times, not once for each of its windows.
 
 Entries are range-partitioned by the leading words of their anchor, then the anchor, then the place of
-the occurrence, at splitters that Spark samples. Equal windows have equal anchors, hence lie in
-neighbouring buckets: in one, unless a splitter falls inside a hot anchor. So a bucket is bounded however
-often a passage stands in the corpus. A bucket finds, in whichever way, each of its windows that an
+the occurrence, at splitters that Spark samples; in that order a partition is read as buckets of so many
+entries. Equal windows have equal anchors, hence lie in neighbouring buckets: in one, unless a hot anchor goes
+on in the next. So a bucket is bounded however often a passage stands in the corpus. A bucket finds, in whichever way, each of its windows that an
 earlier one of the bucket equals. Its first and last anchor may go on beyond its ends; of these it also
 hands on the first occurrence of every different window, once, and ``across`` compares those of all buckets.
 
@@ -38,8 +38,8 @@ from factloom.llm import textkernel as tk
 from factloom.plans.scratch import ROW_BYTES, Scratch, small_side
 
 WINDOW, GRAM = 50, 8
-#: Entries of a bucket; an entry has at most 2 * (window - gram) + gram words.
-BUCKET_ENTRIES = 40_000
+#: Entries of a bucket, and about how many make a partition of buckets; an entry has at most 2 * window words.
+BUCKET_ENTRIES, PARTITION_ENTRIES = 16_000, 500_000
 ENTRIES = "lead long, block long, doc_id long, d1 long, lo int, words binary"
 MATCHES = "doc_id long, d1 long, pos int, n int, ref_doc long, ref_d1 long, ref_pos int, m1 long, m2 long"
 SPANS = "doc_id long, d1 long, word_start int, word_end int"
@@ -275,15 +275,22 @@ def in_buckets(docs: DataFrame, s: Scratch, search: Callable[[Bucket], Iterator[
     """copies, and what ``search`` finds in every bucket, as rows of MATCHES that are written."""
     texts, copies, hot, size = survey(docs, s, window=window, gram=gram)
     entries = s.save(texts.join(small_side(hot, size), "doc_id").mapInArrow(_entries(window, gram), ENTRIES))
+    keys = ["lead", "block", "doc_id", "d1", "lo"]
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = entries.repartitionByRange(max(least, -(-entries.count() // bucket)), "lead", "block", "doc_id", "d1", "lo")
+    placed = entries.repartitionByRange(max(least, -(-entries.count() // PARTITION_ENTRIES)), *keys).sortWithinPartitions(*keys)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x for x in batches if x.num_rows]
+        held, n = [], 0
+        for x in batches:
+            while x.num_rows:
+                held.append(x.slice(0, bucket - n))
+                n += held[-1].num_rows
+                x = x.slice(held[-1].num_rows)
+                if n == bucket:
+                    yield from search(read_bucket(pa.Table.from_batches(held), window))
+                    held, n = [], 0
         if held:
-            t = pa.Table.from_batches(held)
-            held.clear()
-            yield from search(read_bucket(t, window))
+            yield from search(read_bucket(pa.Table.from_batches(held), window))
 
     return copies, s.save(placed.mapInArrow(one, MATCHES))
 
