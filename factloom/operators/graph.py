@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,11 @@ from factloom.plans.scratch import Scratch
 ROOTS = ("main", "run", "cli", "app", "setup", "handler", "start", "execute", "serve", "__root__")
 
 
+def _kind(edges: DataFrame) -> str:
+    """The type of nodes as kernels see it."""
+    return "string" if edges.schema["src"].dataType.typeName() == "string" else "long"
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
@@ -41,6 +45,12 @@ def blast_radius(edges: DataFrame, targets: DataFrame) -> DataFrame:
         return s.keep(seen).groupBy("node").agg((F.count("*") - 1).alias("radius"))
 
 
+def by_blast_radius(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """points(func, ...) with the ``radius`` of their function, 0 for those of none, the widest first."""
+    r = blast_radius(edges, points.where("func is not null").select(F.col("func").alias("node"))).withColumnRenamed("node", "func")
+    return points.join(r, "func", "left").fillna(0, ["radius"]).orderBy(F.desc("radius"), *[c for c in points.columns])
+
+
 def components(edges: DataFrame) -> DataFrame:
     return connected_components(edges)
 
@@ -96,15 +106,10 @@ def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, scc): the least node that reaches and is reached, itself at least.
 
-    Integer nodes: one search over weakly connected components, each in one task. Other nodes:
-    from the closure, so for graphs whose closure fits.
+    One search over weakly connected components, each in one task; nodes are integers or names.
     """
-    if edges.schema["src"].dataType.typeName() in ("long", "integer", "short", "byte"):
-        return per_partition(edges, _strong, "node long, scc long")
-    c = closure(edges)
-    back = c.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    least = c.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-    return nodes_of(edges).join(least, "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("scc"))
+    kind = _kind(edges)
+    return per_partition(edges, _strong, f"node {kind}, scc {kind}")
 
 
 def tangles(edges: DataFrame) -> DataFrame:
@@ -205,8 +210,8 @@ def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int | None = No
         e = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
         if e.count() <= one_task_edges:
             return e.coalesce(1).mapInArrow(_rank_in_one_task(damping, rounds, tolerance), f"node {e.schema['src'].dataType.simpleString()}, rank double")
-        e = s.keep(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src"))
-        nodes = s.keep(nodes_of(e))
+        e = s.keep(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src").repartition("src"))
+        nodes = s.keep(nodes_of(e).repartition("node"))
         n = nodes.count()
         rank = nodes.withColumn("rank", F.lit(1.0 / n))
         ends = nodes.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
@@ -277,44 +282,67 @@ def cut_vertices(near: list[list[int]]) -> set[int]:
     return cut
 
 
-def betweenness_of(near: list[list[int]], sources: list[int] | None = None) -> np.ndarray:
+def betweenness_of(near: list[list[int]], sources: Iterable[int] | None = None) -> np.ndarray:
     """Shortest-path betweenness, not normalised, each pair counted from both ends and halved."""
-    n = len(near)
-    out = np.zeros(n)
-    for s in range(n) if sources is None else sources:
-        dist, paths, before, order = [-1] * n, [0.0] * n, [[] for _ in range(n)], []
-        dist[s], paths[s] = 0, 1.0
-        queue = deque([s])
-        while queue:
-            u = queue.popleft()
-            order.append(u)
+    out = [0.0] * len(near)
+    for s in range(len(near)) if sources is None else sources:
+        dist, paths, before, order = {s: 0}, {s: 1.0}, {s: []}, [s]  # of what is reached, however large the rest
+        for u in order:
             for v in near[u]:
-                if dist[v] < 0:
-                    dist[v] = dist[u] + 1
-                    queue.append(v)
+                if v not in dist:
+                    dist[v], paths[v], before[v] = dist[u] + 1, 0.0, []
+                    order.append(v)
                 if dist[v] == dist[u] + 1:
                     paths[v] += paths[u]
                     before[v].append(u)
-        share = [0.0] * n
+        share = dict.fromkeys(order, 0.0)
         for v in reversed(order):
             for u in before[v]:
                 share[u] += paths[u] / paths[v] * (1 + share[v])
             if v != s:
                 out[v] += share[v]
-    return out / 2
+    return np.array(out) / 2
+
+
+DENSE = 400
 
 
 def fiedler(near: list[list[int]]) -> float:
-    """Second least eigenvalue of the normalised Laplacian; 1 below three vertices."""
+    """Second least eigenvalue of the normalised Laplacian of a connected graph; 1 below three vertices.
+
+    Up to DENSE vertices from the whole matrix; beyond it by Lanczos steps on the neighbour lists, in memory of a
+    few vectors, kept apart from the known first eigenvector, until the value stands.
+    """
     n = len(near)
     if n < 3:
         return 1.0
-    a = np.zeros((n, n))
-    for u, x in enumerate(near):
-        a[u, x] = 1
-    d = a.sum(1)
-    s = np.where(d > 0, 1 / np.sqrt(np.maximum(d, 1)), 0)
-    return float(np.linalg.eigvalsh(np.diag((d > 0).astype(float)) - s[:, None] * a * s[None, :])[1])
+    size = np.array([len(x) for x in near])
+    d = 1 / np.sqrt(np.maximum(size, 1))
+    if n <= DENSE:
+        a = np.zeros((n, n))
+        for u, x in enumerate(near):
+            a[u, x] = 1
+        return float(np.linalg.eigvalsh(np.diag((size > 0).astype(float)) - d[:, None] * a * d[None, :])[1])
+    to, of = np.array([v for x in near for v in x]), np.repeat(np.arange(n), size)
+    times = lambda x: x + np.bincount(of, (d * x)[to], n) * d  # noqa: E731  # 2 - the Laplacian: its second largest is wanted
+    first = np.sqrt(size / size.sum())
+    x = np.random.default_rng(3).standard_normal(n)
+    x -= first * (first @ x)
+    basis, alpha, beta, best = [x / np.linalg.norm(x)], [], [], 0.0
+    for k in range(min(n - 1, 300)):
+        y = times(basis[-1])
+        alpha.append(float(basis[-1] @ y))
+        for q in (first, *basis):  # twice would be exact; once and the check below do
+            y -= q * (q @ y)
+        norm = float(np.linalg.norm(y))
+        if k % 10 == 9 or norm < 1e-10:
+            now = float(np.linalg.eigvalsh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))[-1])
+            if norm < 1e-10 or abs(now - best) < 1e-9:
+                return 2 - now
+            best = now
+        beta.append(norm)
+        basis.append(y / norm)
+    return 2 - best
 
 
 def persistence(edges: list[tuple[int, int, float]]) -> list[tuple[int, float, float]]:
@@ -344,9 +372,9 @@ def persistence(edges: list[tuple[int, int, float]]) -> list[tuple[int, float, f
         if column:
             held[max(column)] = column
             paired[max(column)] = i
-    out = []
+    out, killers = [], set(paired.values())
     for i, (w, d, _) in enumerate(cells):
-        if d < 2 and not any(i == j for j in paired.values()):
+        if d < 2 and i not in killers:
             death = cells[paired[i]][0] if i in paired else np.inf
             if death > w or not np.isfinite(death):
                 out.append((d, float(w), float(death)))
@@ -354,7 +382,7 @@ def persistence(edges: list[tuple[int, int, float]]) -> list[tuple[int, float, f
 
 
 def per_component(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """The kernel's rows for each connected component of integer edges; a task holds one component's edges and no more."""
+    """The kernel's rows for each connected component; a task holds one component's edges and no more."""
     parts = connected_components(edges.select("src", "dst"))
     return edges.join(parts.withColumnRenamed("node", "src"), "src").groupBy("component").applyInPandas(kernel, schema)
 
@@ -376,21 +404,51 @@ def _articulation(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes[sorted(cut_vertices(near))]})
 
 
-def articulation_points(edges: DataFrame) -> DataFrame:
-    return per_partition(edges, _articulation, "node long")
+def articulation_points(edges: DataFrame, *, co_changes: DataFrame | None = None) -> DataFrame:
+    """(node) of the cut vertices of the undirected graph; co_changes(src, dst) are edges besides, as of files that change together."""
+    e = edges.select("src", "dst")
+    return per_partition(e.unionByName(co_changes.select("src", "dst")) if co_changes is not None else e, _articulation, f"node {_kind(edges)}")
 
 
-def _central(pdf: pd.DataFrame) -> pd.DataFrame:
-    nodes, near = adjacency(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
-    return pd.DataFrame({"node": nodes, "raw": betweenness_of(near)})
+def cut_files(edges: DataFrame, functions: DataFrame, **more: DataFrame) -> DataFrame:
+    """(file, cuts): files of functions(name, file) that hold cut vertices, and how many."""
+    cut = articulation_points(edges, **more).withColumnRenamed("node", "name")
+    return cut.join(functions.select("name", "file").distinct(), "name").groupBy("file").agg(F.countDistinct("name").alias("cuts"))
+
 
+#: Steps (vertices times edges) that one task takes of a component's shortest paths.
+SEARCH = 50_000_000
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """(node, betweenness), undirected, over all pairs of other vertices of the whole graph."""
-    raw = per_partition(edges, _central, "node long, raw double")
-    n = nodes_of(edges).agg(F.count("*").alias("n"))
-    pairs = (F.col("n") - 1) * (F.col("n") - 2) / 2
-    return raw.crossJoin(F.broadcast(n)).select("node", F.round(F.when(pairs > 0, F.col("raw") / pairs).otherwise(0.0), 6).alias("betweenness"))
+
+def _central(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    pdf = pd.concat(held, ignore_index=True)
+    pdf["alone"] = pdf["component"].where(pdf["parts"] > 1)  # whole components may be searched together
+    for (parts, part, _), x in pdf.groupby(["parts", "part", "alone"], sort=True, dropna=False):
+        nodes, near = adjacency(x["src"].to_numpy(), x["dst"].to_numpy())
+        yield pd.DataFrame({"node": nodes, "raw": betweenness_of(near, range(int(part), len(nodes), int(parts)))})
+
+
+def betweenness(edges: DataFrame, *, search: int = SEARCH) -> DataFrame:
+    """(node, betweenness), undirected, over all pairs of other vertices of the whole graph.
+
+    A component whose searches take more than ``search`` steps is sent to several tasks, each of which searches
+    from its share of the vertices; the sums are the same. Rounded to 12 digits.
+    """
+    with Scratch(edges.sparkSession) as s:
+        e = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+        of = s.keep(connected_components(e))
+        held = e.join(of.withColumnRenamed("node", "src"), "src")
+        v = of.groupBy("component").agg(F.count("*").alias("v"))
+        work = held.groupBy("component").agg(F.count("*").alias("e")).join(v, "component")
+        parts = work.select("component", F.least(F.col("v"), F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("e") / search))).cast("int").alias("parts"))
+        sent = held.join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        raw = sent.repartition("component", "part").select("component", "parts", "part", "src", "dst").mapInPandas(_central, f"node {_kind(edges)}, raw double").groupBy("node").agg(F.sum("raw").alias("raw"))
+        pairs = (F.col("n") - 1) * (F.col("n") - 2) / 2
+        n = of.agg(F.count("*").alias("n"))
+        return s.keep(raw.crossJoin(F.broadcast(n)).select("node", F.round(F.when(pairs > 0, F.col("raw") / pairs).otherwise(0.0), 12).alias("betweenness")))
 
 
 def bridge_nodes(edges: DataFrame, *, threshold: float = 0.1) -> DataFrame:
@@ -402,11 +460,11 @@ def bridge_nodes(edges: DataFrame, *, threshold: float = 0.1) -> DataFrame:
 
 def _gap(pdf: pd.DataFrame) -> pd.DataFrame:
     _, near = adjacency(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
-    return pd.DataFrame({"component": [int(pdf["component"].iloc[0])], "size": [len(near)], "gap": [round(fiedler(near), 6)]})
+    return pd.DataFrame({"component": [pdf["component"].iloc[0]], "size": [len(near)], "gap": [round(fiedler(near), 6)]})
 
 
 def spectral_gaps(edges: DataFrame) -> DataFrame:
-    return per_component(edges, _gap, "component long, size long, gap double")
+    return per_component(edges, _gap, f"component {_kind(edges)}, size long, gap double")
 
 
 def _bars(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -436,7 +494,7 @@ def cycle_rank(edges: DataFrame) -> DataFrame:
 def structural_risk(edges: DataFrame, duties: DataFrame, *, top: int | None = None) -> DataFrame:
     """(node, betweenness, risk) of cut vertices, betweenness * (1 + duties(node, duties) that are not met), the highest first."""
     b = betweenness(edges).join(articulation_points(edges), "node", "left_semi").join(duties, "node", "left")
-    out = b.select("node", "betweenness", F.round(F.col("betweenness") * (1 + F.coalesce("duties", F.lit(0))), 6).alias("risk")).orderBy(F.desc("risk"), "node")
+    out = b.select("node", "betweenness", F.round(F.col("betweenness") * (1 + F.coalesce("duties", F.lit(0))), 12).alias("risk")).orderBy(F.desc("risk"), "node")
     return out.limit(top) if top else out
 
 
@@ -453,6 +511,14 @@ def topology_report(edges: DataFrame, *, top: int = 10) -> DataFrame:
         )
 
 
+def evidence_order(cut: DataFrame, central: DataFrame, contracts: DataFrame) -> DataFrame:
+    """cut(file, node) with central(node, betweenness): (file, has_contract, betweenness_max), files without a contract first, then the most central."""
+    from factloom.operators import joins
+
+    b = cut.join(central, "node", "left").groupBy("file").agg(F.coalesce(F.max("betweenness"), F.lit(0.0)).alias("betweenness_max"))
+    return b.join(joins.contract_coverage(cut, contracts), "file").select("file", F.col("covered").alias("has_contract"), "betweenness_max").orderBy("has_contract", F.desc("betweenness_max"), "file")
+
+
 def structural_coverage(edges: DataFrame, files: DataFrame, contracts: DataFrame) -> DataFrame:
     """One row: files of cut vertices, those with a contract, and their share, 1 if there is none."""
     from factloom.operators import joins

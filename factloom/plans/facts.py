@@ -27,6 +27,17 @@ FACTS: dict[str, str] = {
         CASE WHEN l.l_returnflag = 'R' THEN 'ext.s' || CAST(l.l_suppkey AS STRING) WHEN l.l_returnflag = 'A' THEN f.short ELSE f.name END AS callee,
         CAST(l.l_quantity AS INT) % 4 AS n_positional
         FROM (SELECT *, l_orderkey % (SELECT count(*) FROM {part}) AS callee_id FROM {lineitem}) l JOIN {functions} c ON l.l_partkey = c.func_id JOIN {functions} f ON l.callee_id = f.func_id""",
+    # arguments of functions, and what calls give: flags by the parts' sizes and the lines' numbers
+    "functions_called": "SELECT func_id, name, func_id % 13 = 0 AS is_called_otherwise FROM {functions}",
+    "function_args": """SELECT f.func_id, k.pos, CASE WHEN k.pos = 1 AND f.func_id % 11 = 0 THEN 'ctx' ELSE 'a' || CAST(k.pos AS STRING) END AS arg, (f.func_id + k.pos) % 3 <> 0 AS required, k.pos > 4 AS kwonly
+        FROM {functions} f JOIN (SELECT DISTINCT l_linenumber AS pos FROM {lineitem}) k ON k.pos <= f.func_id % 8""",
+    "calls_made": """SELECT seq, callee, n_positional, seq % 17 = 0 AS spread, seq % 19 = 0 AS is_create, contains(callee, '.') AND seq % 5 = 0 AS is_method, seq % 23 = 0 AS in_main, seq % 29 = 0 AS is_local FROM {calls}""",
+    "call_keywords": "SELECT c.seq, 'a' || CAST(k.pos AS STRING) AS arg FROM {calls} c JOIN (SELECT DISTINCT l_linenumber AS pos FROM {lineitem}) k ON (c.seq + k.pos) % 4 = 0",
+    # fields of models with bounds and choices, and the values that sites give: texts in odd fields, numbers in even ones
+    "model_fields": """SELECT m.model, l.field, l.field <= CAST(substr(m.model, 1, 1) AS INT) AS required, CASE WHEN l.field = 7 THEN 'ManyToManyField' ELSE 'CharField' END AS field_type, CASE WHEN l.field = 1 THEN 0 ELSE 5 END AS max_length, 5 AS min_value, 40 AS max_value
+        FROM (SELECT DISTINCT o_orderpriority AS model FROM {orders}) m CROSS JOIN (SELECT DISTINCT l_linenumber AS field FROM {lineitem}) l""",
+    "field_choices": "SELECT model, field, CASE WHEN field % 2 = 1 THEN x.flag END AS text, CASE WHEN field % 2 = 0 THEN CAST(x.n AS BIGINT) END AS number FROM {model_fields} CROSS JOIN (SELECT DISTINCT l_returnflag AS flag, l_linenumber * 7 AS n FROM {lineitem} WHERE l_returnflag <> 'N') x WHERE field > 2",
+    "site_values": "SELECT l_orderkey AS site, l_linenumber AS field, CASE WHEN l_linenumber % 2 = 1 AND l_discount > 0.02 THEN l_returnflag END AS text, CASE WHEN l_linenumber % 2 = 0 AND l_discount > 0.02 THEN CAST(l_quantity AS BIGINT) END AS number FROM {lineitem}",
     # a sparse graph: each order calls the customer's next one, and, if fulfilled, the one before
     "edges": """SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM {orders}) a WHERE dst IS NOT NULL
         UNION SELECT src, dst FROM (SELECT o_orderkey AS src, CASE WHEN o_orderstatus = 'F' THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) END AS dst FROM {orders}) b WHERE dst IS NOT NULL""",

@@ -18,7 +18,7 @@ from factloom.plans.scratch import Scratch
 _ONE_TASK_EDGES = 2_000_000
 
 
-def _walk_in_one_task(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.RecordBatch]:
+def _walk_in_one_task(batches: Iterator[pa.RecordBatch], rounds: int | None) -> Iterator[pa.RecordBatch]:
     parts = [x for x in batches if x.num_rows]
     if not parts:
         return
@@ -37,7 +37,7 @@ def _walk_in_one_task(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterato
     depth = np.full(len(names), -1, np.int32)
     depth[seed] = 0
     at, k = seed, 0
-    while len(at) and k < rounds:
+    while len(at) and (rounds is None or k < rounds):
         k += 1
         size = first[at + 1] - first[at]
         step = np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -48,12 +48,13 @@ def _walk_in_one_task(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterato
     yield pa.RecordBatch.from_arrays([names.take(pa.array(seen)), pa.array(depth[seen])], names=["node", "depth"])
 
 
-def reach(edges: DataFrame, seeds: DataFrame, *, guard: DataFrame | None = None, max_rounds: int = 10_000, one_task_edges: int = _ONE_TASK_EDGES) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, *, guard: DataFrame | None = None, max_rounds: int | None = None, one_task_edges: int = _ONE_TASK_EDGES) -> DataFrame:
     """Nodes reachable from ``seeds(node)`` along ``edges(src, dst)``, with the round they first appear in.
 
     ``guard(node)``: nodes that a path may not enter; a seed stays even if guarded. Seeds have depth 0.
     Up to ``one_task_edges`` counted rows are walked in one task, whose memory that bounds; more are
-    joined round by round over the cluster. Both give the same rows.
+    joined round by round over the cluster. Both give the same rows. Rounds go on until nothing is new, or for
+    ``max_rounds`` if that is given.
     """
     kind = edges.schema["src"].dataType
     rows = edges.where("src is not null and dst is not null").select("src", F.col("dst").cast(kind).alias("dst"), F.lit(0).alias("kind"))
@@ -73,7 +74,7 @@ def reach(edges: DataFrame, seeds: DataFrame, *, guard: DataFrame | None = None,
         step = s.keep(step)
         seen = s.keep(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
         delta, depth = seen, 0
-        while depth < max_rounds and not delta.isEmpty():
+        while (max_rounds is None or depth < max_rounds) and not delta.isEmpty():
             depth += 1
             found = delta.join(step, delta["node"] == step["src"]).select(F.col("dst").alias("node")).distinct()
             delta = s.keep(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
@@ -83,13 +84,12 @@ def reach(edges: DataFrame, seeds: DataFrame, *, guard: DataFrame | None = None,
         return seen
 
 
-def closure(edges: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) with a path of one edge or more; for small graphs, as its size is quadratic."""
     with Scratch(edges.sparkSession) as s:
         step = s.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-        seen, delta, k = step, step, 0
-        while k < max_rounds and not delta.isEmpty():
-            k += 1
+        seen = delta = step
+        while not delta.isEmpty():
             found = delta.alias("d").join(step.alias("e"), F.col("d.dst") == F.col("e.src")).select("d.src", "e.dst").distinct()
             delta = s.save(found.join(seen, ["src", "dst"], "left_anti"))
             seen = seen.unionByName(delta)
@@ -124,14 +124,26 @@ def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
 
 
+def _of_names(edges: DataFrame, one_task_edges: int) -> DataFrame:
+    """Components of named nodes: names become 64-bit hashes, which no shuffle is needed for, and each component its least name."""
+    with Scratch(edges.sparkSession) as s:
+        e = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+        names = s.keep(e.select(F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn("node", F.xxhash64("name")))
+        parts = connected_components(e.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst")), one_task_edges=one_task_edges)
+        held = s.keep(names.join(parts, "node").select(F.col("name").alias("node"), F.col("component").alias("c")))
+        return s.keep(held.join(held.groupBy("c").agg(F.min("node").alias("component")), "c").select("node", "component"))
+
+
 def connected_components(edges: DataFrame, *, one_task_edges: int = _ONE_TASK_EDGES) -> DataFrame:
-    """(node, component) for the undirected graph of ``edges(src, dst)`` over integer ids.
+    """(node, component) for the undirected graph of ``edges(src, dst)`` over integer ids or names.
 
-    ``component`` is the smallest id in it. Up to ``one_task_edges`` counted edges run in one task
+    ``component`` is the smallest id, or the least name, in it. Up to ``one_task_edges`` counted edges run in one task
     (32 bytes an edge there); larger graphs alternate large-star and small-star rounds, whose work
     is spread over the cluster. Both give the same rows. Null endpoints are dropped, a self-loop
     names its node.
     """
+    if edges.schema["src"].dataType.typeName() == "string":
+        return _of_names(edges, one_task_edges)
     with Scratch(edges.sparkSession) as s:
         e = s.keep(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null"))
         if e.count() <= one_task_edges:

@@ -133,27 +133,35 @@ def transitive_reduction(f: Facts) -> DataFrame:
     return graph.transitive_reduction(f.dag)
 
 
-@query("g16_full_reduction")
+@query("g16_full_reduction", f"""WITH {_SCC}, sm AS (SELECT DISTINCT a.scc AS src, b.scc AS dst FROM {{edges}} e JOIN sc a ON a.node = e.src JOIN sc b ON b.node = e.dst WHERE a.scc <> b.scc),
+ro AS (SELECT node FROM nd WHERE node NOT IN (SELECT dst FROM {{edges}})), al AS (SELECT sc.scc AS node FROM ro JOIN sc ON sc.node = ro.node UNION SELECT sm.dst FROM al JOIN sm ON sm.src = al.node),
+ke AS (SELECT src, dst FROM sm WHERE src IN (SELECT node FROM al) AND dst IN (SELECT node FROM al)), kc AS (SELECT src, dst FROM ke UNION SELECT kc.src, e.dst FROM kc JOIN ke e ON e.src = kc.dst),
+lo AS (SELECT DISTINCT m.src, kc.dst FROM ke m JOIN kc ON kc.src = m.dst)
+SELECT (SELECT count(*) FROM nd) AS nodes_before, (SELECT count(*) FROM {{edges}}) AS edges_before, (SELECT count(*) FROM al) AS nodes_after, (SELECT count(*) FROM ke WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.src = ke.src AND lo.dst = ke.dst)) AS edges_after""")
 def full_reduction(f: Facts) -> DataFrame:
-    """No SQL: the closure of the contracted graph, of its live part, again is too slow there; tests compare with a search in memory."""
     return graph.reduce_fully(f.edges)
 
 
-@query("g06_articulation_points")
+_CUT = f"""{_CC}, oth AS (SELECT a.node AS v, min(b.node) AS first, count(*) AS n FROM cc a JOIN cc b ON a.component = b.component AND a.node <> b.node GROUP BY 1),
+wo AS (SELECT v, first AS node FROM oth UNION SELECT wo.v, un.dst FROM wo JOIN un ON un.src = wo.node WHERE un.dst <> wo.v), cu AS (SELECT oth.v AS node FROM oth JOIN (SELECT v, count(*) AS m FROM wo GROUP BY 1) r ON r.v = oth.v WHERE r.m < oth.n)"""
+_BTW = """pa AS (SELECT src AS s, dst AS t, [src, dst] AS p FROM un WHERE src <> dst UNION ALL SELECT pa.s, un.dst, list_append(pa.p, un.dst) FROM pa JOIN un ON un.src = pa.t WHERE NOT list_contains(pa.p, un.dst)),
+sp AS (SELECT s, t, p FROM pa QUALIFY len(p) = min(len(p)) OVER (PARTITION BY s, t)), np AS (SELECT s, t, count(*) AS n FROM sp GROUP BY 1, 2), th AS (SELECT s, t, unnest(p[2:len(p) - 1]) AS node FROM sp),
+rw AS (SELECT th.node, sum(1.0 / np.n) / 2 AS raw FROM th JOIN np ON np.s = th.s AND np.t = th.t GROUP BY 1), bw AS (SELECT cc.node, round(coalesce(raw, 0) / ((SELECT count(*) FROM cc) - 1) / ((SELECT count(*) FROM cc) - 2) * 2, 12) AS betweenness FROM cc LEFT JOIN rw ON rw.node = cc.node)"""
+
+
+@query("g06_articulation_points", f"WITH {_CUT} SELECT node FROM cu")
 def articulation(f: Facts) -> DataFrame:
-    """No SQL: tests remove each vertex and count components."""
     return graph.articulation_points(f.edges)
 
 
-@query("g07_betweenness")
+@query("g07_betweenness", f"WITH {_CC}, {_BTW} SELECT node, round(betweenness * 1e6, 4) AS millionths FROM bw")
 def betweenness(f: Facts) -> DataFrame:
-    """No SQL: tests enumerate shortest paths."""
-    return graph.betweenness(f.edges)
+    return graph.betweenness(f.edges).select("node", F.round(F.col("betweenness") * 1e6, 4).alias("millionths"))
 
 
-@query("g04_bridge_nodes")
+@query("g04_bridge_nodes", f"WITH {_CUT}, {_BTW} SELECT node, round(betweenness * 1e6, 4) AS millionths, node IN (SELECT node FROM cu) AS is_cut FROM bw WHERE node IN (SELECT node FROM cu) OR betweenness >= 0.1")
 def bridges(f: Facts) -> DataFrame:
-    return graph.bridge_nodes(f.edges)
+    return graph.bridge_nodes(f.edges).select("node", F.round(F.col("betweenness") * 1e6, 4).alias("millionths"), "is_cut")
 
 
 @query("g17_spectral_gaps")
@@ -190,9 +198,10 @@ def neighbourhood(f: Facts) -> DataFrame:
     return graph.neighbourhood(f.edges, _seeds(f))
 
 
-@query("g20_topo_severity")
+@query("g20_topo_severity", f"""WITH {_NEAR}, nn AS (SELECT src AS node FROM ne UNION SELECT dst FROM ne), nu AS (SELECT src, dst FROM ne UNION SELECT dst, src FROM ne), nr AS (SELECT node, node AS seen FROM nn UNION SELECT nr.node, nu.dst FROM nr JOIN nu ON nu.src = nr.seen),
+nc AS (SELECT count(DISTINCT c) AS b0, count(*) AS v FROM (SELECT node, min(seen) AS c FROM nr GROUP BY node)), n2 AS (SELECT count(*) AS e FROM (SELECT DISTINCT src, dst FROM ne WHERE src <> dst)), cl AS (SELECT count(DISTINCT src) AS callers FROM ne WHERE dst IN (SELECT node FROM sd))
+SELECT v, e, b0, e - v + b0 AS b1, callers, round((e - v + b0) * callers / CAST(greatest(1, v) AS DOUBLE), 6) AS severity FROM nc, n2, cl""")
 def topo_severity(f: Facts) -> DataFrame:
-    """No SQL: components of a neighbourhood; tests compute it by hand."""
     return graph.topo_severity(f.edges, _seeds(f))
 
 
@@ -208,16 +217,17 @@ def cycle_rank(f: Facts) -> DataFrame:
     return graph.cycle_rank(f.edges)
 
 
-@query("r12_structural_risk")
+@query("r12_structural_risk", f"WITH {_CUT}, {_BTW}, du AS (SELECT l_orderkey AS node, count(*) AS duties FROM {{lineitem}} GROUP BY 1) SELECT bw.node, round(betweenness * 1e6, 4) AS millionths, round(round(betweenness * (1 + coalesce(duties, 0)), 12) * 1e6, 4) AS risk FROM bw LEFT JOIN du ON du.node = bw.node WHERE bw.node IN (SELECT node FROM cu)")
 def structural_risk(f: Facts) -> DataFrame:
-    """No SQL: it needs betweenness; tests compute it by hand."""
     duties = f.lineitem.groupBy(F.col("l_orderkey").alias("node")).agg(F.count("*").alias("duties"))
-    return graph.structural_risk(f.edges, duties)
+    return graph.structural_risk(f.edges, duties).select("node", F.round(F.col("betweenness") * 1e6, 4).alias("millionths"), F.round(F.col("risk") * 1e6, 4).alias("risk"))
 
 
-@query("g22_topology_report")
+@query("g22_topology_report", f"""WITH {_CUT}, {_BTW}, {_TC}, ss AS (SELECT nd.node, least(nd.node, coalesce(min(b.src), nd.node)) AS scc FROM nd LEFT JOIN tc a ON a.src = nd.node LEFT JOIN tc b ON b.src = a.dst AND b.dst = a.src GROUP BY nd.node),
+ce AS (SELECT node, betweenness FROM bw WHERE node NOT IN (SELECT node FROM cu) ORDER BY betweenness DESC, node LIMIT 10)
+SELECT 'cut' AS kind, node, round(betweenness * 1e6, 4) AS value FROM bw WHERE node IN (SELECT node FROM cu) UNION ALL SELECT 'central', node, round(betweenness * 1e6, 4) FROM ce UNION ALL SELECT 'tangle', scc, CAST(count(*) AS DOUBLE) FROM ss GROUP BY scc HAVING count(*) > 1""")
 def topology(f: Facts) -> DataFrame:
-    return graph.topology_report(f.edges)
+    return graph.topology_report(f.edges).withColumn("value", F.when(F.col("kind") == "tangle", F.col("value")).otherwise(F.round(F.col("value") * 1e6, 4)))
 
 
 @query("g23_communities", f"WITH {_NODES} SELECT c.c_nationkey AS community, CAST(count(*) AS BIGINT) AS n FROM nd JOIN {{orders}} o ON o.o_orderkey = nd.node JOIN {{customer}} c ON c.c_custkey = o.o_custkey GROUP BY 1")
@@ -226,8 +236,17 @@ def communities(f: Facts) -> DataFrame:
     return graph.nodes_of(f.edges).join(of, "node").groupBy("community").agg(F.count("*").alias("n"))
 
 
-@query("m16_structural_coverage")
+@query("m16_structural_coverage", f"WITH {_CUT}, fi AS (SELECT DISTINCT o.o_custkey AS file FROM cu JOIN {{orders}} o ON o.o_orderkey = cu.node) SELECT count(*) AS files, CAST(count(c.c_custkey) AS BIGINT) AS covered, CASE WHEN count(*) = 0 THEN 1.0 ELSE round(count(c.c_custkey) / CAST(count(*) AS DOUBLE), 6) END AS coverage FROM fi LEFT JOIN {{customer}} c ON c.c_custkey = fi.file AND c.c_acctbal > 0")
 def structural_coverage(f: Facts) -> DataFrame:
-    """No SQL: it needs cut vertices; tests compute it by hand."""
     files = f.orders.select(F.col("o_orderkey").alias("node"), F.col("o_custkey").cast("string").alias("file"))
     return graph.structural_coverage(f.edges, files, f.customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("file")))
+
+
+# ---- the same over named functions: the edges of calls(caller, callee) among functions(name) -----
+
+_EDGE_SQL = """sh AS (SELECT DISTINCT name, element_at(string_split(name, '.'), -1)[1] AS short FROM {functions}), si AS (SELECT short, min(name) AS full FROM sh GROUP BY short HAVING count(*) = 1),
+ed AS (SELECT DISTINCT coalesce(c.caller, '__root__') AS src, CASE WHEN c.callee IN (SELECT name FROM sh) THEN c.callee ELSE coalesce(si.full, c.callee) END AS dst FROM {calls} c LEFT JOIN si ON si.short = c.callee)"""
+
+
+def _named(f: Facts) -> DataFrame:
+    return joins.call_edges(f.calls, f.functions)

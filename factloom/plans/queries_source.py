@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import joins, rules
+from factloom.operators import constraints, rules
 from factloom.plans.catalog import query
 from factloom.plans.facts import Facts
 from factloom.sources import python_facts, readers
@@ -32,14 +32,31 @@ def python_sample_facts(f: Facts) -> DataFrame:
     return python_facts.facts(samples(f))
 
 
-@query("c01_model_constraint", """WITH r AS (SELECT c.site, r.field FROM {site_creates} c JOIN {model_req} r ON c.model = r.model) SELECT site, field FROM r WHERE NOT EXISTS (SELECT 1 FROM {site_provides} p WHERE p.site = r.site AND p.field = r.field)""")
+@query("c01_model_constraint", """WITH w AS (SELECT c.site, m.* FROM {site_creates} c JOIN {model_fields} m ON m.model = c.model WHERE m.field_type <> 'ManyToManyField'),
+v AS (SELECT w.*, p.site IS NOT NULL AS given, p.text, p.number FROM w LEFT JOIN {site_values} p ON p.site = w.site AND p.field = w.field),
+k AS (SELECT v.*, EXISTS (SELECT 1 FROM {field_choices} c WHERE c.model = v.model AND c.field = v.field AND c.text IS NOT NULL) AS some_text, EXISTS (SELECT 1 FROM {field_choices} c WHERE c.model = v.model AND c.field = v.field AND c.number IS NOT NULL) AS some_number,
+  EXISTS (SELECT 1 FROM {field_choices} c WHERE c.model = v.model AND c.field = v.field AND c.text = v.text) AS ok_text, EXISTS (SELECT 1 FROM {field_choices} c WHERE c.model = v.model AND c.field = v.field AND c.number = v.number) AS ok_number FROM v)
+SELECT site, field, 'missing' AS problem FROM k WHERE NOT given AND required UNION ALL SELECT site, field, 'too long' FROM k WHERE length(text) > max_length UNION ALL SELECT site, field, 'too small' FROM k WHERE number < min_value
+UNION ALL SELECT site, field, 'too large' FROM k WHERE number > max_value UNION ALL SELECT site, field, 'no choice' FROM k WHERE (text IS NOT NULL AND some_text AND NOT ok_text) OR (number IS NOT NULL AND some_number AND NOT ok_number)""")
 def model_constraint(f: Facts) -> DataFrame:
-    return joins.not_provided(joins.required_fields(f.site_creates, f.model_req), f.site_provides).select("site", "field")
+    return constraints.field_problems(f.site_creates, f.site_values, f.model_fields, f.field_choices)
 
 
-@query("c02_required_arg_missing", """WITH u AS (SELECT name FROM {functions} GROUP BY name HAVING count(*) = 1) SELECT c.seq, c.callee FROM {calls} c JOIN u ON c.callee = u.name WHERE c.n_positional < 2""")
+@query("c02_required_arg_missing", """WITH u AS (SELECT name, min(func_id) AS func_id, bool_or(is_called_otherwise) AS o FROM {functions_called} GROUP BY name HAVING count(*) = 1),
+n AS (SELECT u.name, a.arg, a.kwonly, sum(CASE WHEN a.kwonly THEN 0 ELSE 1 END) OVER (PARTITION BY u.name ORDER BY a.kwonly, a.pos) AS k FROM u JOIN {function_args} a ON a.func_id = u.func_id WHERE a.required AND NOT u.o),
+x AS (SELECT name, max(CASE WHEN k = 1 AND NOT kwonly AND arg IN ('typingctx', 'typingcontext', 'cgctx', 'context', 'ctx') THEN 1 ELSE 0 END) AS context FROM n GROUP BY name)
+SELECT c.seq, c.callee, n.arg FROM {calls_made} c JOIN n ON n.name = c.callee JOIN x ON x.name = c.callee
+WHERE NOT c.spread AND NOT c.is_create AND NOT c.in_main AND NOT c.is_local AND (n.kwonly OR n.k > c.n_positional + CASE WHEN c.is_method OR x.context = 1 THEN 1 ELSE 0 END)
+AND NOT EXISTS (SELECT 1 FROM {call_keywords} w WHERE w.seq = c.seq AND w.arg = n.arg)""")
 def required_arg_missing(f: Facts) -> DataFrame:
-    return joins.resolve_unique(f.calls.select("seq", "callee", "n_positional"), f.functions.select("name", "func_id")).where("n_positional < 2").select("seq", "callee")
+    return constraints.required_args_missing(f.calls_made, f.call_keywords, f.functions_called, f.function_args)
+
+
+@query("src05_python_calls", None)
+def required_args_of_samples(f: Facts) -> DataFrame:
+    """No SQL: facts of source text; tests know the rows."""
+    t = python_facts.tables(python_facts.facts(samples(f)))
+    return constraints.required_args_missing(t["calls"], t["call_keywords"], t["functions"], t["function_args"]).select("callee", "arg")
 
 
 @query("src13_json_props", "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM {events} GROUP BY 1")
