@@ -31,17 +31,13 @@ PHRASES = (
 YEAR = r"copyright [0-9]{4}"
 LICENCE = ("released under the ", " license")
 NAVIGATION = r"(^\s*\||\|\s*$|\s\|\s|\s[>»›•·]\s.*\s[>»›•·]\s|^\s*(https?://|www\.)\S+\s*$)"
-MARKS, BLANKS, SYMBOL, ENDS = "|>»›•·", " \t\n\r\f", "#$%&*|<>{}[]\\^~=_+@/", ".!?:;…。"
-SHOUT = r"!!"
+MARKED = r"[|>»›•·]|://|www\."  # what every line of navigation has
+BLANK, SYMBOL, END, SHOUT = r"[ \t\n\r\f]", r"[#$%&*|<>{}\[\]\\^~=_+@/]", r"[.!?:;…。]", r"!!"
 SHORT = r"^\s*\S+(\s+\S+){0,%d}\s*$" % (FEW - 1)
 
 
-def without(c: Column, marks: str) -> Column:
-    return F.length(F.translate(c, marks, ""))
-
-
 def visible(c: Column) -> Column:
-    return without(c, BLANKS)
+    return F.length(c) - F.regexp_count(c, F.lit(BLANK))
 
 
 def _boilerplate(low: Column) -> Column:
@@ -52,17 +48,22 @@ def _boilerplate(low: Column) -> Column:
     return found | ((begin > 0) & (F.call_function("locate", F.lit(LICENCE[1]), low, begin + F.lit(len(LICENCE[0]))) > 0))
 
 
-def fails(line: Column) -> Column:
-    """Name of the rule that a line breaks; null for a good line."""
-    size, seen, words = F.length(line), visible(line), F.split(line, " ")
+def prepared(line: Column) -> Column:
+    """What several rules look at, computed once."""
+    return F.struct(line.alias("line"), F.lower(line).alias("low"), visible(line).alias("seen"), F.split(line, " ").alias("words"))
+
+
+def fails(x: Column) -> Column:
+    """Name of the rule that a prepared line breaks; null for a good line."""
+    line, words = x["line"], x["words"]
     return (
-        F.when(seen == 0, "blank")
-        .when(_boilerplate(F.lower(line)), "boilerplate")
-        .when(((without(line, MARKS) < size) | F.contains(line, F.lit("://")) | F.contains(line, F.lit("www."))) & line.rlike(NAVIGATION), "navigation")
+        F.when(x["seen"] == 0, "blank")
+        .when(_boilerplate(x["low"]), "boilerplate")
+        .when(line.rlike(MARKED) & line.rlike(NAVIGATION), "navigation")
         .when((F.size(words) >= 10) & (F.size(F.array_distinct(words)) <= F.size(words) * F.lit(SAME)), "repetition")
-        .when(size - without(line, SYMBOL) > seen * F.lit(SYMBOLS), "punctuation")
+        .when(F.regexp_count(line, F.lit(SYMBOL)) > x["seen"] * F.lit(SYMBOLS), "punctuation")
         .when(F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit(SHOUT)) >= 2), "punctuation")
-        .when((without(line, ENDS) == size) & line.rlike(SHORT), "punctuation")
+        .when(~line.rlike(END) & line.rlike(SHORT), "punctuation")
     )
 
 
@@ -70,9 +71,10 @@ def clean(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_removed, kept_share) of the texts that stay, without their failed lines."""
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.split(whole, "\n", -1)
-    judged = F.struct(visible(whole).alias("seen"), F.size(lines).cast("long").alias("n_lines"), F.filter(lines, lambda x: fails(x).isNull()).alias("good"))
+    good = F.filter(F.transform(lines, prepared), lambda x: fails(x).isNull())
+    judged = F.struct(visible(whole).alias("seen"), F.size(lines).cast("long").alias("n_lines"), good.alias("good"))
     held = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.array(judged)))
-    held = held.select("doc_id", F.inline(F.array(F.struct("seen", "n_lines", (F.col("n_lines") - F.size("good")).alias("n_removed"), F.array_join("good", "\n").alias("text")))))
+    held = held.select("doc_id", F.inline(F.array(F.struct("seen", "n_lines", (F.col("n_lines") - F.size("good")).alias("n_removed"), F.array_join(F.col("good.line"), "\n").alias("text")))))
     held = held.select("doc_id", "text", "seen", "n_lines", "n_removed", visible(F.col("text")).alias("left"))
     return held.where((F.col("seen") > 0) & (F.col("text") != "") & (F.col("left") >= F.col("seen") * F.lit(1 - LOST))).select("doc_id", "text", "n_lines", "n_removed", F.round(F.col("left") / F.col("seen"), 6).alias("kept_share"))
 

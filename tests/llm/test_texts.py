@@ -263,7 +263,7 @@ def test_every_line_rule(spark):
     bad = ["  ", "Released under the MIT License today, and more words here.", "Copyright 2024 by some people of the world.", "Home > News > Sports", "www.example.org", "again again again again again again again again again again", "a = b + c @ d # e, such a line.", "What a day!! How nice!! So it is.", "Two words", "Alle Rechte vorbehalten, und mehr."]
     kept = ["This line is fine, as it ends well.", "Short one.", "A longer line of words without any end"]
     for line, good in [(x, False) for x in bad] + [(x, True) for x in kept]:
-        got = spark.createDataFrame([(line,)], "line string").select(line_rules.fails(F.col("line")).alias("f")).first().f
+        got = spark.createDataFrame([(line,)], "line string").select(line_rules.prepared(F.col("line")).alias("x")).select(line_rules.fails(F.col("x")).alias("f")).first().f
         assert (got is None) == good, line
 
 
