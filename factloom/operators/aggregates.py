@@ -72,6 +72,11 @@ def synthesis_report(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("total"), F.count_if(F.col("has_source")).alias("with_source"), F.count_if(F.col("proved")).alias("proved"), F.count_if(F.col("has_source") & ~F.col("proved")).alias("open"))
 
 
+def most_starred(entries: DataFrame, *, top: int = 10) -> DataFrame:
+    """entries(repo, stars, mode): the ``top`` of the report, by stars, then repository and mode."""
+    return entries.select("repo", "stars", "mode").distinct().orderBy(F.desc("stars"), "repo", "mode").limit(top)
+
+
 def incremental_stats(total: DataFrame, dirty: DataFrame) -> DataFrame:
     """One row: files in all, dirty ones, share that is skipped."""
     a, b = total.agg(F.count("*").alias("total")), dirty.agg(F.count("*").alias("dirty"))

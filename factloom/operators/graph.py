@@ -491,6 +491,11 @@ def cycle_rank(edges: DataFrame) -> DataFrame:
     return e.agg(F.count("*").alias("e")).crossJoin(c).select((F.col("e") - F.col("v") + F.col("c")).alias("rank"))
 
 
+def dag_statistics(edges: DataFrame) -> DataFrame:
+    """One row for a graph of terms, directions aside: vertices, edges, components, independent cycles and cut vertices."""
+    return betti(edges, directed=True).crossJoin(articulation_points(edges).agg(F.count("*").alias("cuts")))
+
+
 def structural_risk(edges: DataFrame, duties: DataFrame, *, top: int | None = None) -> DataFrame:
     """(node, betweenness, risk) of cut vertices, betweenness * (1 + duties(node, duties) that are not met), the highest first."""
     b = betweenness(edges).join(articulation_points(edges), "node", "left_semi").join(duties, "node", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as fn
+from factloom.plans.scratch import Scratch
 
 
 def required_fields(creates: DataFrame, requires: DataFrame) -> DataFrame:
@@ -53,10 +54,11 @@ def function_ranges(functions: DataFrame) -> DataFrame:
 
 
 def within_functions(functions: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of a function and the points(file, line, ...) from its line to that of the next."""
-    r, p = function_ranges(functions).alias("r"), points.alias("p")
-    on = (F.col("r.file") == F.col("p.file")) & (F.col("p.line") >= F.col("r.line")) & (F.col("r.next_line").isNull() | (F.col("p.line") < F.col("r.next_line")))
-    return r.join(p, on).select(F.col("r.file").alias("file"), F.col("r.name").alias("name"), F.col("p.line").alias("line"))
+    """Pairs of a function and the points(file, line, ...) from its line to that of the next.
+
+    Each point stands in one function at most, so this is ``enclosing``: one window, and no pair that isn't kept.
+    """
+    return enclosing(points.select("file", "line"), functions).where("func is not null").select("file", F.col("func").alias("name"), "line")
 
 
 def attribute_to_callers(points: DataFrame, calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -107,13 +109,20 @@ def not_seen_anywhere(found: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def resolve_imports(calls: DataFrame, imports: DataFrame, functions: DataFrame) -> DataFrame:
-    """(src, dst): calls(src, file, name) to functions(func_id, file, name): an explicit import(file, name, target) first, then the same file, then all of that name."""
-    c = calls.select("src", "file", "name").distinct()
-    by_import = c.join(imports.select("file", "name", "target"), ["file", "name"]).join(functions.select(F.col("file").alias("target"), "name", F.col("func_id").alias("dst")), ["target", "name"]).select("src", "file", "name", "dst")
-    left = c.join(by_import, ["src", "file", "name"], "left_anti")
-    same = left.join(functions.select("file", "name", F.col("func_id").alias("dst")), ["file", "name"]).select("src", "file", "name", "dst")
-    rest = left.join(same, ["src", "file", "name"], "left_anti").join(functions.select("name", F.col("func_id").alias("dst")), "name").select("src", "file", "name", "dst")
-    return by_import.unionByName(same).unionByName(rest).select("src", "dst").distinct()
+    """(src, dst): calls(src, file, name) to functions(func_id, file, name): an explicit import(file, name, target) first, then the same file, then all of that name.
+
+    The different (file, name) of calls are resolved once, whatever stands behind the inputs, and joined back.
+    """
+    with Scratch(calls.sparkSession) as s:
+        all_ = s.keep(calls.select("src", "file", "name").distinct())
+        f = s.keep(functions.select("func_id", "file", "name"))
+        c = s.keep(all_.select("file", "name").distinct())
+        at = f.select("file", "name", F.col("func_id").alias("dst"))
+        by_import = s.keep(c.join(imports.select("file", "name", "target").distinct(), ["file", "name"]).join(at.withColumnRenamed("file", "target"), ["target", "name"]).select("file", "name", "dst"))
+        left = c.join(by_import, ["file", "name"], "left_anti")
+        same = s.keep(left.join(at, ["file", "name"]))
+        rest = left.join(same, ["file", "name"], "left_anti").join(at.select("name", "dst"), "name").select("file", "name", "dst")
+        return all_.join(by_import.unionByName(same).unionByName(rest), ["file", "name"]).select("src", "dst").distinct()
 
 
 def call_edges(calls: DataFrame, functions: DataFrame, *, root: str = "__root__") -> DataFrame:
@@ -125,6 +134,36 @@ def call_edges(calls: DataFrame, functions: DataFrame, *, root: str = "__root__"
     return c.select("src", F.when(F.col("known"), F.col("callee")).otherwise(F.coalesce("full", "callee")).alias("dst")).distinct()
 
 
+def _first_short(functions: DataFrame) -> DataFrame:
+    """(short, full): of the functions(name, seq) of a short name the first."""
+    return functions.groupBy(fn.short_name(F.col("name")).alias("short")).agg(F.min_by("name", F.struct("seq", "name")).alias("full"))
+
+
+def _resolved(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """calls with ``dst``: the callee if it is a function, else the first function of its short name, else the callee."""
+    known = functions.select(F.col("name").alias("callee"), F.lit(True).alias("_known")).distinct()
+    c = calls.join(known, "callee", "left").withColumn("_short", fn.short_name(F.col("callee"))).join(_first_short(functions), F.col("_short") == F.col("short"), "left")
+    return c.withColumn("dst", F.when(F.col("_known"), F.col("callee")).otherwise(F.coalesce("full", "callee"))).drop("_known", "_short", "short", "full")
+
+
+def call_graph(calls: DataFrame, functions: DataFrame, *, root: str = "__root__") -> DataFrame:
+    """(src, dst, seq): the edges of calls(seq, caller, callee) with the last call site of each; short names go to the first of functions(name, seq)."""
+    return _resolved(calls, functions).groupBy(F.coalesce("caller", F.lit(root)).alias("src"), "dst").agg(F.max("seq").alias("seq"))
+
+
+def drawn_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """(src, dst), each once: calls of a known caller, resolved as in ``call_graph``, of which one end at least is a known function."""
+    known = functions.select("name").distinct()
+    e = _resolved(calls.where("caller is not null"), functions).select(F.col("caller").alias("src"), "dst").distinct()
+    a = e.join(known.select(F.col("name").alias("src")), "src", "left_semi").select("src", "dst")
+    return a.unionByName(e.join(known.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "dst")).distinct()
+
+
+def raw_edges(calls: DataFrame) -> DataFrame:
+    """(src, dst), each once, by the names as they are written."""
+    return calls.where("caller is not null and callee is not null").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
+
+
 def package_repository(packages: DataFrame, known: DataFrame, repos: DataFrame) -> DataFrame:
     """packages(pkg) with repo: from known(pkg, repo), else the least of repos(repo) whose last part is the same name apart from - _ . and case."""
     norm = repos.select("repo", fn.normal_name(F.element_at(F.split("repo", "/"), -1)).alias("_n")).groupBy("_n").agg(F.min("repo").alias("_r"))
@@ -139,10 +178,19 @@ def upstream_hits(imports: DataFrame, upstream: DataFrame) -> DataFrame:
 
 
 def tests_of_modules(tests: DataFrame, modules: DataFrame) -> DataFrame:
-    """(test, module): tests(test) whose stem without ``test_`` is, or holds, the module's stem."""
+    """(test, module): tests(test) whose stem without ``test_`` is, or holds, the module's stem.
+
+    An equality join: of each test's stem the stretches of those lengths that modules' stems have are its keys. Stems
+    are names of files, so there are a few hundred lengths at most, and a test has no more keys than its stem squared.
+    """
     t = tests.select("test", F.regexp_replace(fn.stem(F.col("test")), "^test_", "").alias("_t")).distinct()
     m = modules.select("module", fn.stem(F.col("module")).alias("_m")).distinct()
-    return t.join(m, F.expr("_t = _m or contains(_t, _m)")).select("test", "module").distinct()
+    lengths = sorted(r[0] for r in m.select(F.length("_m")).distinct().collect())
+    if not lengths:
+        return t.select("test", F.lit(None).cast("string").alias("module")).limit(0)
+    parts = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("_t")), lambda n: F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substring(F.col("_t"), i, n)))
+    keys = t.select("test", F.explode(F.array_distinct(F.flatten(parts))).alias("_m"))
+    return keys.join(m, "_m").select("test", "module").distinct()
 
 
 def test_to_production(edges: DataFrame, functions: DataFrame) -> DataFrame:
@@ -171,8 +219,12 @@ def locate_in_graph(records: DataFrame, nodes: DataFrame) -> DataFrame:
     return r.select("rid", "file", "func", F.coalesce("_x", "_s").alias("node"))
 
 
-def record_evidence(docs: DataFrame, files: DataFrame) -> DataFrame:
-    """(doc, path): back-ticked ``.py`` references of docs(doc, text) to files(path), by path or base name."""
+def record_evidence(docs: DataFrame, files: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(doc, path): back-ticked ``.py`` references of docs(doc, text) to files(path), by path or base name; with classes(name, path) also names of two humps or more to where they are defined."""
     ref = docs.select("doc", F.explode(F.regexp_extract_all("text", F.lit(r"`([A-Za-z0-9_/.-]+\.py)`"), 1)).alias("ref")).distinct()
     keys = files.select("path", F.explode(F.array("path", fn.basename(F.col("path")))).alias("ref")).distinct()
-    return ref.join(keys, "ref").select("doc", "path").distinct()
+    found = ref.join(keys, "ref").select("doc", "path")
+    if classes is not None:
+        humps = docs.select("doc", F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"), 1)).alias("name")).distinct()
+        found = found.unionByName(humps.join(classes.select("name", "path").distinct(), "name").select("doc", "path"))
+    return found.distinct()

@@ -85,18 +85,19 @@ def leverage(corpus: DataFrame, imports: DataFrame) -> DataFrame:
 def invariants(observations: DataFrame, arguments: DataFrame, *, least: int = 3) -> DataFrame:
     """(function, template, variable, call_count): templates that hold in every clean observation.
 
-    observations(function, obs, result double, raised), arguments(function, obs, arg, value double); a null
+    observations(function, obs, result double, raised, size), arguments(function, obs, arg, value double, holds); size is
+    the length of a result that has one, holds whether the argument is a collection with the result in it. A null
     result or value fails a comparison. Only arguments that all clean observations have count.
     """
     clean = observations.where("not raised")
     n = clean.groupBy("function").agg(F.count("*").alias("call_count")).where(F.col("call_count") >= least)
     clean = clean.join(n, "function")
     true = lambda c: F.coalesce(c, F.lit(False))
-    single = clean.groupBy("function", "call_count").agg(F.bool_and(true(F.col("result") >= 0)).alias("nonneg"), F.bool_and(F.col("result").isNotNull()).alias("notnull"))
-    alone = single.select("function", "call_count", F.explode(F.array(F.struct(F.lit("result >= 0").alias("template"), F.col("nonneg").alias("ok")), F.struct(F.lit("result is not None").alias("template"), F.col("notnull").alias("ok")))).alias("x")).where("x.ok").select("function", "x.template", F.lit("result").alias("variable"), "call_count")
+    single = clean.groupBy("function", "call_count").agg(F.bool_and(true(F.col("result") >= 0)).alias("nonneg"), F.bool_and(F.col("result").isNotNull()).alias("notnull"), F.bool_and(true(F.col("size") >= 0)).alias("sized"))
+    alone = single.select("function", "call_count", F.explode(F.array(F.struct(F.lit("result >= 0").alias("template"), F.col("nonneg").alias("ok")), F.struct(F.lit("result is not None").alias("template"), F.col("notnull").alias("ok")), F.struct(F.lit("len(result) >= 0").alias("template"), F.col("sized").alias("ok")))).alias("x")).where("x.ok").select("function", "x.template", F.lit("result").alias("variable"), "call_count")
     a = clean.select("function", "obs", "result", "call_count").join(arguments, ["function", "obs"])
-    per = a.groupBy("function", "call_count", "arg").agg(F.count("*").alias("k"), F.bool_and(true(F.col("result") == F.col("value"))).alias("eq"), F.bool_and(true(F.col("result") >= F.col("value"))).alias("ge"), F.bool_and(true(F.col("result") <= F.col("value"))).alias("le")).where("k = call_count")
-    kinds = [("eq", "result == arg"), ("ge", "result >= arg"), ("le", "result <= arg")]
+    per = a.groupBy("function", "call_count", "arg").agg(F.count("*").alias("k"), F.bool_and(true(F.col("result") == F.col("value"))).alias("eq"), F.bool_and(true(F.col("result") >= F.col("value"))).alias("ge"), F.bool_and(true(F.col("result") <= F.col("value"))).alias("le"), F.bool_and(true(F.col("holds"))).alias("holds")).where("k = call_count")
+    kinds = [("eq", "result == arg"), ("ge", "result >= arg"), ("le", "result <= arg"), ("holds", "result in arg")]
     against = per.select("function", "arg", "call_count", F.explode(F.array(*[F.struct(F.lit(t).alias("template"), F.col(c).alias("ok")) for c, t in kinds])).alias("x")).where("x.ok").select("function", "x.template", F.col("arg").alias("variable"), "call_count")
     x, y = a.alias("x"), arguments.alias("y")
     two = x.join(y, (F.col("x.function") == F.col("y.function")) & (F.col("x.obs") == F.col("y.obs")) & (F.col("x.arg") < F.col("y.arg")))
@@ -130,11 +131,33 @@ def extraction_safe(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return j.groupBy("name").agg((F.count_if(bad) == 0).alias("safe"))
 
 
-REVERT, ENSURE, FIX = r"(?i)\brevert", r"(?i)\bensure", r"(?i)\b(fix|bug|hotfix|patch)\b"
+REVERT, READD = r"(?i)\brevert\b", r"(?i)\b(re-add|readd|re-implement|reimplement|restore|re-introduce)\b"
+FIX, ENSURE, VERIFY = r"(?i)\b(fix|fixes|fixed|repair|correct|bug)\b", r"(?i)\b(ensure|guarantee|always|enforce|must)\b", r"(?i)\b(test|verify|assert|check|spec|proof)\b"
 
 
 def history_patterns(commits: DataFrame) -> DataFrame:
-    """commits(idx, subject) with flags: a revert, a fix, and an "ensure" that no fix is near (two commits before and after)."""
-    c = commits.select("idx", "subject", F.col("subject").rlike(REVERT).alias("revert"), F.col("subject").rlike(FIX).alias("fix"), F.col("subject").rlike(ENSURE).alias("ensure"), F.lit(1).alias("_one"))
-    near = sequences.near_flag(c, order=["idx"], partition=["_one"], flag="fix")
-    return near.select("idx", "revert", "fix", (F.col("ensure") & ~F.col("near")).alias("unverified"))
+    """commits(file, idx, subject) with flags: a revert, a re-add, a fix, and a promise that no check is near (two commits of the file before and after)."""
+    flags = {k: F.col("subject").rlike(x) for k, x in (("revert", REVERT), ("readd", READD), ("fix", FIX), ("ensure", ENSURE), ("verify", VERIFY))}
+    near = sequences.near_flag(commits.select("file", "idx", "subject", *[x.alias(k) for k, x in flags.items()]), order=["idx"], partition=["file"], flag="verify")
+    return near.select("file", "idx", "revert", "readd", "fix", (F.col("ensure") & ~F.col("near")).alias("unverified"))
+
+
+STOP = "fix fixes fixed the a an and or of in for with to from that this is was are were be been has have had it its also now only not feat chore refactor update add remove when if".split()
+
+
+def repeated_fixes(commits: DataFrame, *, fixes: int = 3, least: int = 2, top: int = 4) -> DataFrame:
+    """(file, word, n, rank): of files with ``fixes`` fixes or more in commits(file, idx, subject) the words that recur in them, the most frequent first."""
+    f = commits.where(F.col("subject").rlike(FIX)).select("file", "idx", "subject")
+    f = f.join(f.groupBy("file").agg(F.count("*").alias("k")).where(F.col("k") >= fixes).select("file"), "file", "left_semi")
+    bare = F.lower(F.regexp_replace("subject", r"^[a-z]+\(([^)]+)\):", "$1 "))
+    words = f.select("file", F.explode(F.split(bare, r"[\s\-_/+,.:]+")).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*STOP))
+    n = words.groupBy("file", "word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= top)
+
+
+def commit_density(commits: DataFrame, *, much: float = 2.0, many: int = 20, days: int = 90) -> DataFrame:
+    """(file, n, span, per_week, recent, density) of commits(file, day): ``high`` from ``much`` a week on, else ``stated`` from ``many`` commits on."""
+    r = commits.groupBy("file").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.datediff(F.max("day"), F.min("day"))).alias("span"), F.max("day").alias("last"))
+    late = commits.join(r.select("file", "last"), "file").where(F.datediff("last", "day") <= days).groupBy("file").agg(F.count("*").alias("recent"))
+    r = r.join(late, "file").withColumn("per_week", F.round(F.col("n") / F.greatest(F.lit(1.0), F.col("span") / 7), 6))
+    return r.select("file", "n", "span", "per_week", "recent", F.when(F.col("per_week") >= much, "high").when(F.col("n") >= many, "stated").alias("density"))

@@ -62,9 +62,11 @@ FACTS: dict[str, str] = {
         FROM {orders} o LEFT JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey""",
     "stdlib": "SELECT 'ext' || CAST(s_suppkey AS STRING) AS pkg FROM {supplier} WHERE s_acctbal < 0",
     # runtime observations: a function is an order priority
-    "observations": "SELECT o_orderpriority AS function, o_orderkey AS obs, o_totalprice AS result, o_orderstatus = 'P' AS raised FROM {orders}",
-    "arguments": """SELECT o_orderpriority AS function, o_orderkey AS obs, 'price' AS arg, o_totalprice AS value FROM {orders}
-        UNION ALL SELECT o_orderpriority, o_orderkey, 'half', o_totalprice / 2 FROM {orders} UNION ALL SELECT o_orderpriority, o_orderkey, 'cust', CAST(o_custkey AS DOUBLE) FROM {orders}""",
+    "observations": "SELECT o_orderpriority AS function, o_orderkey AS obs, o_totalprice AS result, o_orderstatus = 'P' AS raised, CASE WHEN o_orderpriority < '3' THEN o_custkey % 5 END AS size FROM {orders}",
+    "arguments": """SELECT o_orderpriority AS function, o_orderkey AS obs, 'price' AS arg, o_totalprice AS value, false AS holds FROM {orders}
+        UNION ALL SELECT o_orderpriority, o_orderkey, 'half', o_totalprice / 2, o_orderpriority > '2' FROM {orders} UNION ALL SELECT o_orderpriority, o_orderkey, 'cust', CAST(o_custkey AS DOUBLE), o_totalprice > 2000 FROM {orders}""",
+    # subjects of commits: of a conversation as a file
+    "subjects": """SELECT conv_id AS file, conv_id * 100 + turn AS idx, CASE WHEN turn % 3 = 0 THEN 'Always ' WHEN contains(text, 'on') THEN 'fix(core): ' WHEN contains(text, 'e') THEN 'Revert, then restore ' ELSE 'verify ' END || text AS subject FROM {conversations}""",
     # points and definitions in a file, by time
     "definitions": "SELECT user_id AS file, ts AS line, 'fn' || CAST(event_id AS STRING) AS name FROM {events} WHERE event_type = 'signup'",
     "points": "SELECT user_id AS file, ts AS line, event_id AS id FROM {events} WHERE event_type = 'error'",

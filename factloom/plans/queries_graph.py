@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import datalog, graph
+from factloom.operators import datalog, graph, joins
 from factloom.plans.catalog import query
 from factloom.plans.facts import Facts
 from factloom.plans.iterate import closure
@@ -242,11 +242,61 @@ def structural_coverage(f: Facts) -> DataFrame:
     return graph.structural_coverage(f.edges, files, f.customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("file")))
 
 
-# ---- the same over named functions: the edges of calls(caller, callee) among functions(name) -----
+# ---- the same over names: the calls among functions, and the orders' graph with names ------------
 
-_EDGE_SQL = """sh AS (SELECT DISTINCT name, element_at(string_split(name, '.'), -1)[1] AS short FROM {functions}), si AS (SELECT short, min(name) AS full FROM sh GROUP BY short HAVING count(*) = 1),
-ed AS (SELECT DISTINCT coalesce(c.caller, '__root__') AS src, CASE WHEN c.callee IN (SELECT name FROM sh) THEN c.callee ELSE coalesce(si.full, c.callee) END AS dst FROM {calls} c LEFT JOIN si ON si.short = c.callee)"""
+_CALLS = """sh AS (SELECT DISTINCT name, string_split(name, '.')[-1] AS short FROM {functions}), si AS (SELECT short, min(name) AS "full" FROM sh GROUP BY short HAVING count(*) = 1),
+ed AS (SELECT DISTINCT coalesce(c.caller, '__root__') AS src, CASE WHEN c.callee IN (SELECT name FROM sh) THEN c.callee ELSE coalesce(si."full", c.callee) END AS dst FROM {calls} c LEFT JOIN si ON si.short = c.callee),
+un AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), la0 AS (SELECT DISTINCT src AS node, src AS c FROM un), """ + ", ".join(f"la{i + 1} AS (SELECT a.node, least(a.c, min(b.c)) AS c FROM la{i} a JOIN un ON un.src = a.node JOIN la{i} b ON b.node = un.dst GROUP BY a.node, a.c)" for i in range(8))
+_NAMED = "ed AS (SELECT 'o.' || CAST(src AS STRING) AS src, 'o.' || CAST(dst AS STRING) AS dst FROM {edges}), nd AS (SELECT src AS node FROM ed UNION SELECT dst FROM ed), un AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), rc AS (SELECT node, node AS seen FROM nd UNION SELECT rc.node, un.dst FROM rc JOIN un ON un.src = rc.seen), cc AS (SELECT node, min(seen) AS component FROM rc GROUP BY node)"
 
 
 def _named(f: Facts) -> DataFrame:
-    return joins.call_edges(f.calls, f.functions)
+    name = lambda c: F.concat(F.lit("o."), F.col(c).cast("string")).alias(c)
+    return f.edges.select(name("src"), name("dst"))
+
+
+@query("g08_call_components", f"WITH {_CALLS} SELECT node, c AS component FROM la8")
+def call_components(f: Facts) -> DataFrame:
+    """Components of the calls; no two functions that are connected are more than eight calls apart there, which its SQL counts on."""
+    return graph.components(joins.call_edges(f.calls, f.functions))
+
+
+@query("g06_named_articulation_points", f"WITH {_CUT.replace(_CC, _NAMED)} SELECT node FROM cu")
+def named_articulation(f: Facts) -> DataFrame:
+    return graph.articulation_points(_named(f))
+
+
+@query("g06_cut_files", f"WITH {_CUT} SELECT o.o_custkey AS file, CAST(count(*) AS BIGINT) AS cuts FROM cu JOIN {{orders}} o ON o.o_orderkey = cu.node GROUP BY 1")
+def cut_files(f: Facts) -> DataFrame:
+    return graph.cut_files(f.edges, f.orders.select(F.col("o_orderkey").alias("name"), F.col("o_custkey").alias("file")))
+
+
+@query("g07_named_betweenness", f"WITH {_NAMED}, {_BTW} SELECT node, round(betweenness * 1e6, 4) AS millionths FROM bw")
+def named_betweenness(f: Facts) -> DataFrame:
+    return graph.betweenness(_named(f)).select("node", F.round(F.col("betweenness") * 1e6, 4).alias("millionths"))
+
+
+@query("g05_named_tangles", """WITH tc AS (SELECT src, dst FROM {edges} UNION SELECT tc.src, e.dst FROM tc JOIN {edges} e ON tc.dst = e.src), s2 AS (SELECT a.src AS node, min('o.' || CAST(a.dst AS STRING)) AS m FROM tc a JOIN tc b ON b.src = a.dst AND b.dst = a.src GROUP BY 1)
+SELECT least(m, 'o.' || CAST(node AS STRING)) AS "primary", CAST(count(*) AS BIGINT) AS size, CAST(count(*) - 1 AS BIGINT) AS potential FROM s2 GROUP BY 1 HAVING count(*) > 1""")
+def named_tangles(f: Facts) -> DataFrame:
+    return graph.tangles(_named(f))
+
+
+@query("t01_by_blast_radius", f"""WITH {_TC}, r AS (SELECT dst AS node, count(*) AS n FROM tc WHERE src <> dst GROUP BY 1) SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS func, CAST(coalesce(CASE WHEN o_orderstatus <> 'P' THEN r.n END, 0) AS BIGINT) AS radius
+FROM {{orders}} o LEFT JOIN r ON r.node = o.o_orderkey ORDER BY radius DESC, id""")
+def by_blast_radius(f: Facts) -> DataFrame:
+    return graph.by_blast_radius(f.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("func")), f.edges)
+
+
+@query("t08_evidence_order", f"""WITH {_CUT}, {_BTW}, fi AS (SELECT o.o_custkey AS file, round(max(bw.betweenness) * 1e6, 4) AS millionths FROM cu JOIN bw ON bw.node = cu.node JOIN {{orders}} o ON o.o_orderkey = cu.node GROUP BY 1)
+SELECT CAST(file AS STRING) AS file, file IN (SELECT c_custkey FROM {{customer}} WHERE c_acctbal > 0) AS has_contract, millionths FROM fi ORDER BY has_contract, millionths DESC, file""")
+def evidence_order(f: Facts) -> DataFrame:
+    cut = graph.articulation_points(f.edges).join(f.orders.select(F.col("o_orderkey").alias("node"), F.col("o_custkey").cast("string").alias("file")), "node")
+    out = graph.evidence_order(cut, graph.betweenness(f.edges), f.customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("file")))
+    return out.select("file", "has_contract", F.round(F.col("betweenness_max") * 1e6, 4).alias("millionths"))
+
+
+@query("r13_dag_statistics", f"""WITH nd AS (SELECT src AS node FROM {{dag}} UNION SELECT dst FROM {{dag}}), un AS (SELECT src, dst FROM {{dag}} UNION SELECT dst, src FROM {{dag}}), rc AS (SELECT node, node AS seen FROM nd UNION SELECT rc.node, un.dst FROM rc JOIN un ON un.src = rc.seen), cc AS (SELECT node, min(seen) AS component FROM rc GROUP BY node),
+{_CUT.replace(_CC + ", ", "")} SELECT (SELECT count(*) FROM cc) AS v, (SELECT count(*) FROM {{dag}}) AS e, (SELECT count(DISTINCT component) FROM cc) AS b0, (SELECT count(*) FROM {{dag}}) - (SELECT count(*) FROM cc) + (SELECT count(DISTINCT component) FROM cc) AS b1, (SELECT count(*) FROM cu) AS cuts""")
+def dag_statistics(f: Facts) -> DataFrame:
+    return graph.dag_statistics(f.dag)

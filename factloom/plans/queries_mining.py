@@ -76,11 +76,11 @@ def leverage(f: Facts) -> DataFrame:
 
 
 @query("m10_invariants", """WITH o AS (SELECT * FROM {observations} WHERE NOT raised), n AS (SELECT function, count(*) AS call_count FROM o GROUP BY function HAVING count(*) >= 3), c AS (SELECT o.*, n.call_count FROM o JOIN n USING (function)),
-s AS (SELECT function, call_count, bool_and(coalesce(result >= 0, false)) AS p1, bool_and(result IS NOT NULL) AS p2 FROM c GROUP BY 1, 2),
-a AS (SELECT c.function, c.obs, c.result, c.call_count, a.arg, a.value FROM c JOIN {arguments} a ON a.function = c.function AND a.obs = c.obs),
-r AS (SELECT function, call_count, arg, bool_and(result = value) AS eq, bool_and(result >= value) AS ge, bool_and(result <= value) AS le FROM a GROUP BY 1, 2, 3 HAVING count(*) = call_count),
+s AS (SELECT function, call_count, bool_and(coalesce(result >= 0, false)) AS p1, bool_and(result IS NOT NULL) AS p2, bool_and(coalesce(size >= 0, false)) AS p3 FROM c GROUP BY 1, 2),
+a AS (SELECT c.function, c.obs, c.result, c.call_count, a.arg, a.value, a.holds FROM c JOIN {arguments} a ON a.function = c.function AND a.obs = c.obs),
+r AS (SELECT function, call_count, arg, bool_and(result = value) AS eq, bool_and(result >= value) AS ge, bool_and(result <= value) AS le, bool_and(coalesce(holds, false)) AS ho FROM a GROUP BY 1, 2, 3 HAVING count(*) = call_count),
 t AS (SELECT x.function, x.call_count, x.arg AS a, y.arg AS b, bool_and(x.value <= y.value) AS le, bool_and(x.value = y.value) AS eq, bool_and(y.value - x.value >= 0) AS diff FROM a x JOIN a y ON x.function = y.function AND x.obs = y.obs AND x.arg < y.arg GROUP BY 1, 2, 3, 4 HAVING count(*) = x.call_count)
-SELECT function, 'result >= 0' AS template, 'result' AS variable, CAST(call_count AS BIGINT) AS call_count FROM s WHERE p1 UNION ALL SELECT function, 'result is not None', 'result', call_count FROM s WHERE p2
+SELECT function, 'result >= 0' AS template, 'result' AS variable, CAST(call_count AS BIGINT) AS call_count FROM s WHERE p1 UNION ALL SELECT function, 'result is not None', 'result', call_count FROM s WHERE p2 UNION ALL SELECT function, 'len(result) >= 0', 'result', call_count FROM s WHERE p3 UNION ALL SELECT function, 'result in arg', arg, call_count FROM r WHERE ho
 UNION ALL SELECT function, 'result == arg', arg, call_count FROM r WHERE eq UNION ALL SELECT function, 'result >= arg', arg, call_count FROM r WHERE ge UNION ALL SELECT function, 'result <= arg', arg, call_count FROM r WHERE le
 UNION ALL SELECT function, 'a <= b', a || ',' || b, call_count FROM t WHERE le UNION ALL SELECT function, 'a == b', a || ',' || b, call_count FROM t WHERE eq UNION ALL SELECT function, 'b - a >= 0', a || ',' || b, call_count FROM t WHERE diff""")
 def invariants(f: Facts) -> DataFrame:
@@ -119,12 +119,29 @@ def extraction_safe(f: Facts) -> DataFrame:
     return mining.extraction_safe(functions, f.calls.select("callee", "n_positional", F.array().cast("array<string>").alias("kwargs")))
 
 
-@query("m14_history_patterns", """WITH c AS (SELECT conv_id * 100 + turn AS idx, CASE WHEN turn % 3 = 0 THEN 'ensure ' WHEN contains(text, 'on') THEN 'fix ' ELSE 'Revert ' END || text AS subject FROM {conversations}),
-f AS (SELECT idx, regexp_matches(subject, '(?i)\\brevert') AS revert, regexp_matches(subject, '(?i)\\b(fix|bug|hotfix|patch)\\b') AS fix, regexp_matches(subject, '(?i)\\bensure') AS ensure FROM c)
-SELECT idx, revert, fix, ensure AND max(CASE WHEN fix THEN 1 ELSE 0 END) OVER (ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 0 AS unverified FROM f""")
+def _matches(pattern: str) -> str:
+    return f"regexp_matches(subject, '{pattern}')"
+
+
+@query("m14_history_patterns", f"""WITH f AS (SELECT file, idx, {_matches(mining.REVERT)} AS revert, {_matches(mining.READD)} AS readd, {_matches(mining.FIX)} AS fix, {_matches(mining.ENSURE)} AS ensure, {_matches(mining.VERIFY)} AS verify FROM {{subjects}})
+SELECT file, idx, revert, readd, fix, ensure AND max(CASE WHEN verify THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 0 AS unverified FROM f""")
 def history(f: Facts) -> DataFrame:
-    word = F.when(F.col("turn") % 3 == 0, "ensure ").when(F.col("text").contains("on"), "fix ").otherwise("Revert ")
-    return mining.history_patterns(f.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), F.concat(word, "text").alias("subject")))
+    return mining.history_patterns(f.subjects)
+
+
+@query("m14_repeated_fixes", f"""WITH x AS (SELECT * FROM {{subjects}} WHERE {_matches(mining.FIX)}), k AS (SELECT file FROM x GROUP BY file HAVING count(*) >= 3),
+w AS (SELECT file, unnest(regexp_split_to_array(lower(regexp_replace(subject, '^[a-z]+\\(([^)]+)\\):', '\\1 ')), '[\\s\\-_/+,.:]+')) AS word FROM x WHERE file IN (SELECT file FROM k)),
+n AS (SELECT file, word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN ({", ".join(f"'{x}'" for x in mining.STOP)}) GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT file, word, CAST(n AS BIGINT) AS n, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC, word) AS r FROM n) WHERE r <= 4""")
+def repeated_fixes(f: Facts) -> DataFrame:
+    return mining.repeated_fixes(f.subjects)
+
+
+@query("m14_commit_density", """WITH r AS (SELECT path AS file, count(*) AS n, greatest(1, date_diff('day', min(day), max(day))) AS span, max(day) AS last FROM {commit_files} GROUP BY 1),
+l AS (SELECT r.file, count(*) AS recent FROM r JOIN {commit_files} c ON c.path = r.file WHERE date_diff('day', c.day, r.last) <= 90 GROUP BY 1)
+SELECT r.file, CAST(n AS BIGINT) AS n, CAST(span AS INT) AS span, round(n / greatest(1.0, span / 7.0), 6) AS per_week, CAST(recent AS BIGINT) AS recent, CASE WHEN round(n / greatest(1.0, span / 7.0), 6) >= 2 THEN 'high' WHEN n >= 20 THEN 'stated' END AS density FROM r JOIN l ON l.file = r.file""")
+def density(f: Facts) -> DataFrame:
+    return mining.commit_density(f.commit_files.select(F.col("path").alias("file"), "day"))
 
 
 @query("m15_loop_fitness", """SELECT l_returnflag, l_linestatus, round(avg(0.25 * l_discount + 0.20 * l_tax + 0.15 * l_quantity + 0.15 * l_discount + 0.10 * l_tax + 0.10 * l_quantity + 0.05 * l_discount), 6) AS fitness FROM {lineitem} GROUP BY 1, 2""")

@@ -152,6 +152,43 @@ def locate(f: Facts) -> DataFrame:
     return joins.locate_in_graph(f.calls.select(F.col("seq").alias("rid"), "file", F.col("callee").alias("func")), f.functions.select(F.col("func_id").alias("node"), "file", F.col("name").alias("func")))
 
 
+_FIRST = """sn AS (SELECT string_split(name, '.')[-1] AS short, arg_min(name, func_id) AS "full" FROM {functions} GROUP BY 1), kn AS (SELECT DISTINCT name FROM {functions}),
+rs AS (SELECT c.seq, c.caller, CASE WHEN c.callee IN (SELECT name FROM kn) THEN c.callee ELSE coalesce(sn."full", c.callee) END AS dst FROM {calls} c LEFT JOIN sn ON sn.short = string_split(c.callee, '.')[-1])"""
+
+
+def _functions(f: Facts) -> DataFrame:
+    return f.functions.select("name", F.col("func_id").alias("seq"))
+
+
+@query("g01_call_graph", f"WITH {_FIRST} SELECT coalesce(caller, '__root__') AS src, dst, max(seq) AS seq FROM rs GROUP BY 1, 2")
+def call_graph(f: Facts) -> DataFrame:
+    return joins.call_graph(f.calls, _functions(f))
+
+
+@query("g01_drawn_edges", f"WITH {_FIRST} SELECT DISTINCT caller AS src, dst FROM rs WHERE caller IS NOT NULL AND (caller IN (SELECT name FROM kn) OR dst IN (SELECT name FROM kn))")
+def drawn_edges(f: Facts) -> DataFrame:
+    return joins.drawn_edges(f.calls, _functions(f))
+
+
+@query("g01_raw_edges", "SELECT DISTINCT caller AS src, callee AS dst FROM {calls} WHERE caller IS NOT NULL AND callee IS NOT NULL")
+def raw_edges(f: Facts) -> DataFrame:
+    return joins.raw_edges(f.calls)
+
+
+@query("a11_most_starred", "SELECT DISTINCT repo, stars, mode FROM {corpus} ORDER BY stars DESC, repo, mode LIMIT 10")
+def most_starred(f: Facts) -> DataFrame:
+    return aggregates.most_starred(f.corpus)
+
+
+@query("j20_class_evidence", """WITH w AS (SELECT DISTINCT upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS t, 'm' || CAST(p_size AS STRING) || '.py' AS path FROM {part}),
+d AS (SELECT n_nationkey AS doc, 'see ' || t || 'Part and `m' || CAST(n_nationkey AS STRING) || '.py` in ' || t AS text, t FROM {nation}, (SELECT DISTINCT t FROM w) x), h AS (SELECT DISTINCT doc || ' ' || t AS doc, w.path FROM d JOIN w USING (t) UNION SELECT DISTINCT doc || ' ' || d.t, w.path FROM d JOIN w ON w.path = 'm' || CAST(doc AS STRING) || '.py')
+SELECT doc, path FROM h""")
+def class_evidence(f: Facts) -> DataFrame:
+    kind = f.part.select(F.initcap(F.lower("p_type")).alias("t"), F.concat(F.lit("m"), F.col("p_size").cast("string"), F.lit(".py")).alias("path")).distinct()
+    docs = f.nation.select("n_nationkey").join(kind.select("t").distinct()).select(F.concat(F.col("n_nationkey").cast("string"), F.lit(" "), "t").alias("doc"), F.concat(F.lit("see "), "t", F.lit("Part and `m"), F.col("n_nationkey").cast("string"), F.lit(".py` in "), "t").alias("text"))
+    return joins.record_evidence(docs, kind.select("path").distinct(), kind.select(F.concat("t", F.lit("Part")).alias("name"), "path"))
+
+
 @query("j20_record_evidence", """WITH d AS (SELECT func_id AS doc, 'see `' || regexp_replace(file, '^.*/', '') || '` and `pkg1/m1.py`' AS t FROM {functions}), x AS (SELECT DISTINCT doc, unnest(regexp_extract_all(t, '`([A-Za-z0-9_/.-]+\\.py)`', 1)) AS ref FROM d),
 k AS (SELECT DISTINCT file AS path, file AS ref FROM {functions} UNION SELECT file, regexp_replace(file, '^.*/', '') FROM {functions}), h AS (SELECT DISTINCT doc, path FROM x JOIN k ON x.ref = k.ref)
 SELECT path, CAST(count(*) AS BIGINT) AS docs FROM h GROUP BY path""")
