@@ -33,16 +33,114 @@ def callers(edges: DataFrame, name) -> DataFrame:
     return edges.where(F.col("dst") == F.lit(name)).select("src").distinct()
 
 
-def blast_radius(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets(node) with ``radius``, how many others can reach it; pairs of target and ancestor grow by rounds."""
+#: Vertices up to which a component's reachability is held as sets of bits in one task.
+BITS = 20_000
+
+
+def _reach_bits(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, list[int], list[int], dict[int, int]]:
+    """Nodes, each one's strong component (its least node's place), how many nodes each has, and by component a set of bits of the components that it reaches, its own only on a cycle."""
+    nodes, scc = strong_of(src, dst)
+    of = np.searchsorted(nodes, scc).tolist()
+    size = np.bincount(of, minlength=len(nodes)).tolist()
+    near: dict[int, set[int]] = {}
+    loops = set()
+    for a, b in zip(np.searchsorted(nodes, src).tolist(), np.searchsorted(nodes, dst).tolist()):
+        near.setdefault(of[a], set()).add(of[b])
+        if a == b:
+            loops.add(of[a])
+    bits: dict[int, int] = {}
+    for root in set(of):
+        stack = [root]
+        while stack:
+            u = stack[-1]
+            if u in bits:
+                stack.pop()
+                continue
+            todo = [v for v in near.get(u, ()) if v != u and v not in bits]
+            if todo:
+                stack += todo
+                continue
+            x = 1 << u if size[u] > 1 or u in loops else 0
+            for v in near.get(u, ()):
+                if v != u:
+                    x |= 1 << v | bits[v]
+            bits[u] = x
+            stack.pop()
+    return nodes, of, size, bits
+
+
+def _by_component(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def every(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([run(x) for _, x in pdf.groupby("component", sort=False)], ignore_index=True)
+
+    return every
+
+
+def _radii(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of each node how many others reach it."""
+    nodes, of, size, bits = _reach_bits(pdf["dst"].to_numpy(), pdf["src"].to_numpy())
+    held: dict[int, int] = {}
+    plain = all(s <= 1 for s in size)
+    for c, x in bits.items():
+        n = x.bit_count() if plain else sum(size[i] for i in range(x.bit_length()) if x >> i & 1)
+        held[c] = n - 1 if x >> c & 1 else n
+    return pd.DataFrame({"node": nodes, "radius": [held[c] for c in of]})
+
+
+def _reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges of an acyclic graph that no other path replaces."""
+    nodes, of, _, bits = _reach_bits(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+    near: dict[int, list[int]] = {}
+    for a, b in zip(np.searchsorted(nodes, pdf["src"]).tolist(), np.searchsorted(nodes, pdf["dst"]).tolist()):
+        near.setdefault(a, []).append(b)
+    out = []
+    for a, b in near.items():
+        over = 0
+        for x in b:
+            over |= bits[of[x]]
+        out += [(a, x) for x in b if not over >> of[x] & 1]
+    return pd.DataFrame({"src": nodes[[a for a, _ in out]], "dst": nodes[[b for _, b in out]]}) if out else pdf.iloc[:0][["src", "dst"]]
+
+
+def _by_size(edges: DataFrame, s: Scratch, most: int) -> tuple[DataFrame, DataFrame]:
+    """edges with their component: those of components of up to ``most`` vertices, and the others."""
+    of = s.keep(connected_components(edges.select("src", "dst")))
+    size = of.groupBy("component").agg(F.count("*").alias("v"))
+    held = s.keep(edges.select("src", "dst").join(of.withColumnRenamed("node", "src"), "src").join(size, "component"))
+    return held.where(F.col("v") <= most), held.where(F.col("v") > most).select("src", "dst")
+
+
+def _in_partitions(held: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            yield _by_component(kernel)(pd.concat(parts, ignore_index=True))
+
+    return held.repartition("component").select("component", "src", "dst").mapInPandas(run, schema)
+
+
+def blast_radius(edges: DataFrame, targets: DataFrame, *, bits: int = BITS) -> DataFrame:
+    """targets(node) with ``radius``, how many others can reach it.
+
+    Components of up to ``bits`` vertices are counted in one task each; in larger ones pairs of target and ancestor
+    grow by rounds over the cluster. Both give the same numbers.
+    """
     with Scratch(edges.sparkSession) as s:
-        back = s.save(edges.select(F.col("dst").alias("at"), F.col("src").alias("up")).where("dst <> src").distinct())
-        seen = delta = s.save(targets.select("node").distinct().withColumn("anc", F.col("node")))
+        e = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+        asked = s.keep(targets.select("node").distinct())
+        small, large = _by_size(e, s, bits)
+        counted = s.keep(_in_partitions(small, _radii, f"node {_kind(edges)}, radius long"))
+        out = asked.join(counted, "node", "left").select("node", F.coalesce("radius", F.lit(0)).cast("long").alias("radius"))
+        if large.isEmpty():
+            return s.keep(out)
+        back = s.save(large.select(F.col("dst").alias("at"), F.col("src").alias("up")).where("dst <> src"))
+        seen = delta = s.save(asked.join(back.select(F.explode(F.array("at", "up")).alias("node")).distinct(), "node", "left_semi").withColumn("anc", F.col("node")))
         while not delta.isEmpty():
             found = delta.join(back, delta["anc"] == back["at"]).select("node", F.col("up").alias("anc")).distinct()
             delta = s.save(found.join(seen, ["node", "anc"], "left_anti"))
             seen = seen.unionByName(delta)
-        return s.keep(seen).groupBy("node").agg((F.count("*") - 1).alias("radius"))
+        more = seen.groupBy("node").agg((F.count("*") - 1).alias("r"))
+        return s.keep(out.join(more, "node", "left").select("node", F.coalesce("r", "radius").alias("radius")))
 
 
 def by_blast_radius(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -158,12 +256,18 @@ def dead(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes_of(edges).join(reach(edges, roots).select("node"), "node", "left_anti")
 
 
-def transitive_reduction(edges: DataFrame) -> DataFrame:
-    """Edges of a DAG that no longer path replaces."""
-    e = edges.where("src <> dst").select("src", "dst").distinct()
-    c = closure(e)
-    longer = e.select("src", F.col("dst").alias("mid")).join(c.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-    return e.join(longer, ["src", "dst"], "left_anti")
+def transitive_reduction(edges: DataFrame, *, bits: int = BITS) -> DataFrame:
+    """Edges of a DAG that no longer path replaces; components of up to ``bits`` vertices in one task each, larger ones by their closure."""
+    with Scratch(edges.sparkSession) as s:
+        e = s.keep(edges.where("src <> dst").select("src", "dst").distinct())
+        small, large = _by_size(e, s, bits)
+        kind = _kind(edges)
+        kept = s.keep(_in_partitions(small, _reduced, f"src {kind}, dst {kind}"))
+        if large.isEmpty():
+            return kept
+        c = closure(large)
+        longer = large.select("src", F.col("dst").alias("mid")).join(c.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        return kept.unionByName(s.keep(large.join(longer, ["src", "dst"], "left_anti")))
 
 
 def reduce_fully(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -310,8 +414,8 @@ DENSE = 400
 def fiedler(near: list[list[int]]) -> float:
     """Second least eigenvalue of the normalised Laplacian of a connected graph; 1 below three vertices.
 
-    Up to DENSE vertices from the whole matrix; beyond it by Lanczos steps on the neighbour lists, in memory of a
-    few vectors, kept apart from the known first eigenvector, until the value stands.
+    Up to DENSE vertices from the whole matrix; beyond it by Lanczos steps on the neighbour lists, in memory of
+    300 vectors at most, kept apart from the known first eigenvector, until the value stands.
     """
     n = len(near)
     if n < 3:
@@ -328,20 +432,23 @@ def fiedler(near: list[list[int]]) -> float:
     first = np.sqrt(size / size.sum())
     x = np.random.default_rng(3).standard_normal(n)
     x -= first * (first @ x)
-    basis, alpha, beta, best = [x / np.linalg.norm(x)], [], [], 0.0
-    for k in range(min(n - 1, 300)):
-        y = times(basis[-1])
-        alpha.append(float(basis[-1] @ y))
-        for q in (first, *basis):  # twice would be exact; once and the check below do
-            y -= q * (q @ y)
+    steps = min(n - 1, 300)
+    basis = np.zeros((steps + 2, n))
+    basis[0], basis[1] = first, x / np.linalg.norm(x)
+    alpha, beta, best = [], [], 0.0
+    for k in range(steps):
+        y = times(basis[k + 1])
+        alpha.append(float(basis[k + 1] @ y))
+        for _ in range(2):
+            y -= basis[: k + 2].T @ (basis[: k + 2] @ y)
         norm = float(np.linalg.norm(y))
-        if k % 10 == 9 or norm < 1e-10:
+        if k % 10 == 9 or norm < 1e-10 or k == steps - 1:
             now = float(np.linalg.eigvalsh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))[-1])
             if norm < 1e-10 or abs(now - best) < 1e-9:
                 return 2 - now
             best = now
         beta.append(norm)
-        basis.append(y / norm)
+        basis[k + 2] = y / norm
     return 2 - best
 
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import graph, sequences
 from factloom.plans import iterate
@@ -140,10 +141,10 @@ def test_full_reduction(spark):
 
 def test_small_reports(spark):
     path = frame(spark, [(0, 1), (1, 2), (2, 3)])
-    assert {(r.node, r.betweenness) for r in graph.betweenness(path).collect()} == {(0, 0.0), (1, 0.666667), (2, 0.666667), (3, 0.0)}
+    assert {(r.node, round(r.betweenness, 6)) for r in graph.betweenness(path).collect()} == {(0, 0.0), (1, 0.666667), (2, 0.666667), (3, 0.0)}
     assert [r.node for r in graph.bridge_nodes(path).collect()] == [1, 2]
     duties = spark.createDataFrame([(1, 3)], "node long, duties long")
-    assert [(r.node, r.risk) for r in graph.structural_risk(path, duties).collect()] == [(1, 2.666668), (2, 0.666667)]
+    assert [(r.node, round(r.risk, 6)) for r in graph.structural_risk(path, duties).collect()] == [(1, 2.666667), (2, 0.666667)]
     report = graph.topology_report(path).collect()
     assert {(r.kind, r.node) for r in report} == {("cut", 1), ("cut", 2), ("central", 0), ("central", 3)}
     files = spark.createDataFrame([(1, "a/x.py"), (2, "a/y.py"), (3, "z.py")], "node long, file string")
@@ -194,3 +195,96 @@ def test_pagerank_query_is_final(spark):
     want = final_ranks([tuple(r) for r in f.edges.select("src", "dst").collect()], 100)
     got = {r.node: r["rank"] / 1000 for r in catalog.callables()["g18_pagerank_converged"](spark, SMALL).collect()}
     assert set(got) == set(want) and sum(abs(got[v] - want[v]) for v in want) < 1e-5
+
+
+def _random_edges(seed, n, m, acyclic=False):
+    r = random.Random(seed)
+    out = set()
+    for _ in range(m):
+        a, b = r.randrange(n), r.randrange(n)
+        if acyclic:
+            a, b = min(a, b), max(a, b)
+        if not acyclic or a != b:
+            out.add((a, b))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bits", [graph.BITS, 3])
+@pytest.mark.parametrize("named", [False, True])
+def test_radius_and_reduction(spark, bits, named):
+    """Bits of one task and rounds over the cluster give what plain searches give, for ids and for names."""
+    name = (lambda x: f"n{x:03d}") if named else (lambda x: x)
+    kind = "string" if named else "long"
+    for acyclic in (False, True):
+        edges = [(name(a), name(b)) for a, b in _random_edges(4, 40, 60, acyclic)]
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+
+        def reached(x):
+            seen, todo = set(), [x]
+            while todo:
+                for v in near.get(todo.pop(), ()):
+                    if v not in seen:
+                        seen.add(v)
+                        todo.append(v)
+            return seen
+
+        nodes = sorted({x for e in edges for x in e})
+        df = spark.createDataFrame(edges, f"src {kind}, dst {kind}")
+        if not acyclic:
+            want = {v: sum(v in reached(u) for u in nodes if u != v) for v in nodes}
+            want[name(999)] = 0
+            got = graph.blast_radius(df, spark.createDataFrame([(x,) for x in want], f"node {kind}"), bits=bits)
+            assert {r.node: r.radius for r in got.collect()} == want
+        else:
+            want = {(a, b) for a, b in edges if not any(b in reached(c) for c in near[a] if c != b)}
+            assert {tuple(r) for r in graph.transitive_reduction(df, bits=bits).collect()} == want
+
+
+@pytest.mark.parametrize("search", [graph.SEARCH, 50])
+def test_betweenness_in_shares(spark, search):
+    """Shares of sources, on named nodes and several components, sum to the whole."""
+    edges = [(f"n{a:02d}", f"n{b:02d}") for a, b in _random_edges(7, 25, 30)]
+    nodes = sorted({x for e in edges for x in e})
+    place = {x: i for i, x in enumerate(nodes)}
+    near = [set() for _ in nodes]
+    for a, b in edges:
+        if a != b:
+            near[place[a]].add(place[b])
+            near[place[b]].add(place[a])
+    raw = graph.betweenness_of([sorted(x) for x in near])
+    pairs = (len(nodes) - 1) * (len(nodes) - 2) / 2
+    got = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame(edges, "src string, dst string"), search=search).collect()}
+    assert got == {x: pytest.approx(raw[i] / pairs, abs=1e-11) for x, i in place.items()}
+
+
+def test_components_of_names(spark):
+    edges = [("b", "a"), ("c", "b"), ("x", "y"), ("z", "z"), ("q", None)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    for limit in (2_000_000, 0):
+        assert {(r.node, r.component) for r in iterate.connected_components(df, one_task_edges=limit).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z")}
+
+
+def test_spectral_gap_of_large_graphs():
+    """Lanczos steps on neighbour lists against the whole matrix, and a ring's known value."""
+    r = random.Random(1)
+    n = 450
+    near = [set() for _ in range(n)]
+    for i in range(1, n):
+        for j in {r.randrange(i), max(0, i - 1)}:
+            near[i].add(j)
+            near[j].add(i)
+    near = [sorted(x) for x in near]
+    a = np.zeros((n, n))
+    for u, x in enumerate(near):
+        a[u, x] = 1
+    d = 1 / np.sqrt(a.sum(1))
+    assert graph.fiedler(near) == pytest.approx(np.linalg.eigvalsh(np.eye(n) - d[:, None] * a * d[None, :])[1], abs=1e-6)
+
+
+def test_long_chain(spark):
+    """Reachability goes on to the end of a chain, however long."""
+    m = 12_000
+    chain = spark.range(m).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert iterate.reach(chain, spark.createDataFrame([(0,)], "node long")).count() == m + 1

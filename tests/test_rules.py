@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from factloom.operators import checking, rules, script_rules
+from factloom.operators import checking, obligations, rules, script_rules
 from factloom.sources import python_facts, readers
 
 CASES = [
@@ -252,3 +252,77 @@ def test_written_reports(spark, tmp_path):
     readers.write_violations(v, f"{tmp_path}/lines", mode="append")
     assert spark.read.json(f"{tmp_path}/lines").count() == 4
     assert readers.comment(v).first().text.split("\n")[0] == "### 2 findings" and "`a.py:1`" in readers.comment(v, most=1).first().text
+
+
+DUTIES = '''
+def first(x):
+    return x[0]
+def safe(x):
+    if not x:
+        return None
+    return x[0]
+def inside(x):
+    if len(x) > 0:
+        return x[-1]
+    return x[-1]
+def short(x):
+    return x and x[0]
+def late(x):
+    y = x[0]
+    assert x
+    return y, "a b".split()[0], x[1]
+def load(t, o: Optional[int] = None):
+    try:
+        json.loads(t)
+    except ValueError:
+        pass
+    subprocess.run(["a"], check=True)
+    r = subprocess.run(["b"])
+    subprocess.run(["c"])
+    return o.real, r.returncode, json.loads(t)
+def via(t):
+    return first(t) if t is not None else load(t)
+class C:
+    def m(self, a=None):
+        if a is None:
+            raise ValueError
+        return a.x
+'''
+
+
+def test_duties():
+    got = {(r[0], r[1], r[2]): r[5] for r in obligations.duties_of(DUTIES) if not r[4]}
+    assert got == {("first", 3, "first or last"): False, ("safe", 7, "first or last"): True, ("inside", 10, "first or last"): True, ("inside", 11, "first or last"): False, ("short", 13, "first or last"): True, ("late", 15, "first or last"): False,
+                   ("load", 20, "json"): True, ("load", 23, "exit code"): True, ("load", 24, "exit code"): True, ("load", 25, "exit code"): False, ("load", 26, "not None"): False, ("load", 26, "json"): False, ("C.m", 33, "not None"): True}
+    assert {(r[1], r[4]) for r in obligations.duties_of(DUTIES) if r[0] == "via"} == {(3, "first"), (20, "load"), (23, "load"), (24, "load"), (25, "load"), (26, "load")}
+    assert obligations.duties_of("def (") == [] and obligations.duties_of(None) == [] and obligations.duties_of("x[0]\n") == []
+
+
+def test_risk_of_derived_duties(spark):
+    files = spark.createDataFrame([("m.py", "def a(x):\n    return b(x)[0]\ndef b(x):\n    return x[0], x[-1]\ndef c(x):\n    return b(x)\n")], "file string, text string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    got = {r.node: (round(r.betweenness, 6), round(r.risk, 6)) for r in obligations.structural_risk(edges, files).collect()}
+    assert got == {"b": (0.666667, 1.333333), "c": (0.666667, 1.333333)}
+
+
+def test_cache(spark, tmp_path):
+    from factloom.streaming import incremental
+
+    path = f"{tmp_path}/cache"
+    frame = lambda rows: spark.createDataFrame(rows, "file string, text string")
+    one = incremental.check_cached(frame([("a.py", "json.loads(x)\n"), ("b.py", "x = 1\n")]), path)
+    assert [(r.file, r.line) for r in one.collect()] == [("a.py", 1)] and spark.read.parquet(path).count() == 2
+    two = incremental.check_cached(frame([("a.py", "json.loads(x)\n"), ("b.py", "\njson.loads(x)\n")]), path)
+    assert sorted((r.file, r.line) for r in two.collect()) == [("a.py", 1), ("b.py", 2)] and spark.read.parquet(path).count() == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from factloom.__main__ import main
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/m.py").write_text("json.loads(x)\n")
+    (tmp_path / "src/a.go").write_text("package a\nfunc f() {\n x, _ := os.Open(1)\n}\n")
+    assert main(["check", f"{tmp_path}/src", "--out", f"{tmp_path}/out", "--array"]) == 0
+    rows = json.loads("".join(p.read_text() for p in (tmp_path / "out").glob("part-*")))
+    assert [r["mode"] for r in rows] == ["go_ignored_error", "json_loads_unguarded"]
+    assert main(["check", f"{tmp_path}/src"]) == 0 and "### 2 findings" in capsys.readouterr().out
