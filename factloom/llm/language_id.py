@@ -193,6 +193,7 @@ def _keep(model: Model):
                 ok = model.predict(*counts(x.column("text").cast(pa.string())))[3]
                 if ok.any():
                     yield x.filter(pa.array(ok))
+        tk.give_back()
 
     return run
 

@@ -306,7 +306,7 @@ def _exact(n: int, threshold: float):
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[nodes[some], nodes[src]]), pa.array(np.r_[nodes[some], nodes[dst]]), pa.array(np.r_[links[some], np.zeros(len(src), np.int64)])], names=["node", "other", "links"])
 
-    return tk.by_runs(one, "cell", rows=2000, size=16 << 20)
+    return tk.by_runs(one, "cell", rows=2000, size=8 << 20)
 
 
 def _cells(members: DataFrame, group: str, block: int, *kept: str) -> DataFrame:

@@ -291,6 +291,8 @@ def in_buckets(docs: DataFrame, s: Scratch, search: Callable[[Bucket], Iterator[
                     held, n = [], 0
         if held:
             yield from search(read_bucket(pa.Table.from_batches(held), window))
+        held = []
+        tk.give_back()
 
     return copies, s.save(placed.mapInArrow(one, MATCHES))
 

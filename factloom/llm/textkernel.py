@@ -8,6 +8,7 @@ follow the Arrow batch; a longer text is one slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,15 @@ _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Returns the memory that a task has freed to the machine; Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> _U(30))
@@ -40,9 +50,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _pow(base: int, inverse: bool, n: int) -> np.ndarray:
     held = _powers.get((base, inverse))
     if held is None or len(held) < n:
-        x = np.full(max(n, 2 * len(held) if held is not None else SLICE + 1024), pow(base, -1, 1 << 64) if inverse else base, np.uint64)
+        x = np.full(max(n, SLICE + 1024), pow(base, -1, 1 << 64) if inverse else base, np.uint64)
         x[0] = 1
-        held = _powers[base, inverse] = np.multiply.accumulate(x)
+        held = np.multiply.accumulate(x)
+        if n <= 2 * SLICE:  # those of a very long text aren't kept
+            _powers[base, inverse] = held
     return held[:n]
 
 
@@ -137,6 +149,7 @@ def sliced(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "te
                 out = f(x)
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
     return run
 
@@ -197,7 +210,7 @@ def anchors(w: Words, window: int, k: int) -> Anchors:
     return Anchors(t[begin[i]], at[i], g[at[i]], begin[i], begin[np.r_[i[1:], len(begin)] - 1])
 
 
-def by_runs(f: Callable[[pa.Table], Iterator[pa.RecordBatch]], key: str, rows: int = 200_000, size: int = 64 << 20) -> Callable:
+def by_runs(f: Callable[[pa.Table], Iterator[pa.RecordBatch]], key: str, rows: int = 100_000, size: int = 24 << 20) -> Callable:
     """f over tables of whole runs of ``key``, for partitions that are sorted by it; as a function for mapInArrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +232,8 @@ def by_runs(f: Callable[[pa.Table], Iterator[pa.RecordBatch]], key: str, rows: i
             nbytes += b.nbytes
         if held:
             yield from f(pa.Table.from_batches(held))
+        held = []
+        give_back()
 
     return run
 
