@@ -121,14 +121,14 @@ def shards(rows: DataFrame, group: list[Column], size: Column, *, capacity: int
     with Scratch(spark) as s:
         key = F.struct(*[g.cast("string").alias(f"g{i}") for i, g in enumerate(group)])
         each = s.keep(rows.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.to_json(key, {"ignoreNullFields": "false"})).alias("g"), F.coalesce(size.cast("long"), F.lit(0)).alias("bytes")))
-        sized = s.keep(each.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / unit)).cast("long").alias("size")).withColumn("salt", F.pmod(F.xxhash64("g"), F.lit(SALTS))))
+        sized = s.keep(each.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / unit)).cast("long").alias("size")).withColumns({"salt": F.pmod(F.xxhash64("g"), F.lit(SALTS)), "real": F.col("size"), "size": F.least(F.col("size"), F.lit(-(-capacity // unit) + 1))}))  # all beyond the capacity are one kind
         parts = s.keep(sized.groupBy("size", "salt").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
         histogram = [(r["size"], r["n"]) for r in parts.groupBy("size").agg(F.sum("n").alias("n")).toLocalIterator()]
         plan, _ = pack(histogram, -(-capacity // unit))
         placed = s.keep(spark.createDataFrame(plan or [(0, 0, 0, 1, 0)], PLAN))
-        ranked = sized.withColumn("k", F.row_number().over(Window.partitionBy("size", "salt").orderBy("g"))).join(small_side(parts.select("size", "salt", "before"), 2 * ROW_BYTES * SALTS * len(histogram)), ["size", "salt"]).select("g", "size", (F.col("before") + F.col("k") - 1).alias("rank"))
+        ranked = sized.withColumn("k", F.row_number().over(Window.partitionBy("size", "salt").orderBy("g"))).join(small_side(parts.select("size", "salt", "before"), 2 * ROW_BYTES * SALTS * len(histogram)), ["size", "salt"]).select("g", "size", "real", (F.col("before") + F.col("k") - 1).alias("rank"))
         found = ranked.alias("r").join(small_side(placed, 2 * ROW_BYTES * len(plan)).alias("p"), (F.col("r.size") == F.col("p.size")) & (F.col("r.rank") >= F.col("p.lo")) & (F.col("r.rank") < F.col("p.hi")))
-        shard = found.select("g", F.col("r.size").alias("group_size"), (F.col("p.shard") + F.floor((F.col("r.rank") - F.col("p.lo")) / F.col("p.per_shard"))).cast("long").alias("shard"))
+        shard = found.select("g", F.col("r.real").alias("group_size"), (F.col("p.shard") + F.floor((F.col("r.rank") - F.col("p.lo")) / F.col("p.per_shard"))).cast("long").alias("shard"))
         return each.join(shard, "g").select("doc_id", "shard", "group_size", (F.col("group_size") > -(-capacity // unit)).alias("oversize"))
 
 

@@ -270,3 +270,40 @@ def test_equal_sizes_and_one_hot_group(spark):
     for r in out.collect():
         of.setdefault(rows[r.doc_id][1], set()).add(r.shard)
     assert all(len(x) == 1 for x in of.values()) and len(of) == 8
+
+
+def plain_walk(src, dst, agree):
+    """Paths as the docstring says them, step by step."""
+    near = {}
+    for a, b, w in zip(src, dst, agree):
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    left, out = set(near), []
+    while left:
+        x = min(left, key=lambda v: (len(near[v]), v))
+        while x is not None:
+            left.remove(x)
+            out.append(x)
+            x = min((v for v in near[x] if v in left), key=lambda v: (-near[x][v], len(near[v]), v), default=None)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_walk_like_a_plain_one(seed):
+    r = random.Random(seed)
+    weight = {}
+    for _ in range(r.randint(1, 60)):
+        a, b = sorted(r.sample(range(0, 90, 3), 2))
+        weight[a, b] = r.randint(20, 23)
+    rows = [(a, b, w) if r.random() < 0.5 else (b, a, w) for (a, b), w in weight.items()]
+    rows += [(b, a, w) for a, b, w in rows if r.random() < 0.3]
+    src, dst, agree = (np.array(x) for x in zip(*rows))
+    assert packing.walk(src, dst, agree) == plain_walk(src.tolist(), dst.tolist(), agree.tolist())
+
+
+def test_oversize_groups_are_one_kind(spark):
+    """Groups beyond the capacity, of whatever sizes, have a shard each, and keep their size."""
+    rows = [(i, "x" * (5000 + 100 * i)) for i in range(12)] + [(100 + i, "y" * 30 + str(i)) for i in range(20)]
+    got = {r.doc_id: r for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), capacity=4096).collect()}
+    big = [got[i] for i in range(12)]
+    assert len({r.shard for r in big}) == 12 and all(r.oversize and r.group_size == 5000 + 100 * r.doc_id for r in big)
+    assert not {r.shard for r in big} & {got[100 + i].shard for i in range(20)} and len({got[100 + i].shard for i in range(20)}) == 1

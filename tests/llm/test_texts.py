@@ -334,3 +334,39 @@ def test_spans_are_what_factors_cover(spark):
     parts = sorted((r.doc_id, 1, r.word_start, r.word_end) for r in relative_lz.factors(docs).collect())
     want = {(d, a, b) for d, _, a, b in zip(*[x.tolist() for x in relative_lz.covered(*map(np.array, zip(*parts)))])}
     assert want and want <= {tuple(r) for r in relative_lz.duplicate_spans(docs).collect()}
+
+
+def test_language_by_a_plain_version(spark):
+    """Features, families and votes of the model, text by text, without arrays."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language_id.train(docs, bound=40)
+    of = {b: a for a, names in model.languages.items() for b in names}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())[::3]
+    got = {r.doc_id: r for r in language_id.identify(docs, model=model).collect()}
+    checked = 0
+    for d, text in rows:
+        raw = re.sub(r"[ \t\n\r\f\v]+", " ", text.lower()).encode()
+        plain = lambda c: 97 <= c <= 122 or c >= 128 or c == 32
+        count = {}
+        for x, y, z in zip(raw, raw[1:], raw[2:]):
+            if plain(x) and plain(y) and plain(z):
+                k = (((x * 40503) ^ (y * 2654435761) ^ (z * 97787)) * 2246822519 % 2**32) >> 20
+                count[k] = count.get(k, 0) + 1
+        norm = sum(count.values()) ** 0.5
+        score = lambda w: sum(n**0.5 / norm * w[k] for k, n in count.items()) + w[-1]
+        by_family = sorted(((score(w), f) for f, w in zip(model.families, model.first)), reverse=True)
+        family = by_family[0][1]
+        votes = {x: 0.0 for x in model.languages[family]}
+        margins = [by_family[0][0] - by_family[1][0]]
+        for (a, b), w in model.pairs.items():
+            if of[a] == family:
+                m = score(w)
+                margins.append(abs(m))
+                votes[a if m > 0 else b] += 1
+                votes[a] += 1e-4 * m
+                votes[b] -= 1e-4 * m
+        if min(margins) < 1e-3:
+            continue
+        assert (got[d].family, got[d].language) == (family, max(votes, key=votes.get)) and got[d].margin == pytest.approx(min(margins), abs=1e-3)
+        checked += 1
+    assert checked > 20
