@@ -1,4 +1,20 @@
-"""The corpus pipeline: language ID, near-duplicate removal, repeat removal, decontamination, packing."""
+"""The corpus pipeline: language ID, near-duplicate removal, repeat removal, decontamination, packing.
+
+Every stage but the last returns the columns that it was given, whatever they are called besides doc_id, text and lang,
+and works on all rows that the one before it kept. Defined cases, stage by stage:
+
+* language ID: rows without an id are judged by their text as others are; null and empty texts go; without any labelled
+  text all rows go; a very long text is judged whole.
+* near duplicates: of a class the row of the least (doc_id, hash of the text) stays, with its exact repetitions; rows
+  without an id, and texts without words, stay; several texts of one id are told apart.
+* repeats: the first place in order of (doc_id, digest, word) stays; texts without a word left go; rows without an id
+  or text, and texts shorter than a window, stay as they are; the other columns stay, n_chars follows the text.
+* decontamination: a text that leaks an item of LEAST characters or more goes; rows without an id or text stay; an empty
+  or absent benchmark text drops nothing.
+* packing: rows without an id or tokens are in no window; see ``packing``.
+
+Empty tables go through every stage and give an empty table.
+"""
 
 from __future__ import annotations
 
