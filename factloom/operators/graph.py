@@ -102,6 +102,31 @@ def _reduced(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": nodes[[a for a, _ in out]], "dst": nodes[[b for _, b in out]]}) if out else pdf.iloc[:0][["src", "dst"]]
 
 
+def _paths(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a node and one that it reaches by an edge or more."""
+    nodes, of, _, bits = _reach_bits(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+    members: dict[int, list[int]] = {}
+    for i, c in enumerate(of):
+        members.setdefault(c, []).append(i)
+    src, dst = [], []
+    for c, x in bits.items():
+        to = [i for b in members if x >> b & 1 for i in members[b]]
+        for u in members[c]:
+            src += [u] * len(to)
+            dst += to
+    return pd.DataFrame({"src": nodes[src], "dst": nodes[dst]}) if src else pdf.iloc[:0][["src", "dst"]]
+
+
+def all_paths(edges: DataFrame, *, bits: int = BITS // 10) -> DataFrame:
+    """All (src, dst) with a path of one edge or more; components of up to ``bits`` vertices in one task each, larger ones by rounds. The result is quadratic in a component."""
+    with Scratch(edges.sparkSession) as s:
+        e = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+        small, large = _by_size(e, s, bits)
+        kind = _kind(edges)
+        pairs = s.keep(_in_partitions(small, _paths, f"src {kind}, dst {kind}"))
+        return pairs if large.isEmpty() else pairs.unionByName(closure(large))
+
+
 def _by_size(edges: DataFrame, s: Scratch, most: int) -> tuple[DataFrame, DataFrame]:
     """edges with their component: those of components of up to ``most`` vertices, and the others."""
     of = s.keep(connected_components(edges.select("src", "dst")))
@@ -489,9 +514,15 @@ def persistence(edges: list[tuple[int, int, float]]) -> list[tuple[int, float, f
 
 
 def per_component(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """The kernel's rows for each connected component; a task holds one component's edges and no more."""
+    """The kernel's rows for each connected component; a task holds a partition of whole components."""
     parts = connected_components(edges.select("src", "dst"))
-    return edges.join(parts.withColumnRenamed("node", "src"), "src").groupBy("component").applyInPandas(kernel, schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield _by_component(kernel)(pd.concat(held, ignore_index=True))
+
+    return edges.join(parts.withColumnRenamed("node", "src"), "src").repartition("component").mapInPandas(run, schema)
 
 
 def per_partition(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from factloom.operators import datalog, graph, joins
 from factloom.plans.catalog import query
 from factloom.plans.facts import Facts
-from factloom.plans.iterate import closure
 
 _TC = "tc AS (SELECT src, dst FROM {edges} UNION SELECT tc.src, e.dst FROM tc JOIN {edges} e ON tc.dst = e.src)"
 _BACK = "t AS (SELECT node FROM {urgent} UNION SELECT e.src FROM t JOIN {edges} e ON e.dst = t.node)"
@@ -68,7 +67,7 @@ def unguarded_rank(f: Facts) -> DataFrame:
 
 @query("g02_closure", f"WITH {_TC} SELECT src, dst FROM tc")
 def all_pairs(f: Facts) -> DataFrame:
-    return closure(f.edges)
+    return graph.all_paths(f.edges)
 
 
 @query("g02_descendants", "WITH t AS (SELECT node FROM {urgent} UNION SELECT e.dst FROM t JOIN {edges} e ON e.src = t.node) SELECT DISTINCT t.node FROM t WHERE t.node NOT IN (SELECT node FROM {urgent})")

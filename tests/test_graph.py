@@ -237,6 +237,8 @@ def test_radius_and_reduction(spark, bits, named):
             want[name(999)] = 0
             got = graph.blast_radius(df, spark.createDataFrame([(x,) for x in want], f"node {kind}"), bits=bits)
             assert {r.node: r.radius for r in got.collect()} == want
+            pairs = graph.all_paths(df, bits=bits).collect()
+            assert len(pairs) == len(set(pairs)) and {tuple(r) for r in pairs} == {(u, v) for u in nodes for v in reached(u)}
         else:
             want = {(a, b) for a, b in edges if not any(b in reached(c) for c in near[a] if c != b)}
             assert {tuple(r) for r in graph.transitive_reduction(df, bits=bits).collect()} == want
