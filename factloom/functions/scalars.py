@@ -26,7 +26,7 @@ def normal_name(name: Column) -> Column:
 
 def is_test_file(path: Column) -> Column:
     name = basename(path)
-    return name.startswith("test_") | name.endswith("_test.py") | (name == "conftest.py") | path.rlike(r"(^|/)(tests?|testing)/")
+    return name.startswith("test_") | name.endswith("_test.py") | name.isin("conftest.py", "test.py") | path.rlike(r"(^|/)(tests?|testing|unittest)/")
 
 
 def is_production(path: Column) -> Column:

@@ -15,6 +15,9 @@ CASES = [
     ("optional_dereference", "def f(q):\n    x = q.objects.first()\n    x = 1\n    return x.real\n", []),
     ("optional_dereference", "def f(t, k):\n    x = t.get(k)\n    return x.name\n", [3]),
     ("optional_dereference", "def f(t, k):\n    x = t.get(k, 0)\n    return x.name\n", []),
+    *[("optional_dereference", f"def f(self, t, k, url):\n    x = {call}\n    return x.name\n", []) for call in ("df.groupby(k).first()", "M.objects.get(1)", "q.filter(k).get(1)", "t.get()", "t.get(pk=1)", "t.get(k, default=0)", "t.get(k, timeout=3)", "t.get(url)", "t.get('/a')", "t.get(f'/a/{k}')", "t.get('/a' + k)", "t.get(k + '/a')", "session.get(k)", "self.client.get(k)", "client.app.get(k)", "self.get(k)", "Registry.get(k)", "t.get(3)", "t.get(idx)")],
+    *[("optional_dereference", f"def f(self, t, k, q):\n    x = {call}\n    return x.name\n", [3]) for call in ("M.objects.filter(k).last()", "t.get(k, None)", "TABLE.get(k)", "self.held.get(k)", "t.get('a')")],
+    ("optional_dereference", "def f(t, k):\n    if k in t:\n        x = t.get(k)\n        return x.name\n", []),
     ("bare_except", "try:\n    a()\nexcept:\n    b()\n", [3]),
     ("bare_except", "try:\n    a()\nexcept:\n    raise\n", []),
     ("bare_except", "try:\n    a()\nexcept:  # noqa\n    b()\n", []),
@@ -27,6 +30,10 @@ CASES = [
     ("format_arg_mismatch", "'{} {}'.format(1)\n'{{}} {}'.format(1)\n'{a}'.format(a=1)\n'{b}'.format(a=1)\n", [1, 4]),
     ("llm_response_unguarded", "def f(c):\n    r = c.create()\n    return r.choices[0]\n", [3]),
     ("llm_response_unguarded", "def f(c):\n    r = c.create()\n    if not r.choices:\n        return None\n    return r.choices[0]\n", []),
+    ("llm_response_unguarded", "def f(c):\n    r = c.create()\n    if not r.choices:\n        return None\n    return r.choices[0].message\n", [5]),
+    ("llm_response_unguarded", "def f(c):\n    r = c.create()\n    if r.choices and r.choices[0].message:\n        return r.choices[0].message\n", []),
+    ("llm_response_unguarded", "def f(c):\n    r = c.create()\n    if r:\n        e = r.choices[0]\n        return e.delta\n", [5]),
+    ("llm_response_unguarded", "def need(x):\n    if not x:\n        raise ValueError\ndef f(c):\n    r = c.create()\n    need(r)\n    return r.choices[0]\n", []),
     ("unvalidated_lookup_chain", "def f(a, b):\n    k = a.get('x')\n    return b[k]\n", [3]),
     ("unvalidated_lookup_chain", "def f(a, b):\n    k = a.get('x')\n    if k in b:\n        return b[k]\n", []),
     ("prompt_injection_risk", "c.create(messages=[{'role': 'user', 'content': f'say {user_text}'}])\n", [1]),
@@ -121,6 +128,12 @@ def test_any_script(text):
     script_rules.check_text("a.go", text)
 
 
+def test_rules_of_tests(spark):
+    text = "def f(q):\n    x = q.objects.first()\n    return x.name\n"
+    files = spark.createDataFrame([(f, text) for f in ("a.py", "test_a.py", "x/tests/a.py", "conftest.py", "a_test.py")], "file string, text string")
+    assert [r.file for r in rules.check(files).collect()] == ["a.py"]
+
+
 def test_deep_trees():
     """Trees deeper than Python's stack give facts, or nothing, but never an error."""
     for text in (" + ".join(f"n{i}" for i in range(1500)) + "\nf(1)\n", "x" + ".a()" * 600 + "\njson.loads(y)\n", "(" * 150 + ")" * 150):
