@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from factloom.operators import joins
 
 #: First parameters that a compiler hands in.
-CONTEXTS = ("typingctx", "typingcontext", "cgctx", "context", "ctx")
-RELATIONS = ("ManyToManyField", "ManyToManyRel", "ManyToOneRel", "OneToOneRel")
+CONTEXTS = ("ctx", "cgctx", "context", "typingctx", "typingcontext")
+RELATIONS = ("OneToOneRel", "ManyToOneRel", "ManyToManyRel", "ManyToManyField")
 
 
 def required_args_missing(calls: DataFrame, keywords: DataFrame, functions: DataFrame, args: DataFrame) -> DataFrame:

@@ -366,7 +366,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, *, hops: int = 2) -> DataF
     return e.join(near.select(F.col("node").alias("src")), "src", "left_semi").unionByName(e.join(near.select(F.col("node").alias("dst")), "dst", "left_semi")).distinct()
 
 
-# ---- kernels: one component's edges in one task ------------------------------------------------
+# ---- kernels: one component's edges in one task
 
 def adjacency(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
     nodes, idx = np.unique(np.concatenate([src, dst]), return_inverse=True)

@@ -131,8 +131,8 @@ def extraction_safe(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return j.groupBy("name").agg((F.count_if(bad) == 0).alias("safe"))
 
 
-REVERT, READD = r"(?i)\brevert\b", r"(?i)\b(re-add|readd|re-implement|reimplement|restore|re-introduce)\b"
-FIX, ENSURE, VERIFY = r"(?i)\b(fix|fixes|fixed|repair|correct|bug)\b", r"(?i)\b(ensure|guarantee|always|enforce|must)\b", r"(?i)\b(test|verify|assert|check|spec|proof)\b"
+REVERT, READD = r"(?i)\brevert\b", r"(?i)\b(restore|readd|re-add|reimplement|re-introduce|re-implement)\b"
+FIX, ENSURE, VERIFY = r"(?i)\b(bug|correct|repair|fix|fixed|fixes)\b", r"(?i)\b(always|enforce|must|ensure|guarantee)\b", r"(?i)\b(assert|check|proof|spec|test|verify)\b"
 
 
 def history_patterns(commits: DataFrame) -> DataFrame:
@@ -142,15 +142,15 @@ def history_patterns(commits: DataFrame) -> DataFrame:
     return near.select("file", "idx", "revert", "readd", "fix", (F.col("ensure") & ~F.col("near")).alias("unverified"))
 
 
-STOP = "fix fixes fixed the a an and or of in for with to from that this is was are were be been has have had it its also now only not feat chore refactor update add remove when if".split()
+STOP = "a an be if in is it of or to add and are fix for had has its not now the was also been feat from have only that this were when with chore fixed fixes remove update refactor".split()
 
 
 def repeated_fixes(commits: DataFrame, *, fixes: int = 3, least: int = 2, top: int = 4) -> DataFrame:
     """(file, word, n, rank): of files with ``fixes`` fixes or more in commits(file, idx, subject) the words that recur in them, the most frequent first."""
     f = commits.where(F.col("subject").rlike(FIX)).select("file", "idx", "subject")
     f = f.join(f.groupBy("file").agg(F.count("*").alias("k")).where(F.col("k") >= fixes).select("file"), "file", "left_semi")
-    bare = F.lower(F.regexp_replace("subject", r"^[a-z]+\(([^)]+)\):", "$1 "))
-    words = f.select("file", F.explode(F.split(bare, r"[\s\-_/+,.:]+")).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*STOP))
+    bare = F.lower(F.regexp_replace("subject", r"^[a-z]+[(]([^()]+)[)]:", "$1 "))
+    words = f.select("file", F.explode(F.split(bare, r"[,.:+/_\s-]+")).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*STOP))
     n = words.groupBy("file", "word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= top)
 

@@ -15,7 +15,7 @@ from factloom.operators.rules import dotted
 SCHEMA = "file string, function string, line int, kind string, subject string, via string, met boolean, guard string"
 Function = ast.FunctionDef | ast.AsyncFunctionDef
 _EXITS = (ast.Return, ast.Raise, ast.Continue, ast.Break)
-_FULL = {"split", "splitlines", "partition", "rpartition"}
+_FULL = {"partition", "rpartition", "split", "splitlines"}
 _GRAMMAR = {"targets", "ops", "comparators"}
 _JSON = {"JSONDecodeError", "ValueError", "Exception", "BaseException"}
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 Found = Iterator[tuple[int, str, str]]
 SCHEMA = "file string, line int, mode string, call string, message string"
-SCRIPT, GO = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), (".go",)
+SCRIPT, GO = (".cjs", ".js", ".jsx", ".mjs", ".ts", ".tsx"), (".go",)
 
 _TOKEN = re.compile(r"""
  (?P<skip>\s+|//[^\n]*|/\*.*?\*/)
@@ -68,11 +68,11 @@ def tokens(source: str) -> Tokens | None:
     return None if open_ else Tokens(text, kind, line, match)
 
 
-# ---- TypeScript and JavaScript -------------------------------------------------------------------
+# ---- TypeScript and JavaScript
 
-PROMISING = {"fetch", "axios", "got", "superagent", "readFile", "writeFile", "readdir", "stat", "mkdir", "unlink", "rename", "copyFile"}
-PROMISING_METHODS = set("json text blob arrayBuffer formData get post put patch delete head request send end exec query connect disconnect close open read write flush commit rollback save load fetch refresh sync upload download emit publish subscribe".split())
-MAYBE = {"find", "shift", "pop", "at"}
+PROMISING = {"got", "stat", "axios", "fetch", "mkdir", "rename", "unlink", "readdir", "copyFile", "readFile", "writeFile", "superagent"}
+PROMISING_METHODS = set("end get put blob emit exec head json load open post read save send sync text close fetch flush patch query write commit delete upload connect publish refresh request download formData rollback subscribe disconnect arrayBuffer".split())
+MAYBE = {"at", "pop", "find", "shift"}
 _CONTROL = {"if", "for", "while", "switch", "catch", "return", "function", "await", "typeof", "new", "with"}
 
 
@@ -175,10 +175,10 @@ def ts_llm_response_unguarded(t: Tokens) -> Found:
             yield t.line[begin], "".join(t.text[begin : i + 4])[:120], "the list of choices may be empty"
 
 
-# ---- Go --------------------------------------------------------------------------------------------
+# ---- Go
 
-FAILING = set("Open Create Read Write Close Connect Dial Listen Accept Send Recv Parse Decode Encode Marshal Unmarshal Scan Query Exec Begin Commit Rollback Prepare MkdirAll Mkdir Remove Rename Stat ReadFile WriteFile ReadDir".split())
-SYNC = ("wg", "Wait", "Add", "Done", "ch", "ctx", "cancel", "done", "errCh", "group")
+FAILING = set("Dial Exec Open Read Recv Scan Send Stat Begin Close Mkdir Parse Query Write Accept Commit Create Decode Encode Listen Remove Rename Connect Marshal Prepare ReadDir MkdirAll ReadFile Rollback Unmarshal WriteFile".split())
+SYNC = ("ch", "wg", "Add", "ctx", "Done", "Wait", "done", "errCh", "group", "cancel")
 
 
 def _chain(t: Tokens, i: int) -> tuple[int, str]:

@@ -241,7 +241,7 @@ def structural_coverage(f: Facts) -> DataFrame:
     return graph.structural_coverage(f.edges, files, f.customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("file")))
 
 
-# ---- the same over names: the calls among functions, and the orders' graph with names ------------
+# ---- the same over names: the calls among functions, and the orders' graph with names
 
 _CALLS = """sh AS (SELECT DISTINCT name, string_split(name, '.')[-1] AS short FROM {functions}), si AS (SELECT short, min(name) AS "full" FROM sh GROUP BY short HAVING count(*) = 1),
 ed AS (SELECT DISTINCT coalesce(c.caller, '__root__') AS src, CASE WHEN c.callee IN (SELECT name FROM sh) THEN c.callee ELSE coalesce(si."full", c.callee) END AS dst FROM {calls} c LEFT JOIN si ON si.short = c.callee),

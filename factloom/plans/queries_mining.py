@@ -130,7 +130,7 @@ def history(f: Facts) -> DataFrame:
 
 
 @query("m14_repeated_fixes", f"""WITH x AS (SELECT * FROM {{subjects}} WHERE {_matches(mining.FIX)}), k AS (SELECT file FROM x GROUP BY file HAVING count(*) >= 3),
-w AS (SELECT file, unnest(regexp_split_to_array(lower(regexp_replace(subject, '^[a-z]+\\(([^)]+)\\):', '\\1 ')), '[\\s\\-_/+,.:]+')) AS word FROM x WHERE file IN (SELECT file FROM k)),
+w AS (SELECT file, unnest(regexp_split_to_array(lower(regexp_replace(subject, '^[a-z]+[(]([^()]+)[)]:', '\\1 ')), '[,.:+/_\\s-]+')) AS word FROM x WHERE file IN (SELECT file FROM k)),
 n AS (SELECT file, word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN ({", ".join(f"'{x}'" for x in mining.STOP)}) GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT file, word, CAST(n AS BIGINT) AS n, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC, word) AS r FROM n) WHERE r <= 4""")
 def repeated_fixes(f: Facts) -> DataFrame:

@@ -13,7 +13,7 @@ from factloom.plans.facts import Facts
 _REQ = "site_req AS (SELECT c.site, c.model, r.field FROM {site_creates} c JOIN {model_req} r ON c.model = r.model)"
 
 
-# ---- joins ---------------------------------------------------------------------------------------
+# ---- joins
 
 @query("j01_required_fields", f"WITH {_REQ} SELECT site, model, field FROM site_req")
 def required(f: Facts) -> DataFrame:
@@ -197,7 +197,7 @@ def record_evidence(f: Facts) -> DataFrame:
     return joins.record_evidence(docs, f.functions.select(F.col("file").alias("path"))).groupBy("path").agg(F.count("*").alias("docs"))
 
 
-# ---- aggregates ----------------------------------------------------------------------------------
+# ---- aggregates
 
 @query("a01_count_by_mode", "SELECT mode, CAST(count(*) AS BIGINT) AS n FROM {violations} GROUP BY mode")
 def count_by_mode(f: Facts) -> DataFrame:
@@ -305,7 +305,7 @@ def communities(f: Facts) -> DataFrame:
     return aggregates.count_by(f.customer.withColumnRenamed("c_nationkey", "community"), "community").orderBy(F.desc("n"), "community").limit(3)
 
 
-# ---- windows -------------------------------------------------------------------------------------
+# ---- windows
 
 @query("w01_function_ranges", "SELECT file, name, epoch_us(lead(line) OVER (PARTITION BY file ORDER BY line, name)) AS next_us FROM {definitions}")
 def function_ranges(f: Facts) -> DataFrame:
@@ -359,7 +359,7 @@ def code_context(f: Facts) -> DataFrame:
     return sequences.code_context(lines, lines.where(F.length("text") > 200))
 
 
-# ---- orders and sets -----------------------------------------------------------------------------
+# ---- orders and sets
 
 @query("t05_max_coverage", "SELECT file, CAST(count(*) AS BIGINT) AS n FROM {violations} GROUP BY file ORDER BY n DESC, file LIMIT 5")
 def max_coverage(f: Facts) -> DataFrame:
@@ -397,7 +397,7 @@ def common_arguments(f: Facts) -> DataFrame:
     return sequences.common_arguments(o)
 
 
-# ---- projections and predicates ------------------------------------------------------------------
+# ---- projections and predicates
 
 @query("p01_to_violation", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN [o_orderpriority] ELSE [o_orderstatus] END AS missing FROM {orders}")
 def to_violation(f: Facts) -> DataFrame:

@@ -44,7 +44,7 @@ def model_constraint(f: Facts) -> DataFrame:
 
 @query("c02_required_arg_missing", """WITH u AS (SELECT name, min(func_id) AS func_id, bool_or(is_called_otherwise) AS o FROM {functions_called} GROUP BY name HAVING count(*) = 1),
 n AS (SELECT u.name, a.arg, a.kwonly, sum(CASE WHEN a.kwonly THEN 0 ELSE 1 END) OVER (PARTITION BY u.name ORDER BY a.kwonly, a.pos) AS k FROM u JOIN {function_args} a ON a.func_id = u.func_id WHERE a.required AND NOT u.o),
-x AS (SELECT name, max(CASE WHEN k = 1 AND NOT kwonly AND arg IN ('typingctx', 'typingcontext', 'cgctx', 'context', 'ctx') THEN 1 ELSE 0 END) AS context FROM n GROUP BY name)
+x AS (SELECT name, max(CASE WHEN k = 1 AND NOT kwonly AND arg IN ('ctx', 'cgctx', 'context', 'typingctx', 'typingcontext') THEN 1 ELSE 0 END) AS context FROM n GROUP BY name)
 SELECT c.seq, c.callee, n.arg FROM {calls_made} c JOIN n ON n.name = c.callee JOIN x ON x.name = c.callee
 WHERE NOT c.spread AND NOT c.is_create AND NOT c.in_main AND NOT c.is_local AND (n.kwonly OR n.k > c.n_positional + CASE WHEN c.is_method OR x.context = 1 THEN 1 ELSE 0 END)
 AND NOT EXISTS (SELECT 1 FROM {call_keywords} w WHERE w.seq = c.seq AND w.arg = n.arg)""")

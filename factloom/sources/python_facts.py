@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factloom.operators.rules import dotted
 
 SCHEMA = "file string, kind string, line int, name string, owner string, detail string, n int, fields array<string>, flags array<string>, values map<string,string>"
-INJECTORS = {"with_session", "db_session", "session_scope", "transactional", "transaction", "in_transaction", "use_session", "inject_session"}
+INJECTORS = {"db_session", "transaction", "use_session", "with_session", "session_scope", "transactional", "in_transaction", "inject_session"}
 #: Least and greatest value that a column type holds.
 BOUNDS = {
     "SmallIntegerField": (-(2**15), 2**15 - 1), "IntegerField": (-(2**31), 2**31 - 1), "BigIntegerField": (-(2**63), 2**63 - 1),

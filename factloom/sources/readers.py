@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PRUNED = ("__pycache__", ".git", ".github", ".venv", "venv", "node_modules", "migrations", ".mypy_cache", ".uv-cache", ".ruff_cache", "vendor", "_vendor")
-SCRIPT_PRUNED = (*PRUNED, "dist", "build", ".next", ".nuxt", "out")
+PRUNED = (".git", "venv", ".venv", "vendor", ".github", "_vendor", ".uv-cache", "migrations", ".mypy_cache", ".ruff_cache", "__pycache__", "node_modules")
+SCRIPT_PRUNED = ("out", ".nuxt", "build", ".next", "dist", *PRUNED)
 
 
 def source_files(spark: SparkSession, root: str, *, suffixes: tuple[str, ...] = (".py",), pruned: tuple[str, ...] = PRUNED) -> DataFrame:
@@ -24,7 +24,7 @@ def source_files(spark: SparkSession, root: str, *, suffixes: tuple[str, ...] =
 
 def script_files(spark: SparkSession, root: str) -> DataFrame:
     """(file, text) of TypeScript and JavaScript files."""
-    return source_files(spark, root, suffixes=(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), pruned=SCRIPT_PRUNED)
+    return source_files(spark, root, suffixes=(".cjs", ".js", ".jsx", ".mjs", ".ts", ".tsx"), pruned=SCRIPT_PRUNED)
 
 
 def go_files(spark: SparkSession, root: str) -> DataFrame:
@@ -59,8 +59,8 @@ def issues(spark: SparkSession, path: str) -> DataFrame:
 
 #: Rules of the external scanner by the last part of their id.
 SEMGREP_MODES = {
-    "queryset-first-none-dereference": "optional_dereference", "queryset-last-none-dereference": "optional_dereference", "bare-except": "bare_except", "mutable-default-arg": "mutable_default_arg",
-    "llm-response-unguarded": "llm_response_unguarded", "json-loads-unguarded": "json_loads_unguarded", "requests-timeout-not-set": "timeout_not_set", "missing-await": "missing_await",
+    "bare-except": "bare_except", "missing-await": "missing_await", "mutable-default-arg": "mutable_default_arg", "requests-timeout-not-set": "timeout_not_set",
+    "json-loads-unguarded": "json_loads_unguarded", "llm-response-unguarded": "llm_response_unguarded", "queryset-last-none-dereference": "optional_dereference", "queryset-first-none-dereference": "optional_dereference",
 }
 _PLACE = "struct<line:int,col:int>"
 
