@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as fn
-from factloom.operators import mining
+from factloom.operators import joins, mining
 from factloom.plans.catalog import query
 from factloom.plans.facts import Facts
 from factloom.plans.queries_relational import _COUPLING
@@ -40,6 +40,15 @@ def silos(f: Facts) -> DataFrame:
     return mining.silos(f.commit_files, top_share=0.21)
 
 
+@query("m04_minor_authors", """WITH cf AS (SELECT DISTINCT l.l_orderkey AS sha, p.p_brand AS path, o.o_custkey AS author FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey JOIN {orders} o ON o.o_orderkey = l.l_orderkey),
+k AS (SELECT path, author, count(*) AS k FROM cf GROUP BY 1, 2), t AS (SELECT path, sum(k) AS churn, max(k) * 1.0 / sum(k) AS top FROM k GROUP BY path), m AS (SELECT t.path, count_if(k.k * 1.0 / t.churn < 0.05) AS minor FROM k JOIN t ON t.path = k.path GROUP BY 1)
+SELECT t.path, CAST(t.churn AS BIGINT) AS churn, round(t.top, 6) AS top_share, CAST(m.minor AS BIGINT) AS minor_authors FROM t JOIN m ON m.path = t.path WHERE t.churn >= 4 AND (t.top > 0.8 OR (m.minor >= 3 AND t.churn >= 5))""")
+def minor_authors(f: Facts) -> DataFrame:
+    """The rule's other branch: a commit's author is its customer, of whom a file has many."""
+    files = f.lineitem.join(f.part, F.col("p_partkey") == F.col("l_partkey")).join(f.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    return mining.silos(files.select(F.col("l_orderkey").alias("sha"), F.col("p_brand").alias("path"), F.col("o_custkey").alias("author")))
+
+
 @query("m05_change_entropy", """WITH f AS (SELECT DISTINCT sha, path FROM {commit_files}), p AS (SELECT path, 1.0 / count(*) OVER (PARTITION BY sha) AS p FROM f) SELECT path, round(sum(-p * log2(p)), 4) AS entropy FROM p GROUP BY path""")
 def change_entropy(f: Facts) -> DataFrame:
     return mining.change_entropy(f.commit_files)
@@ -113,10 +122,16 @@ def refactor_top(f: Facts) -> DataFrame:
     return mining.refactor_scores(f.calls.where("n_positional = 0").select(F.coalesce("caller", "callee").alias("func")), f.calls, top=10)
 
 
-@query("m13_extraction_safe", """WITH n AS (SELECT DISTINCT name FROM {functions}), c AS (SELECT callee, min(n_positional) AS least FROM {calls} GROUP BY callee) SELECT name, coalesce(least >= 2, true) AS safe FROM n LEFT JOIN c ON callee = name""")
+@query("m13_extraction_safe", """WITH u AS (SELECT name, min(func_id) AS func_id FROM {functions} GROUP BY name HAVING count(*) = 1), rq AS (SELECT u.name, count(a.arg) AS required FROM u LEFT JOIN {function_args} a ON a.func_id = u.func_id AND a.required AND NOT a.kwonly GROUP BY 1),
+ko AS (SELECT u.name, a.arg FROM u JOIN {function_args} a ON a.func_id = u.func_id AND a.required AND a.kwonly),
+bad AS (SELECT c.callee AS name FROM {calls} c JOIN rq ON rq.name = c.callee WHERE c.n_positional < rq.required UNION SELECT c.callee FROM {calls} c JOIN ko ON ko.name = c.callee WHERE NOT EXISTS (SELECT 1 FROM {call_keywords} w WHERE w.seq = c.seq AND w.arg = ko.arg))
+SELECT name, name NOT IN (SELECT name FROM bad) AS safe FROM rq""")
 def extraction_safe(f: Facts) -> DataFrame:
-    functions = f.functions.select("name").distinct().select("name", F.lit(2).alias("required"), F.array().cast("array<string>").alias("kwonly"))
-    return mining.extraction_safe(functions, f.calls.select("callee", "n_positional", F.array().cast("array<string>").alias("kwargs")))
+    single = joins.unique_names(f.functions.select("func_id", "name")).join(f.function_args, "func_id", "left")
+    functions = single.groupBy("name").agg(F.count_if(F.col("required") & ~F.col("kwonly")).alias("required"), F.collect_set(F.when(F.col("required") & F.col("kwonly"), F.col("arg"))).alias("kwonly"))
+    given = f.call_keywords.groupBy("seq").agg(F.collect_set("arg").alias("kwargs"))
+    calls = f.calls.join(given, "seq", "left").select("callee", "n_positional", F.coalesce("kwargs", F.array().cast("array<string>")).alias("kwargs"))
+    return mining.extraction_safe(functions, calls)
 
 
 def _matches(pattern: str) -> str:

@@ -65,10 +65,15 @@ def co_changes(f: Facts) -> DataFrame:
     return joins.co_changes(f.commit_files)
 
 
-@query("j09_suffix_match", """WITH r AS (SELECT DISTINCT 'repo/src/' || file AS ref FROM {functions}), p AS (SELECT DISTINCT file AS path FROM {functions})
-SELECT r.ref, p.path, 2 AS parts FROM r JOIN p ON r.ref = 'repo/src/' || p.path""")
+@query("j09_suffix_match", """WITH fl AS (SELECT DISTINCT file FROM {functions}), r AS (SELECT 'repo/src/' || file AS ref FROM fl UNION SELECT 'a/deep/' || file FROM fl UNION SELECT string_split(file, '/')[-1] FROM fl),
+p AS (SELECT file AS path FROM fl UNION SELECT 'deep/' || file FROM fl UNION SELECT 'z/' || file FROM fl), s AS (SELECT ref, path, string_split(ref, '/') AS a, string_split(path, '/') AS b FROM r CROSS JOIN p),
+k AS (SELECT ref, path, max(n.k) AS parts FROM s CROSS JOIN (SELECT unnest(range(2, 6)) AS k) n WHERE n.k <= len(a) AND n.k <= len(b) AND a[len(a) - n.k + 1:] = b[len(b) - n.k + 1:] GROUP BY 1, 2),
+x AS (SELECT ref, max(parts) AS parts FROM k GROUP BY 1) SELECT k.ref, min(k.path) AS path, CAST(k.parts AS INT) AS parts FROM k JOIN x ON x.ref = k.ref AND x.parts = k.parts GROUP BY 1, 3""")
 def suffix(f: Facts) -> DataFrame:
-    return joins.suffix_match(f.functions.select(F.concat(F.lit("repo/src/"), "file").alias("ref")), f.functions.select(F.col("file").alias("path")))
+    """References and files at several depths: ties go to the least path, longer suffixes first, a bare name to none."""
+    at = lambda *heads: f.functions.select(F.explode(F.array(*[F.concat(F.lit(h), "file") for h in heads])).alias("x")).distinct()
+    names = f.functions.select(F.element_at(F.split("file", "/"), -1).alias("x"))
+    return joins.suffix_match(at("repo/src/", "a/deep/").unionByName(names).withColumnRenamed("x", "ref"), at("", "deep/", "z/").withColumnRenamed("x", "path"))
 
 
 @query("j10_confirm", """WITH p AS (SELECT file, line, min(call) AS spec_id FROM {violations_b} WHERE mode <> 'OTHER' GROUP BY file, line)
