@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 USER_WORDS = ("user", "input", "query", "prompt", "message", "request", "body", "payload", "content", "text")
 
 
+def words(text: Column, pattern: str) -> Column:
+    """Whether a pattern of words is found in text as RE2 finds it: only ASCII letters, digits and _ make words, and without case ſ is s and K is k."""
+    pattern = pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+    if pattern.startswith("(?i)"):
+        pattern = re.sub(r"(?<!\\)[sk]", lambda m: {"s": "[s\u017f]", "k": "[k\u212a]"}[m[0]], pattern)
+    return text.rlike(pattern)
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 

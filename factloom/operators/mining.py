@@ -137,7 +137,7 @@ FIX, ENSURE, VERIFY = r"(?i)\b(bug|correct|repair|fix|fixed|fixes)\b", r"(?i)\b(
 
 def history_patterns(commits: DataFrame) -> DataFrame:
     """commits(file, idx, subject) with flags: a revert, a re-add, a fix, and a promise that no check is near (two commits of the file before and after)."""
-    flags = {k: F.col("subject").rlike(x) for k, x in (("revert", REVERT), ("readd", READD), ("fix", FIX), ("ensure", ENSURE), ("verify", VERIFY))}
+    flags = {k: fn.words(F.col("subject"), x) for k, x in (("revert", REVERT), ("readd", READD), ("fix", FIX), ("ensure", ENSURE), ("verify", VERIFY))}
     near = sequences.near_flag(commits.select("file", "idx", "subject", *[x.alias(k) for k, x in flags.items()]), order=["idx"], partition=["file"], flag="verify")
     return near.select("file", "idx", "revert", "readd", "fix", (F.col("ensure") & ~F.col("near")).alias("unverified"))
 
@@ -147,7 +147,7 @@ STOP = "a an be if in is it of or to add and are fix for had has its not now the
 
 def repeated_fixes(commits: DataFrame, *, fixes: int = 3, least: int = 2, top: int = 4) -> DataFrame:
     """(file, word, n, rank): of files with ``fixes`` fixes or more in commits(file, idx, subject) the words that recur in them, the most frequent first."""
-    f = commits.where(F.col("subject").rlike(FIX)).select("file", "idx", "subject")
+    f = commits.where(fn.words(F.col("subject"), FIX)).select("file", "idx", "subject")
     f = f.join(f.groupBy("file").agg(F.count("*").alias("k")).where(F.col("k") >= fixes).select("file"), "file", "left_semi")
     bare = F.lower(F.regexp_replace("subject", r"^[a-z]+[(]([^()]+)[)]:", "$1 "))
     words = f.select("file", F.explode(F.split(bare, r"[,.:+/_\s-]+")).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*STOP))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import scalars as fn
+
 PRUNED = (".git", "venv", ".venv", "vendor", ".github", "_vendor", ".uv-cache", "migrations", ".mypy_cache", ".ruff_cache", "__pycache__", "node_modules")
 SCRIPT_PRUNED = ("out", ".nuxt", "build", ".next", "dist", *PRUNED)
 
@@ -140,13 +142,13 @@ def imports_by_line(files: DataFrame, *, lines: int = 60) -> DataFrame:
 def notes(files: DataFrame, *, tags: str = r"\b(TODO|FIXME|HACK|XXX|NOTE)\b") -> DataFrame:
     """(file, line, text) of lines with a tag, from 1."""
     line = files.select("file", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return line.where(F.col("text").rlike(tags)).select("file", (F.col("line") + 1).alias("line"), F.trim("text").alias("text"))
+    return line.where(fn.words(F.col("text"), tags)).select("file", (F.col("line") + 1).alias("line"), F.trim("text").alias("text"))
 
 
 def changelog_lines(files: DataFrame, stem: str, *, most: int = 80) -> DataFrame:
     """The first ``most`` lines that name the stem or a fix."""
     line = files.select("file", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return line.where(F.col("text").contains(stem) | F.col("text").rlike(r"(?i)\b(fix|bug|hotfix|patch)")).orderBy("file", "line").limit(most)
+    return line.where(F.col("text").contains(stem) | fn.words(F.col("text"), r"(?i)\b(fix|bug|hotfix|patch)")).orderBy("file", "line").limit(most)
 
 
 def write_violations(violations: DataFrame, path: str, *, mode: str = "overwrite", array: bool = False) -> None:
