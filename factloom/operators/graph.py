@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans.iterate import closure, connected_components, reach
+from factloom.plans.iterate import Labelled, closure, connected_components, labelled, reach, spread
 from factloom.plans.scratch import Scratch
 
 ROOTS = ("main", "run", "cli", "app", "setup", "handler", "start", "execute", "serve", "__root__")
@@ -120,28 +120,53 @@ def _paths(pdf: pd.DataFrame) -> pd.DataFrame:
 def all_paths(edges: DataFrame, *, bits: int = BITS // 10) -> DataFrame:
     """All (src, dst) with a path of one edge or more; components of up to ``bits`` vertices in one task each, larger ones by rounds. The result is quadratic in a component."""
     with Scratch(edges.sparkSession) as s:
-        e = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-        small, large = _by_size(e, s, bits)
+        a = labelled(edges.select("src", "dst").distinct(), s)
+        small, large = _by_size(a, s, bits)
         kind = _kind(edges)
-        pairs = s.keep(_in_partitions(small, _paths, f"src {kind}, dst {kind}"))
-        return pairs if large.isEmpty() else pairs.unionByName(closure(large))
+        pairs = _in_partitions(s.keep(small), a.rows, _paths, f"src {kind}, dst {kind}")  # kept are the edges, as the pairs are many more
+        return pairs if large is None else pairs.unionByName(closure(large))
 
 
-def _by_size(edges: DataFrame, s: Scratch, most: int) -> tuple[DataFrame, DataFrame]:
-    """edges with their component: those of components of up to ``most`` vertices, and the others."""
-    of = s.keep(connected_components(edges.select("src", "dst")))
-    size = of.groupBy("component").agg(F.count("*").alias("v"))
-    held = s.keep(edges.select("src", "dst").join(of.withColumnRenamed("node", "src"), "src").join(size, "component"))
-    return held.where(F.col("v") <= most), held.where(F.col("v") > most).select("src", "dst")
+def _by_size(a: Labelled, s: Scratch, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """edges with their component: those of components of up to ``most`` vertices, and the others, None if there are none."""
+    big = s.keep(a.sizes.where(F.col("v") > most).select("component"))  # one of ``most`` vertices at the most
+    if big.isEmpty():
+        return a.held, None
+    return a.held.join(F.broadcast(big), "component", "left_anti"), s.keep(a.held.join(F.broadcast(big), "component", "left_semi").select("src", "dst"))
 
 
-def _in_partitions(held: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+#: Edges from which on a kernel is run on the components gathered, and of those whose work or memory grows faster than that.
+CHUNK, FEW = 20_000, 2_000
+
+
+def _chunks(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iterator[pd.DataFrame]:
+    """Rows that come in order of ``keys``, cut only where these change, each time ``most`` are held: a task holds one component and so many rows, however large its partition is."""
+    held, n, last = [], 0, None
+    for b in batches:
+        if not len(b):
+            continue
+        k = b[keys].to_numpy()
+        ends = (np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()
+        if last is not None and (k[0] != last).any():
+            ends.insert(0, 0)
+        at, last = 0, k[-1]
+        for end in ends:
+            if n + end - at >= most:
+                yield pd.concat([*held, b.iloc[at:end]], ignore_index=True)
+                held, n, at = [], 0, end
+        held.append(b.iloc[at:])
+        n += len(b) - at
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _in_partitions(held: DataFrame, rows: int, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, *, keys: tuple[str, ...] = ("component",), chunk: int = FEW) -> DataFrame:
+    """The kernel's rows for whole components, several at a time, of edges with their component."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if parts:
-            yield _by_component(kernel)(pd.concat(parts, ignore_index=True))
+        yield from map(kernel, _chunks(batches, list(keys), chunk))
 
-    return held.repartition("component").select("component", "src", "dst").mapInPandas(run, schema)
+    return spread(held, rows, *keys, each=200_000).sortWithinPartitions(*keys).select(*keys, *[c for c in held.columns if c not in keys]).mapInPandas(run, schema)
 
 
 def blast_radius(edges: DataFrame, targets: DataFrame, *, bits: int = BITS) -> DataFrame:
@@ -151,12 +176,12 @@ def blast_radius(edges: DataFrame, targets: DataFrame, *, bits: int = BITS) -> D
     grow by rounds over the cluster. Both give the same numbers.
     """
     with Scratch(edges.sparkSession) as s:
-        e = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-        asked = s.keep(targets.select("node").distinct())
-        small, large = _by_size(e, s, bits)
-        counted = s.keep(_in_partitions(small, _radii, f"node {_kind(edges)}, radius long"))
+        a = labelled(edges.select("src", "dst").distinct(), s)
+        asked = s.save(targets.select("node").distinct())
+        small, large = _by_size(a, s, bits)
+        counted = _in_partitions(small, a.rows, _radii, f"node {_kind(edges)}, radius long")
         out = asked.join(counted, "node", "left").select("node", F.coalesce("radius", F.lit(0)).cast("long").alias("radius"))
-        if large.isEmpty():
+        if large is None:
             return s.keep(out)
         back = s.save(large.select(F.col("dst").alias("at"), F.col("src").alias("up")).where("dst <> src"))
         seen = delta = s.save(asked.join(back.select(F.explode(F.array("at", "up")).alias("node")).distinct(), "node", "left_semi").withColumn("anc", F.col("node")))
@@ -235,9 +260,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return per_partition(edges, _strong, f"node {kind}, scc {kind}")
 
 
+def _tangled(pdf: pd.DataFrame) -> pd.DataFrame:
+    _, scc = strong_of(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+    primary, size = np.unique(scc, return_counts=True)
+    return pd.DataFrame({"primary": primary[size > 1], "size": size[size > 1]})
+
+
 def tangles(edges: DataFrame) -> DataFrame:
     """(primary, size, potential) of strong components of two nodes or more."""
-    return strong_components(edges).groupBy(F.col("scc").alias("primary")).agg(F.count("*").alias("size")).where("size > 1").withColumn("potential", F.col("size") - 1)
+    return per_partition(edges, _tangled, f"primary {_kind(edges)}, size long").withColumn("potential", F.col("size") - 1)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -263,13 +294,17 @@ def candidates(edges: DataFrame, functions: DataFrame, *, threshold: int = 8) ->
     return a.unionByName(b).unionByName(c).orderBy(F.desc("potential"), "kind", "node")
 
 
+def _roots(e: DataFrame, names: tuple[str, ...] = ROOTS) -> DataFrame:
+    short = F.element_at(F.split(F.col("node").cast("string"), r"\."), -1)
+    n = nodes_of(e)
+    return n.join(e.select(F.col("dst").alias("node")), "node", "left_anti").unionByName(n.where(short.isin(*names))).distinct()
+
+
 def live_roots(edges: DataFrame, *, names: tuple[str, ...] = ROOTS) -> DataFrame:
     """Nodes that none calls or of a root's name; every node if there is none."""
     e = edges.select("src", "dst").distinct()
-    n = nodes_of(e)
-    short = F.element_at(F.split(F.col("node").cast("string"), r"\."), -1)
-    roots = n.join(e.select(F.col("dst").alias("node")), "node", "left_anti").unionByName(n.where(short.isin(*names))).distinct()
-    return n if roots.isEmpty() else roots
+    roots = _roots(e, names)
+    return nodes_of(e) if roots.isEmpty() else roots
 
 
 def contract(edges: DataFrame, scc: DataFrame) -> DataFrame:
@@ -284,29 +319,78 @@ def dead(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def transitive_reduction(edges: DataFrame, *, bits: int = BITS) -> DataFrame:
     """Edges of a DAG that no longer path replaces; components of up to ``bits`` vertices in one task each, larger ones by their closure."""
     with Scratch(edges.sparkSession) as s:
-        e = s.keep(edges.where("src <> dst").select("src", "dst").distinct())
-        small, large = _by_size(e, s, bits)
+        a = labelled(edges.where("src <> dst").select("src", "dst").distinct(), s)
+        small, large = _by_size(a, s, bits)
         kind = _kind(edges)
-        kept = s.keep(_in_partitions(small, _reduced, f"src {kind}, dst {kind}"))
-        if large.isEmpty():
+        kept = s.keep(_in_partitions(small, a.rows, _reduced, f"src {kind}, dst {kind}"))
+        if large is None:
             return kept
         c = closure(large)
         longer = large.select("src", F.col("dst").alias("mid")).join(c.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         return kept.unionByName(s.keep(large.join(longer, ["src", "dst"], "left_anti")))
 
 
-def reduce_fully(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """One row of counts before and after: contract tangles, drop what is dead, drop replaceable edges."""
+def _reduction(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Counts of whole components before and after, and which nodes and edges were left if each node were a root, in components without one."""
+    nodes, scc = strong_of(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+    a, b = np.searchsorted(nodes, pdf["src"].to_numpy()), np.searchsorted(nodes, pdf["dst"].to_numpy())
+    of = np.searchsorted(nodes, scc)
+    given = np.zeros(len(nodes), bool)
+    given[a[pdf["src_root"].to_numpy(bool)]] = True
+    given[b[pdf["dst_root"].to_numpy(bool)]] = True
+    small = pd.DataFrame({"src": of[a], "dst": of[b]})
+    small = small[small["src"] != small["dst"]].drop_duplicates()
+    near: dict[int, list[int]] = {}
+    for u, v in zip(small["src"].tolist(), small["dst"].tolist()):
+        near.setdefault(u, []).append(v)
+    todo = np.unique(of[given]).tolist()
+    alive = set(todo)
+    while todo:
+        for v in near.get(todo.pop(), ()):
+            if v not in alive:
+                alive.add(v)
+                todo.append(v)
+    label = np.zeros(len(nodes), np.int64)
+    label[a] = label[b] = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
+    rooted = np.zeros(label.max() + 1, bool)
+    rooted[label[given]] = True
+    bare = [c for c in np.unique(of).tolist() if not rooted[label[c]]]
+    count = lambda kept: len(_reduced(small[small["src"].isin(kept) & small["dst"].isin(kept)])) if len(small) else 0
+    return pd.DataFrame({"nodes_before": [len(nodes)], "edges_before": [len(pdf)], "nodes_after": [len(alive)], "edges_after": [count(alive)], "bare_nodes": [len(bare)], "bare_edges": [count(bare) if bare else 0], "rooted": [bool(given.any())]})
+
+
+def _reduce_by_rounds(e: DataFrame, start: DataFrame, s: Scratch) -> DataFrame:
+    """The same counts of a component too large for bits: strong components in one task, the rest over the cluster."""
+    scc = s.keep(strong_components(e))
+    small = s.keep(contract(e, scc))
+    seeds = start.join(scc, "node").select(F.col("scc").alias("node")).distinct()
+    alive = s.keep(reach(small, seeds).select("node"))
+    kept = small.join(alive.select(F.col("node").alias("src")), "src", "left_semi").join(alive.select(F.col("node").alias("dst")), "dst", "left_semi")
+    final = s.keep(transitive_reduction(kept))
+    return nodes_of(e).agg(F.count("*").alias("nodes_before")).crossJoin(e.agg(F.count("*").alias("edges_before"))).crossJoin(alive.agg(F.count("*").alias("nodes_after"))).crossJoin(final.agg(F.count("*").alias("edges_after")))
+
+
+def reduce_fully(edges: DataFrame, roots: DataFrame | None = None, *, bits: int = BITS) -> DataFrame:
+    """One row of counts before and after: contract tangles, drop what is dead, drop replaceable edges.
+
+    All of it is done within a component: those of up to ``bits`` vertices are reduced in one task each. The live roots,
+    unless given, are nodes that none calls or of a root's name; every node if there is none in the whole graph.
+    """
+    names = ["nodes_before", "edges_before", "nodes_after", "edges_after"]
     with Scratch(edges.sparkSession) as s:
-        e = s.keep(edges.select("src", "dst").distinct())
-        scc = s.keep(strong_components(e))
-        small = s.keep(contract(e, scc))
-        start = roots if roots is not None else live_roots(e)
-        seeds = start.join(scc, "node").select(F.col("scc").alias("node")).distinct()
-        alive = s.keep(reach(small, seeds).select("node"))
-        kept = small.join(alive.select(F.col("node").alias("src")), "src", "left_semi").join(alive.select(F.col("node").alias("dst")), "dst", "left_semi")
-        final = s.keep(transitive_reduction(kept))
-        return nodes_of(e).agg(F.count("*").alias("nodes_before")).crossJoin(e.agg(F.count("*").alias("edges_before"))).crossJoin(alive.agg(F.count("*").alias("nodes_after"))).crossJoin(final.agg(F.count("*").alias("edges_after")))
+        a = labelled(edges.select("src", "dst").distinct(), s)
+        start = s.save((roots if roots is not None else _roots(a.edges)).select("node").distinct())
+        none = roots is None and start.isEmpty()
+        small, large = _by_size(a, s, bits)
+        flag = lambda c: start.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_root"))
+        marked = small.join(flag("src"), "src", "left").join(flag("dst"), "dst", "left").fillna(False, ["src_root", "dst_root"]).select("component", "src", "dst", "src_root", "dst_root")
+        counts = _in_partitions(marked, a.rows, _reduction, ", ".join(f"{x} long" for x in [*names, "bare_nodes", "bare_edges"]) + ", rooted boolean")
+        if none:
+            counts = counts.withColumn("nodes_after", F.col("bare_nodes")).withColumn("edges_after", F.col("bare_edges"))
+        counts = counts.select(names)
+        if large is not None:
+            counts = counts.unionByName(_reduce_by_rounds(large, nodes_of(large) if none else start, s))
+        return s.keep(counts.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(x) for x in names]))
 
 
 def _rank_in_one_task(damping: float, rounds: int | None, tolerance: float):
@@ -329,33 +413,72 @@ def _rank_in_one_task(damping: float, rounds: int | None, tolerance: float):
     return run
 
 
+def _terms(damping: float, rounds: int | None, tolerance: float):
+    """Of whole components: of each node the first ``rounds`` + 1 powers of the damped step from ones, or else their sum as soon as it stands, and whether the node has no edge out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, idx = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]), return_inverse=True)
+        n, src, dst = len(nodes), idx[: len(pdf)], idx[len(pdf) :]
+        out = np.bincount(src, minlength=n)
+        share = damping / np.maximum(out, 1)
+        x = np.ones(n)
+        held = [x]
+        while len(held) <= rounds if rounds is not None else x.sum() >= tolerance * n:
+            x = np.bincount(dst, (share * x)[src], n)
+            held = [*held, x] if rounds is not None else [held[0] + x]
+        return pd.DataFrame({"node": nodes, "terms": list(np.stack(held, 1)), "is_end": out == 0})
+
+    return run
+
+
+def _terms_by_rounds(e: DataFrame, damping: float, rounds: int | None, tolerance: float, s: Scratch) -> DataFrame:
+    """The same of components too large for one task, round by round over the cluster."""
+    e = s.save(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src"))
+    nodes = nodes_of(e).join(e.select(F.col("src").alias("node"), F.lit(False).alias("is_end")).distinct(), "node", "left").fillna(True, ["is_end"])
+    last = s.save(nodes.withColumn("terms", F.array(F.lit(1.0))).withColumn("x", F.lit(1.0)))
+    n, k, left = last.count(), 0, float("inf")
+    while k < rounds if rounds is not None else left >= tolerance * n:
+        given = e.join(last, e["src"] == last["node"]).groupBy(F.col("dst").alias("node")).agg((damping * F.sum(F.col("x") / F.col("out"))).alias("g"))
+        x = F.coalesce("g", F.lit(0.0))
+        terms = F.concat("terms", F.array(x)) if rounds is not None else F.array(F.col("terms")[0] + x)
+        last = s.save(last.join(given, "node", "left").select("node", "is_end", terms.alias("terms"), x.alias("x")))
+        k += 1
+        if rounds is None:
+            left = last.agg(F.sum("x")).first()[0]
+    return last.select("node", "terms", "is_end")
+
+
 def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6, one_task_edges: int = 2_000_000) -> DataFrame:
     """(node, rank) when a round changes the ranks by less than ``tolerance`` in all, or after so many rounds if given.
 
-    What dangling nodes hold is spread over all. Up to ``one_task_edges`` counted edges are ranked in one
-    task, more round by round over the cluster. Both give the same ranks.
+    What dangling nodes hold is spread over all, so components meet only in one number a round: a node's ranks are sums of the powers
+    of the damped step from ones, which a component has by itself. Final ranks are the sum of all powers over its total. Up to
+    ``one_task_edges`` counted edges are ranked in one task; of more, components of up to so many vertices are gathered and ranked in one
+    task each, larger ones round by round over the cluster. All give the same ranks.
     """
     with Scratch(edges.sparkSession) as s:
-        e = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+        e = s.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
         if e.count() <= one_task_edges:
-            return e.coalesce(1).mapInArrow(_rank_in_one_task(damping, rounds, tolerance), f"node {e.schema['src'].dataType.simpleString()}, rank double")
-        e = s.keep(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src").repartition("src"))
-        nodes = s.keep(nodes_of(e).repartition("node"))
-        n = nodes.count()
-        rank = nodes.withColumn("rank", F.lit(1.0 / n))
-        ends = nodes.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-        k, change = 0, float("inf")
-        while k < rounds if rounds is not None else change >= tolerance:
-            given = e.join(rank, e["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("g"))
-            lost = ends.join(rank, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-            after = nodes.join(given, "node", "left").crossJoin(F.broadcast(lost)).select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-            k += 1
-            if rounds is None or k % 5 == 0:
-                after = s.keep(after)
-            if rounds is None:
-                change = after.join(rank.withColumnRenamed("rank", "was"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-            rank = after
-        return rank
+            return s.keep(e.coalesce(1).mapInArrow(_rank_in_one_task(damping, rounds, tolerance), f"node {e.schema['src'].dataType.simpleString()}, rank double"))
+        a = labelled(e, s)
+        small, large = _by_size(a, s, one_task_edges)
+        least = tolerance * (1 - damping)  # the rest of the sum is then below the tolerance
+        terms = s.save(_in_partitions(small, a.rows, _terms(damping, rounds, least / 1000), f"node {_kind(edges)}, terms array<double>, is_end boolean", chunk=CHUNK))
+        if large is not None:
+            terms = s.save(terms.unionByName(_terms_by_rounds(large, damping, rounds, least, s)))
+        size = (rounds or 0) + 1
+        total = terms.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.col("terms")[j]), F.lit(0.0)).alias(f"all{j}") for j in range(size)], *[F.coalesce(F.sum(F.when(F.col("is_end"), F.col("terms")[j])), F.lit(0.0)).alias(f"lost{j}") for j in range(size)]).first()
+        if rounds is None:
+            weights = [1 / total["all0"]]
+        else:
+            weights, n = [1 / total["n"]], total["n"]  # of the powers in the ranks so far; a round moves all by one and adds what is spread
+            for _ in range(rounds):
+                lost = sum(w * total[f"lost{j}"] for j, w in enumerate(weights))
+                weights = [(1 - damping + damping * lost) / n, *weights]
+        rank = F.lit(0.0)
+        for j, w in enumerate(weights):
+            rank = rank + w * F.col("terms")[j]
+        return s.keep(terms.select("node", rank.alias("rank")))
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, *, hops: int = 2) -> DataFrame:
@@ -514,27 +637,18 @@ def persistence(edges: list[tuple[int, int, float]]) -> list[tuple[int, float, f
 
 
 def per_component(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """The kernel's rows for each connected component; a task holds a partition of whole components."""
-    parts = connected_components(edges.select("src", "dst"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if held:
-            yield _by_component(kernel)(pd.concat(held, ignore_index=True))
-
-    return edges.join(parts.withColumnRenamed("node", "src"), "src").repartition("component").mapInPandas(run, schema)
+    """The kernel's rows for each connected component; a task holds a few whole components at a time."""
+    with Scratch(edges.sparkSession) as s:
+        e = s.save(edges)
+        held = e.join(connected_components(e.select("src", "dst")).withColumnRenamed("node", "src"), "src")
+        return s.keep(_in_partitions(held, e.count(), _by_component(kernel), schema))
 
 
 def per_partition(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """The kernel's rows for whole components at a time, for kernels to which components make no difference; a task holds one partition's edges."""
-    parts = connected_components(edges.select("src", "dst"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if held:
-            yield kernel(pd.concat(held, ignore_index=True))
-
-    return edges.join(parts.withColumnRenamed("node", "src"), "src").repartition("component").select("src", "dst").mapInPandas(run, schema)
+    """The kernel's rows for whole components at a time, for kernels to which components make no difference."""
+    with Scratch(edges.sparkSession) as s:
+        a = labelled(edges.select("src", "dst"), s)
+        return s.keep(_in_partitions(a.held, a.rows, kernel, schema, chunk=CHUNK))
 
 
 def _articulation(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -558,42 +672,59 @@ def cut_files(edges: DataFrame, functions: DataFrame, **more: DataFrame) -> Data
 SEARCH = 50_000_000
 
 
-def _central(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = [b for b in batches if len(b)]
-    if not held:
-        return
-    pdf = pd.concat(held, ignore_index=True)
+def _measured(pdf: pd.DataFrame, strong: bool) -> Iterator[pd.DataFrame]:
     pdf["alone"] = pdf["component"].where(pdf["parts"] > 1)  # whole components may be searched together
     for (parts, part, _), x in pdf.groupby(["parts", "part", "alone"], sort=True, dropna=False):
         nodes, near = adjacency(x["src"].to_numpy(), x["dst"].to_numpy())
-        yield pd.DataFrame({"node": nodes, "raw": betweenness_of(near, range(int(part), len(nodes), int(parts)))})
+        is_cut = np.zeros(len(nodes), bool)
+        if part == 0:
+            is_cut[list(cut_vertices(near))] = True
+        size = np.zeros(len(nodes), np.int64)
+        if strong and part == 0:
+            least, k = np.unique(strong_of(x["src"].to_numpy(), x["dst"].to_numpy())[1], return_counts=True)
+            size[np.searchsorted(nodes, least)] = k
+        yield pd.DataFrame({"node": nodes, "raw": betweenness_of(near, range(int(part), len(nodes), int(parts))), "is_cut": is_cut, "tangle": size, "parts": parts})
 
 
-def betweenness(edges: DataFrame, *, search: int = SEARCH) -> DataFrame:
-    """(node, betweenness), undirected, over all pairs of other vertices of the whole graph.
+def _central(strong: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: pd.concat(list(_measured(pdf, strong)), ignore_index=True)
+
+
+def measures(edges: DataFrame, *, search: int = SEARCH, strong: bool = False) -> DataFrame:
+    """(node, betweenness, is_cut, tangle), undirected: betweenness over all pairs of other vertices of the whole graph, and whether it is a cut vertex.
+
+    If ``strong``, tangle is the size of the strong component that the node is the least of, else 0.
 
     A component whose searches take more than ``search`` steps is sent to several tasks, each of which searches
     from its share of the vertices; the sums are the same. Rounded to 12 digits.
     """
     with Scratch(edges.sparkSession) as s:
-        e = s.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-        of = s.keep(connected_components(e))
-        held = e.join(of.withColumnRenamed("node", "src"), "src")
-        v = of.groupBy("component").agg(F.count("*").alias("v"))
-        work = held.groupBy("component").agg(F.count("*").alias("e")).join(v, "component")
-        parts = work.select("component", F.least(F.col("v"), F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("e") / search))).cast("int").alias("parts"))
-        sent = held.join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        raw = sent.repartition("component", "part").select("component", "parts", "part", "src", "dst").mapInPandas(_central, f"node {_kind(edges)}, raw double").groupBy("node").agg(F.sum("raw").alias("raw"))
-        pairs = (F.col("n") - 1) * (F.col("n") - 2) / 2
-        n = of.agg(F.count("*").alias("n"))
-        return s.keep(raw.crossJoin(F.broadcast(n)).select("node", F.round(F.when(pairs > 0, F.col("raw") / pairs).otherwise(0.0), 12).alias("betweenness")))
+        a = labelled(edges.select("src", "dst").distinct(), s)
+        wide = a.sizes.where(F.col("v") * F.col("v") * F.col("v") > search)  # v vertices have up to v * (v - 1) edges and v loops
+        wide = s.keep(wide)
+        parts = (a.held.limit(0) if wide.isEmpty() else a.held).join(F.broadcast(wide), "component").groupBy("component").agg(F.count("*").alias("e"), F.first("v").alias("v"))
+        parts = s.keep(parts.select("component", F.least(F.col("v"), F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("e") / search))).cast("int").alias("parts")).where("parts > 1"))
+        several = not parts.isEmpty()
+        sent = a.held.join(F.broadcast(parts), "component", "left") if several else a.held.withColumn("parts", F.lit(1))
+        sent = sent.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if several else F.lit(0))
+        raw = s.save(_in_partitions(sent, a.rows, _central(strong), f"node {_kind(edges)}, raw double, is_cut boolean, tangle long, parts int", keys=("component", "part"), chunk=FEW))
+        n = raw.agg(F.count_distinct("node") if several else F.count("node")).first()[0]
+        if several:
+            raw = raw.where("parts = 1").drop("parts").unionByName(raw.where("parts > 1").groupBy("node").agg(F.sum("raw").alias("raw"), F.bool_or("is_cut").alias("is_cut"), F.max("tangle").alias("tangle")))
+        else:
+            raw = raw.drop("parts")
+        pairs = (n - 1) * (n - 2) / 2
+        return s.keep(raw.select("node", F.round(F.col("raw") / F.lit(float(pairs)) if pairs > 0 else F.lit(0.0), 12).alias("betweenness"), "is_cut", "tangle"))
+
+
+def betweenness(edges: DataFrame, *, search: int = SEARCH) -> DataFrame:
+    """(node, betweenness) as in ``measures``."""
+    return measures(edges, search=search).select("node", "betweenness")
 
 
 def bridge_nodes(edges: DataFrame, *, threshold: float = 0.1) -> DataFrame:
     """(node, betweenness, is_cut) of cut vertices and central ones, cut vertices first."""
-    cut = articulation_points(edges).withColumn("is_cut", F.lit(True))
-    b = betweenness(edges).join(cut, "node", "left").fillna(False, ["is_cut"])
-    return b.where(F.col("is_cut") | (F.col("betweenness") >= threshold)).orderBy(F.desc("is_cut"), F.desc("betweenness"), "node")
+    return measures(edges).drop("tangle").where(F.col("is_cut") | (F.col("betweenness") >= threshold)).orderBy(F.desc("is_cut"), F.desc("betweenness"), "node")
 
 
 def _gap(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -629,29 +760,37 @@ def cycle_rank(edges: DataFrame) -> DataFrame:
     return e.agg(F.count("*").alias("e")).crossJoin(c).select((F.col("e") - F.col("v") + F.col("c")).alias("rank"))
 
 
+def _statistics(pdf: pd.DataFrame) -> pd.DataFrame:
+    nodes, near = adjacency(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+    e = len(pdf.loc[pdf["src"] != pdf["dst"], ["src", "dst"]].drop_duplicates())
+    return pd.DataFrame({"v": [len(nodes)], "e": [e], "b0": [pdf["component"].nunique()], "cuts": [len(cut_vertices(near))]})
+
+
 def dag_statistics(edges: DataFrame) -> DataFrame:
     """One row for a graph of terms, directions aside: vertices, edges, components, independent cycles and cut vertices."""
-    return betti(edges, directed=True).crossJoin(articulation_points(edges).agg(F.count("*").alias("cuts")))
+    with Scratch(edges.sparkSession) as s:
+        a = labelled(edges.select("src", "dst"), s)
+        parts = _in_partitions(a.held, a.rows, _statistics, "v long, e long, b0 long, cuts long", chunk=CHUNK)
+        whole = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("v", "e", "b0", "cuts")])
+        return s.keep(whole.select("v", "e", "b0", (F.col("e") - F.col("v") + F.col("b0")).alias("b1"), "cuts"))
 
 
 def structural_risk(edges: DataFrame, duties: DataFrame, *, top: int | None = None) -> DataFrame:
     """(node, betweenness, risk) of cut vertices, betweenness * (1 + duties(node, duties) that are not met), the highest first."""
-    b = betweenness(edges).join(articulation_points(edges), "node", "left_semi").join(duties, "node", "left")
+    b = measures(edges).where("is_cut").join(duties, "node", "left")
     out = b.select("node", "betweenness", F.round(F.col("betweenness") * (1 + F.coalesce("duties", F.lit(0))), 12).alias("risk")).orderBy(F.desc("risk"), "node")
     return out.limit(top) if top else out
 
 
 def topology_report(edges: DataFrame, *, top: int = 10) -> DataFrame:
     """(kind, node, value): every cut vertex and tangle, and the ``top`` most central of the other vertices."""
-    with Scratch(edges.sparkSession) as s:
-        b = s.keep(betweenness(edges))
-        cut = s.keep(articulation_points(edges))
-        rest = b.join(cut, "node", "left_anti").orderBy(F.desc("betweenness"), "node").limit(top)
-        return (
-            b.join(cut, "node", "left_semi").select(F.lit("cut").alias("kind"), "node", F.col("betweenness").alias("value"))
-            .unionByName(rest.select(F.lit("central").alias("kind"), "node", F.col("betweenness").alias("value")))
-            .unionByName(tangles(edges).select(F.lit("tangle").alias("kind"), F.col("primary").alias("node"), F.col("size").cast("double").alias("value")))
-        )
+    b = measures(edges, strong=True)
+    rest = b.where("not is_cut").orderBy(F.desc("betweenness"), "node").limit(top)
+    return (
+        b.where("is_cut").select(F.lit("cut").alias("kind"), "node", F.col("betweenness").alias("value"))
+        .unionByName(rest.select(F.lit("central").alias("kind"), "node", F.col("betweenness").alias("value")))
+        .unionByName(b.where("tangle > 1").select(F.lit("tangle").alias("kind"), "node", F.col("tangle").cast("double").alias("value")))
+    )
 
 
 def evidence_order(cut: DataFrame, central: DataFrame, contracts: DataFrame) -> DataFrame:

@@ -290,8 +290,9 @@ def by_blast_radius(f: Facts) -> DataFrame:
 @query("t08_evidence_order", f"""WITH {_CUT}, {_BTW}, fi AS (SELECT o.o_custkey AS file, round(max(bw.betweenness) * 1e6, 4) AS millionths FROM cu JOIN bw ON bw.node = cu.node JOIN {{orders}} o ON o.o_orderkey = cu.node GROUP BY 1)
 SELECT CAST(file AS STRING) AS file, file IN (SELECT c_custkey FROM {{customer}} WHERE c_acctbal > 0) AS has_contract, millionths FROM fi ORDER BY has_contract, millionths DESC, file""")
 def evidence_order(f: Facts) -> DataFrame:
-    cut = graph.articulation_points(f.edges).join(f.orders.select(F.col("o_orderkey").alias("node"), F.col("o_custkey").cast("string").alias("file")), "node")
-    out = graph.evidence_order(cut, graph.betweenness(f.edges), f.customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("file")))
+    measured = graph.measures(f.edges).where("is_cut")
+    cut = measured.select("node").join(f.orders.select(F.col("o_orderkey").alias("node"), F.col("o_custkey").cast("string").alias("file")), "node")
+    out = graph.evidence_order(cut, measured.select("node", "betweenness"), f.customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("file")))
     return out.select("file", "has_contract", F.round(F.col("betweenness_max") * 1e6, 4).alias("millionths"))
 
 
