@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as fn
+from factloom.plans.iterate import spread
 from factloom.plans.scratch import Scratch
 
 
@@ -68,11 +69,22 @@ def attribute_to_callers(points: DataFrame, calls: DataFrame, functions: DataFra
     return enclosing(points, functions).join(known, ["file", "line"], "left").withColumn("func", F.coalesce("caller", "func")).drop("caller")
 
 
+def commits_gathered(files: DataFrame, s: Scratch) -> DataFrame:
+    """(paths) of each commit of files(sha, path), each path once and in order, gathered in as many tasks as the counted rows ask for; it lives with ``s``."""
+    f = s.save(files.select("sha", "path").where("sha is not null and path is not null"))
+    return s.save(spread(f, f.count(), "sha").distinct().groupBy("sha").agg(F.sort_array(F.collect_list("path")).alias("paths")).select("paths"))
+
+
+def pairs_of(gathered: DataFrame) -> DataFrame:
+    """(a, b, n) of commits_gathered; a commit's pairs are counted before they leave its task."""
+    one = gathered.where(F.size("paths") > 1).select("paths", F.posexplode("paths").alias("i", "a"))
+    return one.select("a", F.explode(F.slice("paths", F.col("i") + 2, F.size("paths"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def co_changes(files: DataFrame) -> DataFrame:
     """(a, b, n): commits of files(sha, path) that touch both, a < b."""
-    f = files.select("sha", "path").distinct()
-    x, y = f.alias("x"), f.alias("y")
-    return x.join(y, (F.col("x.sha") == F.col("y.sha")) & (F.col("x.path") < F.col("y.path"))).groupBy(F.col("x.path").alias("a"), F.col("y.path").alias("b")).agg(F.count("*").alias("n"))
+    with Scratch(files.sparkSession) as s:
+        return s.keep(pairs_of(commits_gathered(files, s)))
 
 
 def suffix_match(refs: DataFrame, files: DataFrame, *, least: int = 2, most: int = 5) -> DataFrame:

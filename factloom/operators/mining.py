@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalars as fn
 from factloom.operators import aggregates, joins, sequences
+from factloom.plans.scratch import Scratch
 
 
 def churn(files: DataFrame) -> DataFrame:
@@ -20,8 +21,10 @@ def hotspots(files: DataFrame, series: DataFrame) -> DataFrame:
 
 def coupling(files: DataFrame, *, least: int = 3, share: float = 0.30) -> DataFrame:
     """Pairs changed together at least so often and in at least this share of either one's commits."""
-    c = churn(files)
-    pairs = joins.co_changes(files).where(F.col("n") >= least)
+    with Scratch(files.sparkSession) as s:
+        gathered = joins.commits_gathered(files, s)
+        c = s.keep(gathered.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count("*").alias("churn")))
+        pairs = s.keep(joins.pairs_of(gathered).where(F.col("n") >= least))
     both = pairs.join(c.select(F.col("path").alias("a"), F.col("churn").alias("ca")), "a").join(c.select(F.col("path").alias("b"), F.col("churn").alias("cb")), "b")
     strength = F.least(F.col("n") / F.col("ca"), F.col("n") / F.col("cb"))
     return both.select("a", "b", "n", F.round(strength, 6).alias("strength")).where(F.col("strength") >= share)

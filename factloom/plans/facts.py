@@ -9,6 +9,9 @@ from __future__ import annotations
 from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.plans.iterate import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -99,6 +102,15 @@ class Facts:
         return self._held[name]
 
 
+def commit_paths(f: Facts) -> DataFrame:
+    """(sha, path) of ``commit_files``, repeats and all, by joins whose tasks have no more rows in a larger input."""
+    lines = f.lineitem.select(F.col("l_orderkey").alias("sha"), "l_partkey")
+    n = lines.count()
+    part = spread(f.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path")), n, "l_partkey")
+    orders = spread(f.orders.select(F.col("o_orderkey").alias("sha")), n, "sha")
+    return spread(spread(lines, n, "l_partkey").join(part, "l_partkey").select("sha", "path"), n, "sha").join(orders, "sha", "left_semi")
+
+
 def with_facts(sql: str) -> str:
     """DuckDB SQL in which ``{name}`` is a table or fact; the facts it needs come first, as common table expressions."""
     order: list[str] = []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars as fn
 from factloom.operators import joins, mining
 from factloom.plans.catalog import query
-from factloom.plans.facts import Facts
+from factloom.plans.facts import Facts, commit_paths
 from factloom.plans.queries_relational import _COUPLING
 
 _CHURN = "f AS (SELECT DISTINCT sha, path FROM {commit_files}), churn AS (SELECT path, CAST(count(*) AS BIGINT) AS churn FROM f GROUP BY path)"
@@ -31,7 +31,7 @@ _STRONG = f"{_CHURN}, {_PAIRS}, s AS (SELECT p.a, p.b, CAST(n AS BIGINT) AS n, r
 
 @query("m03_coupling", f"WITH {_STRONG} SELECT a, b, n, strength FROM s WHERE strength >= 0.14")
 def coupling(f: Facts) -> DataFrame:
-    return mining.coupling(f.commit_files, share=0.14)
+    return mining.coupling(commit_paths(f), share=0.14)
 
 
 @query("m04_silos", """WITH k AS (SELECT path, author, count(DISTINCT sha) AS k FROM {commit_files} GROUP BY 1, 2), t AS (SELECT path, CAST(sum(k) AS BIGINT) AS churn, max(k) * 1.0 / sum(k) AS top FROM k GROUP BY path)
@@ -69,7 +69,7 @@ def intent_edges(f: Facts) -> DataFrame:
     issues = f.orders.select(F.col("o_orderkey").alias("issue"), F.col("o_orderpriority").alias("path"))
     prs = f.orders.select(F.col("o_orderkey").alias("pr"), F.col("o_custkey").alias("issue"))
     pr_files = f.lineitem.select(F.col("l_orderkey").alias("pr"), F.col("l_returnflag").alias("path"))
-    return mining.intent_edges(issues, prs, pr_files, f.part.select(F.col("p_size").alias("record"), F.col("p_brand").alias("path")), mining.coupling(f.commit_files, share=0.14))
+    return mining.intent_edges(issues, prs, pr_files, f.part.select(F.col("p_size").alias("record"), F.col("p_brand").alias("path")), mining.coupling(commit_paths(f), share=0.14))
 
 
 @query("m08_intent_coverage", """SELECT DISTINCT file AS path, CASE WHEN file IN (SELECT file FROM {functions} WHERE line % 5 = 0) THEN 3.0 WHEN file LIKE 'pkg1%' THEN 2.0 WHEN file LIKE '%test%' THEN 1.5 ELSE 0.0 END AS level FROM {functions}""")

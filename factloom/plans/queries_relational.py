@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars as fn
 from factloom.operators import aggregates, joins, sequences
 from factloom.plans.catalog import query
-from factloom.plans.facts import Facts
+from factloom.plans.facts import Facts, commit_paths
 
 _REQ = "site_req AS (SELECT c.site, c.model, r.field FROM {site_creates} c JOIN {model_req} r ON c.model = r.model)"
 
@@ -62,7 +62,7 @@ def attribute(f: Facts) -> DataFrame:
 
 @query("j08_co_changes", "SELECT a.path AS a, b.path AS b, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT sha, path FROM {commit_files}) a JOIN (SELECT DISTINCT sha, path FROM {commit_files}) b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2")
 def co_changes(f: Facts) -> DataFrame:
-    return joins.co_changes(f.commit_files)
+    return joins.co_changes(commit_paths(f))
 
 
 @query("j09_suffix_match", """WITH fl AS (SELECT DISTINCT file FROM {functions}), r AS (SELECT 'repo/src/' || file AS ref FROM fl UNION SELECT 'a/deep/' || file FROM fl UNION SELECT string_split(file, '/')[-1] FROM fl),
