@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.plans.iterate import Labelled, closure, connected_components, labelled, reach, spread
+from factloom.plans.ranges import by_ranges
 from factloom.plans.scratch import Scratch
 
 ROOTS = ("main", "run", "cli", "app", "setup", "handler", "start", "execute", "serve", "__root__")
@@ -169,6 +170,11 @@ def _in_partitions(held: DataFrame, rows: int, kernel: Callable[[pd.DataFrame],
     return spread(held, rows, *keys, each=200_000).sortWithinPartitions(*keys).select(*keys, *[c for c in held.columns if c not in keys]).mapInPandas(run, schema)
 
 
+def _with(done: DataFrame | None, rest: DataFrame) -> DataFrame:
+    """Rows of components that were whole in a range of nodes, and of the gathered ones."""
+    return rest if done is None else done.unionByName(rest)
+
+
 def blast_radius(edges: DataFrame, targets: DataFrame, *, bits: int = BITS) -> DataFrame:
     """targets(node) with ``radius``, how many others can reach it.
 
@@ -176,10 +182,11 @@ def blast_radius(edges: DataFrame, targets: DataFrame, *, bits: int = BITS) -> D
     grow by rounds over the cluster. Both give the same numbers.
     """
     with Scratch(edges.sparkSession) as s:
-        a = labelled(edges.select("src", "dst").distinct(), s)
+        schema = f"node {_kind(edges)}, radius long"
+        done, a = by_ranges(edges.select("src", "dst").distinct(), s, _radii, schema, chunk=FEW, too_large=lambda v, e: v > bits)
         asked = s.save(targets.select("node").distinct())
         small, large = _by_size(a, s, bits)
-        counted = _in_partitions(small, a.rows, _radii, f"node {_kind(edges)}, radius long")
+        counted = _with(done, _in_partitions(small, a.rows, _radii, schema))
         out = asked.join(counted, "node", "left").select("node", F.coalesce("radius", F.lit(0)).cast("long").alias("radius"))
         if large is None:
             return s.keep(out)
@@ -319,10 +326,10 @@ def dead(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def transitive_reduction(edges: DataFrame, *, bits: int = BITS) -> DataFrame:
     """Edges of a DAG that no longer path replaces; components of up to ``bits`` vertices in one task each, larger ones by their closure."""
     with Scratch(edges.sparkSession) as s:
-        a = labelled(edges.where("src <> dst").select("src", "dst").distinct(), s)
+        schema = f"src {_kind(edges)}, dst {_kind(edges)}"
+        done, a = by_ranges(edges.where("src <> dst").select("src", "dst").distinct(), s, _reduced, schema, chunk=FEW, too_large=lambda v, e: v > bits)
         small, large = _by_size(a, s, bits)
-        kind = _kind(edges)
-        kept = s.keep(_in_partitions(small, a.rows, _reduced, f"src {kind}, dst {kind}"))
+        kept = s.keep(_with(done, _in_partitions(small, a.rows, _reduced, schema)))
         if large is None:
             return kept
         c = closure(large)
@@ -359,6 +366,13 @@ def _reduction(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"nodes_before": [len(nodes)], "edges_before": [len(pdf)], "nodes_after": [len(alive)], "edges_after": [count(alive)], "bare_nodes": [len(bare)], "bare_edges": [count(bare) if bare else 0], "rooted": [bool(given.any())]})
 
 
+def _reduction_from_roots(pdf: pd.DataFrame, names: tuple[str, ...] = ROOTS) -> pd.DataFrame:
+    """The same from edges alone: roots are nodes that none calls or of a root's name."""
+    called = set(pdf["dst"])
+    is_root = lambda x: x not in called or str(x).rsplit(".", 1)[-1] in names
+    return _reduction(pdf.assign(src_root=[is_root(x) for x in pdf["src"]], dst_root=[is_root(x) for x in pdf["dst"]]))
+
+
 def _reduce_by_rounds(e: DataFrame, start: DataFrame, s: Scratch) -> DataFrame:
     """The same counts of a component too large for bits: strong components in one task, the rest over the cluster."""
     scc = s.keep(strong_components(e))
@@ -378,13 +392,14 @@ def reduce_fully(edges: DataFrame, roots: DataFrame | None = None, *, bits: int
     """
     names = ["nodes_before", "edges_before", "nodes_after", "edges_after"]
     with Scratch(edges.sparkSession) as s:
-        a = labelled(edges.select("src", "dst").distinct(), s)
+        schema, e = ", ".join(f"{x} long" for x in [*names, "bare_nodes", "bare_edges"]) + ", rooted boolean", edges.select("src", "dst").distinct()
+        done, a = by_ranges(e, s, _reduction_from_roots, schema, chunk=FEW, too_large=lambda v, e: v > bits) if roots is None else (None, labelled(e, s))
         start = s.save((roots if roots is not None else _roots(a.edges)).select("node").distinct())
-        none = roots is None and start.isEmpty()
+        none = roots is None and start.isEmpty() and (done is None or done.where("rooted").isEmpty())
         small, large = _by_size(a, s, bits)
         flag = lambda c: start.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_root"))
         marked = small.join(flag("src"), "src", "left").join(flag("dst"), "dst", "left").fillna(False, ["src_root", "dst_root"]).select("component", "src", "dst", "src_root", "dst_root")
-        counts = _in_partitions(marked, a.rows, _reduction, ", ".join(f"{x} long" for x in [*names, "bare_nodes", "bare_edges"]) + ", rooted boolean")
+        counts = _with(done, _in_partitions(marked, a.rows, _reduction, schema))
         if none:
             counts = counts.withColumn("nodes_after", F.col("bare_nodes")).withColumn("edges_after", F.col("bare_edges"))
         counts = counts.select(names)
@@ -647,8 +662,8 @@ def per_component(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFram
 def per_partition(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """The kernel's rows for whole components at a time, for kernels to which components make no difference."""
     with Scratch(edges.sparkSession) as s:
-        a = labelled(edges.select("src", "dst"), s)
-        return s.keep(_in_partitions(a.held, a.rows, kernel, schema, chunk=CHUNK))
+        done, a = by_ranges(edges.select("src", "dst"), s, kernel, schema, chunk=CHUNK)
+        return s.keep(_with(done, _in_partitions(a.held, a.rows, kernel, schema, chunk=CHUNK)))
 
 
 def _articulation(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -699,7 +714,8 @@ def measures(edges: DataFrame, *, search: int = SEARCH, strong: bool = False) ->
     from its share of the vertices; the sums are the same. Rounded to 12 digits.
     """
     with Scratch(edges.sparkSession) as s:
-        a = labelled(edges.select("src", "dst").distinct(), s)
+        schema, kernel = f"node {_kind(edges)}, raw double, is_cut boolean, tangle long, parts int", _central(strong)
+        done, a = by_ranges(edges.select("src", "dst").distinct(), s, lambda pdf: kernel(pdf.assign(parts=1, part=0)), schema, chunk=FEW, too_large=lambda v, e: v * 1.0 * e > search)
         wide = a.sizes.where(F.col("v") * F.col("v") * F.col("v") > search)  # v vertices have up to v * (v - 1) edges and v loops
         wide = s.keep(wide)
         parts = (a.held.limit(0) if wide.isEmpty() else a.held).join(F.broadcast(wide), "component").groupBy("component").agg(F.count("*").alias("e"), F.first("v").alias("v"))
@@ -707,12 +723,13 @@ def measures(edges: DataFrame, *, search: int = SEARCH, strong: bool = False) ->
         several = not parts.isEmpty()
         sent = a.held.join(F.broadcast(parts), "component", "left") if several else a.held.withColumn("parts", F.lit(1))
         sent = sent.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if several else F.lit(0))
-        raw = s.save(_in_partitions(sent, a.rows, _central(strong), f"node {_kind(edges)}, raw double, is_cut boolean, tangle long, parts int", keys=("component", "part"), chunk=FEW))
-        n = raw.agg(F.count_distinct("node") if several else F.count("node")).first()[0]
+        raw = s.save(_in_partitions(sent, a.rows, kernel, schema, keys=("component", "part"), chunk=FEW))
+        n = raw.agg(F.count_distinct("node") if several else F.count("node")).first()[0] + (done.count() if done is not None else 0)
         if several:
             raw = raw.where("parts = 1").drop("parts").unionByName(raw.where("parts > 1").groupBy("node").agg(F.sum("raw").alias("raw"), F.bool_or("is_cut").alias("is_cut"), F.max("tangle").alias("tangle")))
         else:
             raw = raw.drop("parts")
+        raw = _with(done.drop("parts") if done is not None else None, raw)
         pairs = (n - 1) * (n - 2) / 2
         return s.keep(raw.select("node", F.round(F.col("raw") / F.lit(float(pairs)) if pairs > 0 else F.lit(0.0), 12).alias("betweenness"), "is_cut", "tangle"))
 
@@ -769,8 +786,9 @@ def _statistics(pdf: pd.DataFrame) -> pd.DataFrame:
 def dag_statistics(edges: DataFrame) -> DataFrame:
     """One row for a graph of terms, directions aside: vertices, edges, components, independent cycles and cut vertices."""
     with Scratch(edges.sparkSession) as s:
-        a = labelled(edges.select("src", "dst"), s)
-        parts = _in_partitions(a.held, a.rows, _statistics, "v long, e long, b0 long, cuts long", chunk=CHUNK)
+        schema = "v long, e long, b0 long, cuts long"
+        done, a = by_ranges(edges.select("src", "dst"), s, _statistics, schema, chunk=CHUNK)
+        parts = _with(done, _in_partitions(a.held, a.rows, _statistics, schema, chunk=CHUNK))
         whole = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("v", "e", "b0", "cuts")])
         return s.keep(whole.select("v", "e", "b0", (F.col("e") - F.col("v") + F.col("b0")).alias("b1"), "cuts"))
 

@@ -185,13 +185,14 @@ class Labelled(NamedTuple):
     sizes: DataFrame
 
 
-def labelled(edges: DataFrame, s: Scratch, *, one_task_edges: int = _ONE_TASK_EDGES) -> Labelled:
+def labelled(edges: DataFrame, s: Scratch, *, one_task_edges: int = _ONE_TASK_EDGES, rows: int | None = None) -> Labelled:
     """edges(src, dst) with a number for each connected component, over integer ids or names, as tables that live with ``s``.
 
-    The number is the least id; of names, the least 64-bit hash. Rows with a null endpoint are dropped.
+    The number is the least id; of names, the least 64-bit hash. Rows with a null endpoint are dropped. Edges whose ``rows`` are
+    given are saved with ``s`` already, without nulls.
     """
-    e = s.save(edges.where("src is not null and dst is not null"))
-    rows = e.count()
+    e = edges if rows is not None else s.save(edges.where("src is not null and dst is not null"))
+    rows = e.count() if rows is None else rows
     key = F.xxhash64 if edges.schema["src"].dataType.typeName() == "string" else lambda c: F.col(c).cast("long")
     of, sizes = _components(e.select(key("src").alias("src"), key("dst").alias("dst")), rows, s, one_task_edges)
     keyed = spread(e.withColumn("node", key("src")), rows, "node")
