@@ -77,13 +77,26 @@ def _by_component(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.D
     return every
 
 
+def _weight(x: int, size: np.ndarray) -> int:
+    """Sum of the sizes at the set bits; a few of them one by one, as components held together lie far apart in the bits."""
+    if x.bit_count() > 64:
+        held = np.unpackbits(np.frombuffer(x.to_bytes(-(-x.bit_length() // 8), "little"), np.uint8), bitorder="little")
+        return int(size[: len(held)] @ held[: len(size)])
+    n = 0
+    while x:
+        low = x & -x
+        n += int(size[low.bit_length() - 1])
+        x ^= low
+    return n
+
+
 def _radii(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of each node how many others reach it."""
     nodes, of, size, bits = _reach_bits(pdf["dst"].to_numpy(), pdf["src"].to_numpy())
     held: dict[int, int] = {}
-    plain = all(s <= 1 for s in size)
+    plain, sizes = all(s <= 1 for s in size), np.array(size)
     for c, x in bits.items():
-        n = x.bit_count() if plain else sum(size[i] for i in range(x.bit_length()) if x >> i & 1)
+        n = x.bit_count() if plain else _weight(x, sizes)
         held[c] = n - 1 if x >> c & 1 else n
     return pd.DataFrame({"node": nodes, "radius": [held[c] for c in of]})
 
