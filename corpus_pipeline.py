@@ -13,41 +13,57 @@ and works on all rows that the one before it kept. Defined cases, stage by stage
   or absent benchmark text drops nothing.
 * packing: rows without an id or tokens are in no window; see ``packing``.
 
-Empty tables go through every stage and give an empty table.
+Empty tables go through every stage and give an empty table. A stage lowers the session's bound of an Arrow batch, and leaves it so,
+as what it returns is run later.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, language_id, ngram_join, packing, suffix_array
+from factloom.llm import decontaminate, language_id, ngram_join, packing, suffix_array, textkernel
 from factloom.plans.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _in_small_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        textkernel.small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_in_small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of no known language go."""
     return language_id.keep_identified(docs)
 
 
+@_in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every family of similar texts the one with the least id stays."""
     return ngram_join.keep_one(docs)
 
 
+@_in_small_batches
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand earlier are cut; texts of which nothing is left go."""
     return suffix_array.remove_repeats(docs)
 
 
+@_in_small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that leak a benchmark item go."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What stays, as windows of related texts."""
     return packing.pack_related(docs)

@@ -38,6 +38,8 @@ FAMILIES = {
     "slavic": ("be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
 SAMPLE, DIMS, LETTERS, COMMON, KNOWN, MARGIN = 400, 4096, 2, 0.2, 0.65, 0.02
+#: A slice of texts, smaller than elsewhere, as a row of it has DIMS counts.
+BOUNDS = {"size": 256 << 10, "rows": 256}
 SCHEMA = "doc_id long, language string, family string, margin double, accepted boolean"
 
 
@@ -144,7 +146,7 @@ def _features(b: pa.RecordBatch) -> pa.RecordBatch:
 
 def train(docs: DataFrame, *, bound: int = SAMPLE, families: dict[str, tuple[str, ...]] | None = None) -> Model | None:
     """The two-level model; None if no row has a language and a text."""
-    rows = sample(docs, bound).mapInArrow(tk.sliced(_features, "text"), "doc_id long, lang string, c binary").toArrow()
+    rows = sample(docs, bound).mapInArrow(tk.sliced(_features, **BOUNDS), "doc_id long, lang string, c binary").toArrow()
     if not rows.num_rows:
         return None
     order = np.lexsort((rows["doc_id"].to_numpy(), rows["lang"].to_numpy(zero_copy_only=False).astype(str)))
@@ -174,7 +176,7 @@ def _predict(model: Model):
         language, family, margin, ok = model.predict(*counts(b.column("text")))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(language, pa.string()), pa.array(family, pa.string()), pa.array(np.round(margin.astype(np.float64), 4)), pa.array(ok)], names=["doc_id", "language", "family", "margin", "accepted"])
 
-    return tk.sliced(one)
+    return tk.sliced(one, **BOUNDS)
 
 
 def identify(docs: DataFrame, *, model: Model | None = None, bound: int = SAMPLE) -> DataFrame:
@@ -189,7 +191,7 @@ def identify(docs: DataFrame, *, model: Model | None = None, bound: int = SAMPLE
 def _keep(model: Model):
     def run(batches):
         for b in batches:
-            for x in tk.slices(b):
+            for x in tk.slices(b, **BOUNDS):
                 ok = model.predict(*counts(x.column("text").cast(pa.string())))[3]
                 if ok.any():
                     yield x.filter(pa.array(ok))

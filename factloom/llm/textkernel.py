@@ -15,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE, ROWS = 1 << 20, 1024
+#: Bytes and rows of a slice; bytes of a batch that Spark hands to a worker, which the executor and the worker both hold.
+SLICE, ROWS, BATCH = 1 << 20, 1024, 4 << 20
 WORD_SQL = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 _U = np.uint64
@@ -38,6 +39,14 @@ def give_back() -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of a batch to BATCH bytes, where it is higher; Spark's own lets a whole partition of texts be one batch. No result depends on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if size <= 0 or size > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> _U(30))
@@ -129,23 +138,23 @@ def word_starts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return start, np.searchsorted(start, off)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of about ``size`` bytes of text, at most ROWS of them."""
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about ``size`` bytes of text, at most ``rows`` of them."""
     if not batch.num_rows:
         return
     n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(n) - n) // size
     for lo, hi in zip(cuts := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), [*cuts[1:], len(n)]):
-        for at in range(lo, hi, ROWS):
-            yield batch.slice(at, min(ROWS, hi - at))
+        for at in range(lo, hi, rows):
+            yield batch.slice(at, min(rows, hi - at))
 
 
-def sliced(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text") -> Callable:
+def sliced(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text", **bounds: int) -> Callable:
     """f over slices, as a function for mapInArrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in slices(b, text):
+            for x in slices(b, text, **bounds):
                 out = f(x)
                 if out is not None and out.num_rows:
                     yield out

@@ -125,3 +125,27 @@ def test_weights_of_bits():
     size = np.arange(300) % 7
     for held in ([], [0], [299], [5, 130, 250], list(range(0, 300, 3)), list(range(300))):
         assert graph._weight(sum(1 << i for i in held), size) == sum(int(size[i]) for i in held)
+
+
+def test_batches_of_the_pipeline(spark):
+    """Pipeline's memory: a stage bounds the bytes of a batch, and language ID the rows that are counted at once; a lower bound of the session stays."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from factloom.llm import language_id
+    from factloom.llm import textkernel as tk
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("the words of a text "), F.repeat(F.lit("and more "), 330)).alias("text"), F.lit("en").alias("lang"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches)
+    try:
+        for held, most in (("64m", 1.3 * tk.BATCH), ("1m", 1.3 * 2**20)):
+            spark.conf.set(name, held)
+            kept = corpus_pipeline.identify_language(spark, docs, "")
+            got = docs.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in got) == kept.count() == 6000 and max(r.size for r in got) < most
+    finally:
+        spark.conf.set(name, before)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 900)], names=["text"])
+    assert [x.num_rows for x in tk.slices(batch, **language_id.BOUNDS)] == [256, 256, 256, 132]
