@@ -11,10 +11,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.plans.scratch import Scratch
+from factloom.plans.stars import stars
 
 _ONE_TASK_EDGES = 2_000_000
 
@@ -139,45 +140,21 @@ def _of_names(edges: DataFrame, one_task_edges: int) -> DataFrame:
 TASK_ROWS = 1_000_000
 
 
-def spread(df: DataFrame, rows: int, *by: str, each: int = TASK_ROWS) -> DataFrame:
+def spread(df: DataFrame, rows: int, *by: str | Column, each: int = TASK_ROWS) -> DataFrame:
     """df hashed by columns into as many partitions as its counted rows ask for."""
     return df.repartition(max(-(-rows // each), min(12, -(-rows // 10_000)), 1), *by)
 
 
-def _stars(e: DataFrame, rows: int, s: Scratch) -> DataFrame:
-    """(u, v) of each node but a component's least one, u, and that one, v; by large-star and small-star rounds.
-
-    A round shuffles each pair three times, to both ends and to the larger one, and joins nothing. What a
-    round leaves as it was is a set of stars, so rounds end when no row is marked as changed.
-    """
-    low = lambda w: F.min("v").over(Window.partitionBy(w))
-    pairs = s.save(spread(e.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")), rows, "u").distinct())
-    while True:
-        n = pairs.count()
-        both = spread(pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v"), 2 * n, "u")
-        large = both.withColumn("m", F.least(low("u"), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
-        once = spread(large, n, "u").groupBy("u", "v").agg(F.max("moved").alias("moved")).withColumn("m", low("u"))
-        first = F.col("v") == F.col("m")
-        after = s.save(once.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("moved") | ~first).alias("moved")))
-        s.drop_older()
-        pairs = after.select("u", "v")
-        if after.where("moved").isEmpty():
-            return pairs
-
-
 def _components(e: DataFrame, rows: int, s: Scratch, one_task_edges: int) -> tuple[DataFrame, DataFrame]:
-    """(node, component) and (component, v), how many nodes it has, of saved edges of integer ids; a component of a single node may be missing in the latter."""
+    """(node, component) and (component, v), how many nodes it has, of saved edges of integer ids."""
     if rows <= one_task_edges:
         of = s.keep(e.coalesce(1).mapInArrow(_in_one_task, "node long, component long"))
         return of, of.groupBy("component").agg(F.count("*").alias("v"))
-    with Scratch(e.sparkSession) as rounds:
-        pairs = s.save(_stars(e, rows, rounds))
-    named = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).unionByName(e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
-    return spread(named, rows, "node").groupBy("node").agg(F.min("component").alias("component")), pairs.groupBy(F.col("v").alias("component")).agg((F.count("*") + 1).alias("v"))
+    return stars(e, rows, s)
 
 
 class Labelled(NamedTuple):
-    """Saved edges, how many, the same with the ``component`` of each, and (component, v), the nodes of each component of two or more."""
+    """Saved edges, how many, the same with the ``component`` of each, and (component, v), how many nodes each component has."""
 
     edges: DataFrame
     rows: int
@@ -195,8 +172,8 @@ def labelled(edges: DataFrame, s: Scratch, *, one_task_edges: int = _ONE_TASK_ED
     rows = e.count() if rows is None else rows
     key = F.xxhash64 if edges.schema["src"].dataType.typeName() == "string" else lambda c: F.col(c).cast("long")
     of, sizes = _components(e.select(key("src").alias("src"), key("dst").alias("dst")), rows, s, one_task_edges)
-    keyed = spread(e.withColumn("node", key("src")), rows, "node")
-    return Labelled(e, rows, keyed.join(of, "node").drop("node"), sizes)
+    keyed, of = spread(e, rows, key("src")), spread(of, rows, "node")
+    return Labelled(e, rows, keyed.join(of, key("src") == of["node"]).drop("node"), sizes)
 
 
 def connected_components(edges: DataFrame, *, one_task_edges: int = _ONE_TASK_EDGES) -> DataFrame:

@@ -52,13 +52,6 @@ class Scratch:
         for _ in range(min(n, len(self._paths))):
             self._remove(self._paths.pop())
 
-    def drop_older(self) -> None:
-        """Removes all tables but the last."""
-        *old, last = self._paths
-        self._paths = [last]
-        for path in old:
-            self._remove(path)
-
     def keep(self, df: DataFrame) -> DataFrame:
         shared_dir(self.spark)
         return df.checkpoint(eager=True)
